@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import Registry
 from millrace.sources.tables import table
 
-from . import encoding, grouping, mixing, packing, splitting
+from . import encoding, grouping, mixing, packing, secrets, splitting
 from .sql import SQL
 
 REGISTRY = Registry()
@@ -38,6 +38,16 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p4_containers(spark, d), table(spark, d, "pack_limits"))
 
 
+@_register
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credential_lines(table(spark, d, "source_files"), table(spark, d, "calibration_cases"))
+
+
+@_register
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted_texts(table(spark, d, "source_files"), table(spark, d, "calibration_cases"))
+
+
 @_register
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.groups(table(spark, d, "calibration_cases"), table(spark, d, "adjudications"))
