@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import Registry
 from millrace.sources.tables import table
 
-from . import encoding, grouping, mixing, packing, secrets, splitting
+from . import encoding, grouping, mixing, overlap, packing, secrets, splitting
 from .sql import SQL
 
 REGISTRY = Registry()
@@ -18,6 +18,21 @@ def _register(f):
     return REGISTRY.query(SQL.get(f.__name__))(f)
 
 
+@_register
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(table(spark, d, "calibration_cases"))
+
+
+@_register
+def p1_fractions(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.fractions(table(spark, d, "calibration_cases"))
+
+
+@_register
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "calibration_cases"))
+
+
 @_register
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "units"), table(spark, d, "source_files"), table(spark, d, "size_limits"))
