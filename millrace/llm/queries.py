@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import Registry
 from millrace.sources.tables import table
 
-from . import encoding, grouping, mixing, overlap, packing, secrets, splitting
+from . import encoding, grouping, mixing, overlap, packing, reading, secrets, splitting
 from .sql import SQL
 
 REGISTRY = Registry()
@@ -96,3 +96,18 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @_register
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[1]
+
+
+@_register
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.demanding(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "reading_labels"))
+
+
+@_register
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "reading_labels"))
+
+
+@_register
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.profile(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "reading_labels"))
