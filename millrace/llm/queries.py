@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import Registry
 from millrace.sources.tables import table
 
-from . import encoding, grouping, mixing, overlap, packing, reading, secrets, splitting
+from . import encoding, grouping, handwritten, mixing, overlap, packing, reading, secrets, splitting
 from .sql import SQL
 
 REGISTRY = Registry()
@@ -33,6 +33,22 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(table(spark, d, "calibration_cases"))
 
 
+@_register
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "source_files")).select("file_id")
+
+
+@_register
+def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    named = handwritten.not_handwritten(table(spark, d, "source_files"))
+    return named.groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@_register
+def p2_handwritten_units(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.handwritten_units(table(spark, d, "units"), table(spark, d, "source_files"))
+
+
 @_register
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "units"), table(spark, d, "source_files"), table(spark, d, "size_limits"))
