@@ -161,7 +161,7 @@ def evidence_pairs(rows: DataFrame, least: float = 0.5) -> DataFrame:
     shared = posts.join(F.broadcast(hot), "digest").unionByName(posts.join(cold, "digest"))
     down = Window.partitionBy("evidence").orderBy(F.desc("df"), "digest")
     shared = shared.withColumn("rest", F.sum(F.col("weight").cast("double")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = shared.filter(F.col("rest") > least * F.col("n") - 1e-3).select("digest", "evidence", "dev", "eval", "n")
+    kept = keep(shared.filter(F.col("rest") > least * F.col("n") - 1e-3).select("digest", "evidence", "dev", "eval", "n"))
     left = kept.filter("dev").select("digest", F.col("evidence").alias("a"), F.col("n").alias("na"))
     right = kept.filter("eval").select("digest", F.col("evidence").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "digest").filter(F.least("na", "nb") > least * F.greatest("na", "nb")).select("a", "b").distinct()
