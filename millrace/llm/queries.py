@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import Registry
 from millrace.sources.tables import table
 
-from . import encoding, grouping, handwritten, mixing, overlap, packing, reading, secrets, splitting
+from . import encoding, grouping, handwritten, mixing, overlap, packing, reading, secrets, splitting, syntax
 from .sql import SQL
 
 REGISTRY = Registry()
@@ -79,6 +79,16 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted_texts(table(spark, d, "source_files"), table(spark, d, "calibration_cases"))
 
 
+@_register
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid(table(spark, d, "source_files")).select("file_id")
+
+
+@_register
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "source_files"))
+
+
 @_register
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.groups(table(spark, d, "calibration_cases"), table(spark, d, "adjudications"))
