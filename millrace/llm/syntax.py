@@ -70,14 +70,14 @@ def _compile(rules: list[tuple[str, str]], skip: str) -> tuple[re.Pattern, list[
     return re.compile(skip + "*+(?:" + "|".join(f"({r})" for _, r in rules) + ")"), kinds
 
 
-_JS_BASE = [("NL", r"\n"), ("IDENT", r"[#]?[A-Za-z_$\u0080-￿\U00010000-\U0010ffff\\][\w$‌‍]*"), ("NUM", _NUMBER + r"(?![\w$])"), ("STR", _STRING)]
+_JS_BASE = [("NL", r"\n"), ("IDENT", r"#?(?:[^\W\d]|[$\\])[\w$\u200c\u200d]*"), ("NUM", _NUMBER + r"(?![\w$])"), ("STR", _STRING)]
 _JS_REGEX = [("REGEX", r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")]
 JS_AFTER_OPERAND = _compile([*_JS_BASE, *_PUNCT, *_JS_OPS], SKIP)
 JS_AFTER_OPERATOR = _compile([*_JS_BASE, *_JS_REGEX, *_PUNCT, *_JS_OPS], SKIP)
 _RUST_SKIP = r"(?:\s++|//[^\n]*+)"
 RUST = _compile([
     ("STR", r"(?:b|c)?r(#*)\"[\s\S]*?\"\2|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'"), ("LIFETIME", r"'[A-Za-z_]\w*"),
-    ("IDENT", r"(?:r#)?[A-Za-z_\u0080-￿][\w]*"), ("NUM", r"(?:0[xob][0-9a-fA-F_]+|\d[\d_]*(?:\.(?![.A-Za-z_])[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?![\w])"), *_PUNCT,
+    ("IDENT", r"(?:r#)?[^\W\d]\w*"), ("NUM", r"(?:0[xob][0-9a-fA-F_]+|\d[\d_]*(?:\.(?![.A-Za-z_])[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?![\w])"), *_PUNCT,
     ("PATHSEP", r"::"), ("THINARROW", r"->"), ("ARROW", r"=>"), ("SPREAD", r"\.\.=|\.\.\.|\.\."), ("DOT", r"\."), ("ASSIGN", r"<<=|>>=|[+\-*/%^&|]=|=(?!=)"), ("BIN", r"==|!=|<=|>=|<<|/(?!\*)|[%^+]"),
     ("AMP", r"&&|&"), ("PIPE", r"\|\||\|"), ("STAR", r"\*"), ("SIGN", r"-"), ("BANG", r"!"), ("QUEST", r"\?"), ("COLON", r":"), ("LT", r"<"), ("GT", r">"), ("HASH", r"#"), ("AT", r"@"), ("MACRO", r"\$"),
 ], _RUST_SKIP)
@@ -411,7 +411,7 @@ def python_fault(text: str) -> str | None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(text.lstrip("﻿"), feature_version=(3, 12))
+            ast.parse(text, feature_version=(3, 12))
     except (SyntaxError, ValueError):
         return "production"
     except (RecursionError, MemoryError):
@@ -433,6 +433,7 @@ def lexed(files: DataFrame) -> DataFrame:
         for batch in batches:
             faults, codes, dialects = [], [], []
             for language, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                text = text.removeprefix("\ufeff")
                 dialect = DIALECTS.get(language)
                 pairs, fault = reduced(text, dialect) if dialect else ([], python_fault(text))
                 if dialect and text.startswith("#!") and fault:
