@@ -20,7 +20,8 @@ from .languages import language_of
 
 _LETTER, _DIGIT, _BLANK = ord("a"), ord("0"), ord(" ")
 _CLASSES = bytes(_LETTER if chr(c).isalpha() and c < 128 or c == 95 or c >= 128 else _DIGIT if 48 <= c <= 57 else _BLANK if c in b"\t\r\f\v" else c for c in range(256))
-STRING = re.compile(rb'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|r#+"(?:[^"]|"(?!#))*"#+', re.S)
+STRING = re.compile(rb'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`', re.S)
+RAW_STRING = re.compile(rb'r#+"(?:[^"]|"(?!#))*"#+|' + STRING.pattern, re.S)
 WORD = re.compile(rb"[A-Za-z_$][\w$]*")
 COMMENT = re.compile(rb"(?m)^[ \t]*(?:#|//)[^\n]*$|/\*[\s\S]*?\*/")
 FLOW = re.compile(rb"\b(?:if|elif|elsif|else|unless|for|foreach|while|loop|until|return|def|function|fn(?=[^;{]*\{)|sub|try|except|catch|match|switch|throw|raise|die|await|yield|lambda|impl|with)\b|=>[ ]*\{")
@@ -36,9 +37,14 @@ BANNER = re.compile(
 HEAD = 1500
 
 
+def _strings(body: bytes) -> re.Pattern:
+    """The pattern of literals, with raw ones where the text closes any."""
+    return RAW_STRING if b'"#' in body else STRING
+
+
 def shapes(body: bytes) -> list[bytes]:
     """A token per statement: its text with names, numbers and literals reduced to their class and lists of literals to one sign."""
-    x = STRING.sub(b'"', body).translate(_CLASSES)
+    x = _strings(body).sub(b'"', body).translate(_CLASSES)
     x = re.sub(rb"a[a0]*", b"a", x)
     x = re.sub(rb"-?0[0a.]*", b"0", x)
     x = x.replace(b" ", b"")
@@ -123,9 +129,10 @@ def verdict(text: str | None) -> str | None:
         return None
     body = text.encode("utf-8", "replace")
     code = COMMENT.sub(b"", body)
-    literals = STRING.findall(code)
+    strings = _strings(code)
+    literals = strings.findall(code)
     in_literals = sum(map(len, literals))
-    bare = STRING.sub(b'"', code)
+    bare = strings.sub(b'"', code)
     solid = len(code) - code.count(b" ") - code.count(b"\n") - code.count(b"\t") - code.count(b"\r")
     if solid < 60:
         return None
@@ -133,7 +140,7 @@ def verdict(text: str | None) -> str | None:
     statements = shapes(code)
     flow = len(FLOW.findall(bare))
     blob = sum(len(x) for x in literals if incompressible(x))
-    if blob > 0.8 * len(code) and len(statements) - flow <= 8 and len(code) - in_literals < 400:
+    if blob > 0.8 * len(code) and flow <= 1 and len(statements) <= 10:
         return "blob"
     if not flow or flow < 0.02 * len(statements):
         numbers = len(re.findall(rb"(?<![\w.])-?\d[\w.]*", bare))

@@ -66,7 +66,7 @@ _NUMBER = r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_
 def _compile(rules: list[tuple[str, str]], skip: str) -> tuple[re.Pattern, list[int]]:
     kinds = [-1]
     for k, r in rules:
-        kinds += [C.get(k, -2)] * (1 + re.compile(r.replace(r"\2", "")).groups)
+        kinds += [C.get(k, -2)] * (1 + re.compile(r).groups)
     return re.compile(skip + "*+(?:" + "|".join(f"({r})" for _, r in rules) + ")"), kinds
 
 
@@ -76,13 +76,13 @@ JS_AFTER_OPERAND = _compile([*_JS_BASE, *_PUNCT, *_JS_OPS], SKIP)
 JS_AFTER_OPERATOR = _compile([*_JS_BASE, *_JS_REGEX, *_PUNCT, *_JS_OPS], SKIP)
 _RUST_SKIP = r"(?:\s++|//[^\n]*+)"
 RUST = _compile([
-    ("STR", r"(?:b|c)?r(#*)\"[\s\S]*?\"\2|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'"), ("LIFETIME", r"'[A-Za-z_]\w*"),
+    ("RAW", r"(?:b|c)?r#*\""), ("STR", r"[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'"), ("LIFETIME", r"'[A-Za-z_]\w*"),
     ("IDENT", r"(?:r#)?[^\W\d]\w*"), ("NUM", r"(?:0[xob][0-9a-fA-F_]+|\d[\d_]*(?:\.(?![.A-Za-z_])[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?![\w])"), *_PUNCT,
     ("PATHSEP", r"::"), ("THINARROW", r"->"), ("ARROW", r"=>"), ("SPREAD", r"\.\.=|\.\.\.|\.\."), ("DOT", r"\."), ("ASSIGN", r"<<=|>>=|[+\-*/%^&|]=|=(?!=)"), ("BIN", r"==|!=|<=|>=|<<|/(?!\*)|[%^+]"),
     ("AMP", r"&&|&"), ("PIPE", r"\|\||\|"), ("STAR", r"\*"), ("SIGN", r"-"), ("BANG", r"!"), ("QUEST", r"\?"), ("COLON", r":"), ("LT", r"<"), ("GT", r">"), ("HASH", r"#"), ("AT", r"@"), ("MACRO", r"\$"),
 ], _RUST_SKIP)
 _PERL_SKIP = r"(?:[ \t\r\f\v]++|#[^\n]*+)"
-_PERL_VAR = r"\$#?\{?\^?\w+\}?(?:::\w+)*|\$#?(?:::)?\w+(?:::\w+)*|\$#?\$+\w+|\$[&`'+!^/\\,;.@0-9\-\"<>()\[\]|?:~=%]|\$#?(?=\{|\$)|@(?:::)?[A-Za-z_]\w*(?:::\w+)*|@\$+\w+|@(?=\{)|@_\b|@[\-+]"
+_PERL_VAR = r"\$#?\{?\^?\w+\}?(?:::\w+)*|\$#?(?:::)?\w+(?:::\w+)*|\$#?\${1,8}\w+|\$[&`'+!^/\\,;.@0-9\-\"<>()\[\]|?:~=%]|\$#?(?=\{|\$)|@(?:::)?[A-Za-z_]\w*(?:::\w+)*|@\${1,8}\w+|@(?=\{)|@_\b|@[\-+]"
 _PERL_OPS = [
     ("ARROW", r"=>"), ("DOT", r"->"), ("PATHSEP", r"::"), ("SPREAD", r"\.\.\.|\.\."), ("ASSIGN", r"\*\*=|\|\|=|&&=|//=|<<=|>>=|[+\-*/.%x&|^]=(?![=~])|=(?![=~])"), ("BIN", r"<=>|==|!=|=~|!~|<=|>=|&&|\|\||\*\*|<<|>>"),
     ("INCDEC", r"\+\+|--"), ("SIGN", r"[+\-]"), ("LT", r"<"), ("GT", r">"), ("BIN", r"[*.^|]"), ("BANG", r"[!~\\]"), ("QUEST", r"\?"), ("COLON", r":"),
@@ -90,7 +90,7 @@ _PERL_OPS = [
 _PERL_BASE = [("NL", r"\n"), ("NUM", r"0[xX][0-9a-fA-F_]+|0[bB][01_]+|v\d+(?:\.\d+)+|(?:\d[\d_]*(?:\.(?!\.)[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?(?!\w)"), ("IDENT", r"[A-Za-z_]\w*(?:(?:::|')(?=[A-Za-z_])\w+)*(?:::)?"), ("STR", r"\"(?:[^\"\\]|\\[\s\S])*\"|'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"), ("VAR", _PERL_VAR)]
 PERL_AFTER_OPERAND = _compile([*_PERL_BASE, *_PUNCT, *_PERL_OPS, ("BIN", r"//|/|%|&")], _PERL_SKIP)
 PERL_AFTER_OPERATOR = _compile([
-    *_PERL_BASE, ("HEREDOC", r"<<~?(?:\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_]\w*)"), ("STR", r"<\$?\w*>|<STDIN>"), ("REGEX", r"/(?:[^/\\\n]|\\.)*/[a-z]*"), ("VAR", r"%(?:::)?[A-Za-z_+!]\w*(?:::\w+)*|%\$+\w+|%(?=\{)|&\$?[A-Za-z_]\w*(?:::\w+)*|&(?=\{|\$)|\*[A-Za-z_]\w*|\*(?=\{)"),
+    *_PERL_BASE, ("HEREDOC", r"<<~?(?:\"[^\"\n]*\"|'[^'\n]*'|[A-Za-z_]\w*)"), ("STR", r"<\$?\w*>|<STDIN>"), ("REGEX", r"/(?:[^/\\\n]|\\.)*/[a-z]*"), ("VAR", r"%(?:::)?[A-Za-z_+!]\w*(?:::\w+)*|%\${1,8}\w+|%(?=\{)|&\$?[A-Za-z_]\w*(?:::\w+)*|&(?=\{|\$)|\*[A-Za-z_]\w*|\*(?=\{)"),
     ("PREFIX", r"-[a-zA-Z](?=\s*[\$\"'/_])"), *_PUNCT, *_PERL_OPS,
 ], _PERL_SKIP)
 QUOTES = frozenset("q qq qw m qr s tr y".split())
@@ -161,7 +161,7 @@ def permitted(language: str) -> frozenset[tuple[int, int, int]]:
         begins = _set("IDENT NUM STR LPAR LBRACK LBRACE SIGN STAR AMP PIPE BANG CONST HEAD BLOCK RETURN BREAK LETMOD MODIFIER LT PATHSEP LIFETIME SPREAD HASH MACRO")
         items = begins | _set("FUNC CLASS DECL MODULE SEMI")
         add(ends, "ASSIGN BIN LT GT SIGN STAR AMP PIPE DOT QUEST COLON COMMA SEMI RPAR RBRACK RBRACE LPAR LBRACK LBRACE ARROW SPREAD INFIX PATHSEP AT BANG EDGE")
-        add("RPAR GT", "THINARROW"), add("RPAR RBRACK RBRACE GT IDENT CONST", "INFIX")
+        add(ends, "HEAD"), add("RPAR GT", "THINARROW"), add("RPAR RBRACK RBRACE GT IDENT CONST", "INFIX")
         add("RBRACE SEMI LBRACE", items | _set("RBRACE EDGE"))
         add("EDGE", "IDENT HEAD HASH CONST PATHSEP MODIFIER FUNC CLASS DECL MODULE EDGE"), add("RBRACK", items - _set("NUM STR"))
         add("RPAR", "MODIFIER FUNC CLASS IDENT DECL MODULE"), add("RBRACE", "BLOCK RPAR RBRACK COMMA DOT QUEST")
@@ -289,6 +289,15 @@ def tokens(text: str, language: str) -> Iterator[tuple[int, int, int, int]]:
         kind = kinds[index]
         start, end = m.span(index)
         if kind == -2:
+            if language == "rust":  # a raw string, whose end isn't escaped
+                close = text[start:end].lstrip("bcr").rstrip('"')
+                end = text.find('"' + close, end)
+                if end < 0:
+                    raise Fault("token")
+                end += 1 + len(close)
+                yield C["STR"], line, start, end
+                prev, pos, line, word = C["STR"], end, 0, ""
+                continue
             if text[start] == "\n":  # a line end
                 pos, line = end, 1
                 if language == "perl":
@@ -402,6 +411,8 @@ def reduced(text: str, language: str) -> tuple[list[int], str | None]:
             raise Fault("end")
     except Fault as fault:
         return sorted(codes), str(fault)
+    except RecursionError:
+        return sorted(codes), "depth"
     codes.add((prev * N) * 2 + 1)
     return sorted(codes), None
 
