@@ -467,12 +467,10 @@ def invalid(files: DataFrame) -> DataFrame:
 
     Null, blank and comment-only content is no case; other suffixes aren't looked at; repeats count once.
     """
-    rows = lexed(files)
-    wrong = rows.filter("fault IS NOT NULL").select("file_id", "repo", "path", "language", "fault")
-    pairs = rows.filter("fault IS NULL").select("file_id", "repo", "path", "language", "dialect", F.explode("codes").alias("code"))
-    pairs = pairs.join(F.broadcast(permitted_pairs(files.sparkSession)), ["dialect", "code"], "left_anti")
-    both = wrong.unionByName(pairs.select("file_id", "repo", "path", "language", F.lit("pair").alias("fault")))
-    return both.groupBy("file_id").agg(F.min(F.struct("repo", "path", "language", "fault")).alias("r")).select("file_id", "r.*")
+    faulty = F.array(F.lit(-1))  # a code no grammar permits stands for the fault, so a file is lexed once
+    rows = lexed(files).select("file_id", "repo", "path", "language", F.coalesce("dialect", F.lit("python")).alias("dialect"), F.coalesce("fault", F.lit("pair")).alias("fault"), F.explode(F.when(F.col("fault").isNotNull(), faulty).otherwise(F.col("codes"))).alias("code"))
+    wrong = rows.join(F.broadcast(permitted_pairs(files.sparkSession)), ["dialect", "code"], "left_anti")
+    return wrong.groupBy("file_id").agg(F.min(F.struct("repo", "path", "language", "fault")).alias("r")).select("file_id", "r.*")
 
 
 def rates(files: DataFrame) -> DataFrame:
