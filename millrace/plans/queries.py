@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import spans
 from millrace.functions.assessment import DEFAULTS, assess, policies
 from millrace.operators import discovery, packing, replay, retrieval, services
+from millrace.sources.frontend import python_units
 from millrace.sources.tables import table
+from millrace.streaming import answers
 
 from .registry import Registry
 
@@ -550,3 +554,79 @@ def budget_ledger_cutoff(spark, d):
 def circuit_breaker(spark, d):
     rows = table(spark, d, "events", "user_id", "event_type", "event_id", "ts").filter("event_type = 'error'")
     return services.breaker(rows, ["user_id", "event_type"], ["ts", "event_id"], 3).select("user_id", "event_type", "event_id")
+
+
+# --- sources and streams
+
+
+@REGISTRY.query()
+def frontend_units(spark, d):
+    return python_units(table(spark, d, "source_files", "path", "content"))
+
+
+@REGISTRY.query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS since, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
+def stream_summary(spark, d):
+    schema = table(spark, d, "events").schema
+    return answers.run_once(answers.windowed_counts(answers.read_events(spark, d, schema)), f"summary_{uuid.uuid4().hex}")
+
+
+# --- evidence, wire and identity
+
+
+@REGISTRY.query(f"WITH {UNITS}, {FILES} SELECT v.unit_id, (v.end_byte - v.start_byte)::INT AS n_bytes, coalesce(v.body_start_byte >= v.start_byte AND v.body_end_byte <= v.end_byte, false) AS body_inside FROM valid v JOIN files f USING (path) WHERE f.content IS NOT NULL AND v.start_byte >= 0 AND v.start_byte < v.end_byte AND v.end_byte <= strlen(f.content)")
+def evidence_spans(spark, d):
+    files = table(spark, d, "source_files", "path", "content").filter("content IS NOT NULL").dropDuplicates(["path"]).select("path", F.octet_length("content").alias("size"))
+    rows = _units(spark, d, "path", "start_byte", "end_byte", "body_start_byte", "body_end_byte").join(files, "path").filter("start_byte >= 0 AND start_byte < end_byte AND end_byte <= size")
+    inside = F.coalesce((F.col("body_start_byte") >= F.col("start_byte")) & (F.col("body_end_byte") <= F.col("end_byte")), F.lit(False))
+    return rows.select("unit_id", (F.col("end_byte") - F.col("start_byte")).cast("int").alias("n_bytes"), inside.alias("body_inside"))
+
+
+@REGISTRY.query(f"WITH {CASES} SELECT case_id, left(sha256(question_wire), 16) AS rubric, 'final-' || left(sha256(case_id || chr(10) || question_wire), 24) AS stable_id FROM cases")
+def rubric_references(spark, d):
+    rows = replay.known_cases(table(spark, d, "calibration_cases"), "question_wire")
+    return rows.select("case_id", F.left(F.sha2("question_wire", 256), F.lit(16)).alias("rubric"), F.concat(F.lit("final-"), F.left(F.sha2(F.concat_ws("\n", "case_id", "question_wire"), 256), F.lit(24))).alias("stable_id"))
+
+
+@REGISTRY.query(f"WITH {CASES}, g AS (SELECT rule_id, target.path AS path, list_sort(list(case_id)) AS ids FROM cases GROUP BY ALL) SELECT rule_id, path, array_to_string(ids, ',') AS case_ids, len(ids)::INT AS n FROM g")
+def evidence_groups(spark, d):
+    rows = replay.known_cases(table(spark, d, "calibration_cases"), "rule_id", "target").groupBy("rule_id", F.col("target.path").alias("path")).agg(F.array_sort(F.collect_list("case_id")).alias("ids"))
+    return rows.select("rule_id", "path", F.array_join("ids", ",").alias("case_ids"), F.size("ids").alias("n"))
+
+
+@REGISTRY.query(f"WITH {CASES} SELECT case_id, list_contains(map_keys(answer.probabilities), answer.choice) AS known, round(list_sum(map_values(answer.probabilities)), 4) AS mass, answer.confidence BETWEEN 0 AND 1 AS confident FROM cases WHERE answer.type = 'choice'")
+def answer_validation(spark, d):
+    rows = replay.known_cases(table(spark, d, "calibration_cases"), "answer").filter("answer.type = 'choice'")
+    mass = F.aggregate(F.map_values("answer.probabilities"), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("case_id", F.map_contains_key("answer.probabilities", F.col("answer.choice")).alias("known"), F.round(mass, 4).alias("mass"), F.col("answer.confidence").between(0, 1).alias("confident"))
+
+
+@REGISTRY.query(f"WITH {ASSESSED} SELECT rule_id, support, count(*)::BIGINT AS n, count(DISTINCT label)::BIGINT AS n_labels, min(case_id) AS first_case FROM replayed WHERE support IS NOT NULL GROUP BY ALL HAVING count(DISTINCT label) > 1")
+def label_conflicts(spark, d):
+    rows = _records(spark, d).filter("support IS NOT NULL").groupBy("rule_id", "support").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("n_labels"), F.min("case_id").alias("first_case"))
+    return rows.filter("n_labels > 1")
+
+
+@REGISTRY.query(f"WITH {FOUND}, spans AS (SELECT path, min(start_byte) AS s, max(end_byte) AS e FROM valid WHERE start_byte < end_byte GROUP BY path) SELECT f.unit_id, count(*)::BIGINT AS n_new FROM found f WHERE NOT EXISTS (SELECT 1 FROM calls c JOIN defs d USING (name) WHERE d.unit_id = f.unit_id AND c.path = f.path) GROUP BY f.unit_id")
+def already_present_anti(spark, d):
+    units, files = table(spark, d, "units"), table(spark, d, "source_files")
+    own = retrieval.definitions(units).join(retrieval.references(files), ["name", "path"]).select("unit_id").distinct()
+    return retrieval.candidates(units, files).join(own, "unit_id", "left_anti").groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+@REGISTRY.query(f"WITH {FOUND} SELECT unit_id, string_agg(DISTINCT CASE WHEN {SAME_REPO} THEN 'far' ELSE 'near' END, ',' ORDER BY CASE WHEN {SAME_REPO} THEN 'far' ELSE 'near' END) AS families, count(*)::BIGINT AS n FROM found GROUP BY unit_id")
+def family_membership(spark, d):
+    family = F.when(retrieval.repo_of(F.col("path")) != retrieval.repo_of(F.col("caller")), "far").otherwise("near")
+    found = retrieval.candidates(table(spark, d, "units"), table(spark, d, "source_files"))
+    return found.groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set(family)), ",").alias("families"), F.count(F.lit(1)).alias("n"))
+
+
+@REGISTRY.query(f"WITH {UNITS}, s AS (SELECT parent_id, unit_id, name FROM valid WHERE parent_id IS NOT NULL AND has_implementation) SELECT a.parent_id, count(*)::BIGINT AS n_pairs FROM s a JOIN s b ON a.parent_id = b.parent_id AND a.name = b.name AND a.unit_id < b.unit_id GROUP BY a.parent_id")
+def sibling_names(spark, d):
+    rows = _units(spark, d, "parent_id", "name", "has_implementation").filter("parent_id IS NOT NULL AND has_implementation").groupBy("parent_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter("n > 1").groupBy("parent_id").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("n_pairs"))
+
+
+@REGISTRY.query(f"WITH {ASSESSED}, s AS (SELECT count(*) AS n, count(*) FILTER (status = 'error') AS e, count(*) FILTER (status = 'warning') AS w, count(*) FILTER (status = 'unknown') AS u FROM replayed) SELECT n::BIGINT AS n, e::BIGINT AS errors, w::BIGINT AS warnings, u::BIGINT AS unknown, CASE WHEN e > 0 THEN 1 ELSE 0 END AS exit_code FROM s")
+def exit_code_summary(spark, d):
+    s = F.col("status")
+    return _records(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(s == "error").alias("errors"), F.count_if(s == "warning").alias("warnings"), F.count_if(s == "unknown").alias("unknown"), F.when(F.count_if(s == "error") > 0, 1).otherwise(0).alias("exit_code"))
