@@ -39,3 +39,16 @@ raw AS (
 )
 SELECT x AS case_id, least(x, min(y)) AS group_case_id FROM reach GROUP BY x
 """
+
+SQL["p1_found"] = r"""
+WITH raw AS (
+  SELECT DISTINCT case_id, lower(regexp_replace(split, '[\s\-_]', '', 'g')) AS split, map_values(evidence.source_documents) AS docs, json_extract_string(question_wire, '$.instructions') AS q FROM calibration_cases
+), lined AS (
+  SELECT case_id, split, q, list_distinct(list_filter(list_transform(flatten(list_transform(docs, lambda t: string_split(t, chr(10)))), lambda l: regexp_replace(l, '\s', '', 'g')), lambda l: l <> '')) AS lines,
+    list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) AS words FROM raw
+), pairs AS (
+  SELECT d.case_id AS x, e.case_id AS y, len(list_intersect(d.lines, e.lines)) AS l, len(d.lines) + len(e.lines) AS nl, len(list_intersect(d.words, e.words)) AS w, len(d.words) + len(e.words) AS nw
+  FROM lined d JOIN lined e ON d.split = 'development' AND e.split IN ('heldout', 'validation') AND d.case_id <> e.case_id
+)
+SELECT DISTINCT least(x, y) AS case_id_a, greatest(x, y) AS case_id_b FROM pairs WHERE l > 0.5 * (nl - l) AND w > 0.75 * (nw - w)
+"""
