@@ -32,20 +32,45 @@ def references(files: DataFrame) -> DataFrame:
     return rows.select("path", F.explode(F.regexp_extract_all("content", F.lit(CALL), F.lit(1))).alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def candidates(units: DataFrame, files: DataFrame) -> DataFrame:
-    """(unit_id, path, caller, n): files other than its own that call a name a unit defines; an equality join on the name."""
-    d = definitions(units).select("name", "path", "unit_id")
-    r = references(files).select("name", F.col("path").alias("caller"), "n")
-    return d.join(r, "name").filter("path <> caller").select("unit_id", "path", "caller", "n")
-
-
 def repo_of(path: Column) -> Column:
     return F.substring_index(path, "/", 2)
 
 
+def caller_counts(units: DataFrame, files: DataFrame) -> DataFrame:
+    """(unit_id, path, own, near, far, n_calls): in how many other files of its repository and of others a unit's name is called.
+
+    Counts come from aggregates by name and by name and repository, less the unit's own file; pairs of units and callers are never made.
+    """
+    refs = references(files).withColumn("repo", repo_of(F.col("path")))
+    by_repo = refs.groupBy("name", "repo").agg(F.count(F.lit(1)).alias("in_repo"), F.sum("n").alias("calls"))
+    by_name = by_repo.groupBy("name").agg(F.sum("in_repo").alias("in_all"), F.sum("calls").alias("calls"))
+    d = definitions(units).withColumn("repo", repo_of(F.col("path")))
+    rows = d.join(by_name, "name").join(by_repo.drop("calls"), ["name", "repo"], "left").join(refs.select("name", "path", F.col("n").alias("own")), ["name", "path"], "left")
+    own, zero = F.col("own").isNotNull().cast("int"), F.lit(0)
+    near = F.coalesce("in_repo", zero)
+    return rows.select("unit_id", "path", F.col("own").isNotNull().alias("own"), (near - own).alias("near"), (F.col("in_all") - near).alias("far"), (F.col("calls") - F.coalesce("own", zero)).alias("n_calls"))
+
+
+def candidates(units: DataFrame, files: DataFrame, most: int) -> DataFrame:
+    """(unit_id, path, caller, n, family): of the other files that call a unit's name, at least the ``most`` with most calls in its
+    repository (``near``) and the ``most`` in others (``far``), ties by path.
+
+    A repository keeps its ``most`` + 1 best callers of a name, and a name the best 2 (``most`` + 1) of these: leaving out one
+    repository, or the unit's own file, still leaves the best. So a name defined and called everywhere joins a fixed number of rows to each unit.
+    """
+    refs = references(files).select("name", F.col("path").alias("caller"), repo_of(F.col("path")).alias("repo"), "n")
+    best = [F.desc("n"), F.asc("caller")]
+    in_repo = refs.withColumn("_k", F.row_number().over(Window.partitionBy("name", "repo").orderBy(*best))).filter(F.col("_k") <= most + 1).drop("_k")
+    in_all = in_repo.withColumn("_k", F.row_number().over(Window.partitionBy("name").orderBy(*best))).filter(F.col("_k") <= 2 * (most + 1)).drop("_k")
+    d = definitions(units).withColumn("repo", repo_of(F.col("path")))
+    near = d.join(in_repo, ["name", "repo"]).filter("path <> caller").select("unit_id", "path", "caller", "n", F.lit("near").alias("family"))
+    far = d.join(in_all.withColumnRenamed("repo", "_repo"), "name").filter("repo <> _repo").select("unit_id", "path", "caller", "n", F.lit("far").alias("family"))
+    return near.unionByName(far)
+
+
 def top_candidates(found: DataFrame, most: int) -> DataFrame:
     """The ``most`` best callers of each unit: same repository first, then more calls, then the path."""
-    w = Window.partitionBy("unit_id").orderBy((repo_of(F.col("path")) != repo_of(F.col("caller"))).cast("int"), F.desc("n"), "caller")
+    w = Window.partitionBy("unit_id").orderBy(F.desc("family"), F.desc("n"), "caller")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 

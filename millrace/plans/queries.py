@@ -356,8 +356,8 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 def _checks(spark: SparkSession, d: str) -> DataFrame:
     units = _units(spark, d, "path", "kind", "has_body", "syntax_facts", "start_byte", "end_byte")
-    fits = F.array_contains("kinds", F.col("kind")) & (~F.col("needs_body") | F.col("has_body"))
-    return units.join(F.broadcast(_rules(spark)), fits)  # five rules
+    by_kind = _rules(spark).withColumn("kind", F.explode("kinds"))
+    return units.join(F.broadcast(by_kind), "kind").filter("NOT needs_body OR has_body")  # five rules by kind
 
 
 MATCHED = f"{UNITS}, {RULE_SQL}, matched AS (SELECT v.unit_id, v.path, v.syntax_facts, v.start_byte, v.end_byte, r.rule, r.facts FROM valid v JOIN rules r ON list_contains(r.kinds, v.kind) AND (NOT r.needs_body OR v.has_body))"
@@ -443,19 +443,19 @@ def reference_index(spark, d):
 
 @REGISTRY.query(f"WITH {FOUND} SELECT unit_id, count(*)::BIGINT AS n_callers, sum(n)::BIGINT AS n_calls FROM found GROUP BY unit_id")
 def caller_candidates(spark, d):
-    return retrieval.candidates(table(spark, d, "units"), table(spark, d, "source_files")).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_callers"), F.sum("n").alias("n_calls"))
+    n = retrieval.caller_counts(table(spark, d, "units"), table(spark, d, "source_files"))
+    return n.select("unit_id", (F.col("near") + F.col("far")).alias("n_callers"), "n_calls").filter("n_callers > 0")
 
 
 @REGISTRY.query(f"WITH {FOUND} SELECT unit_id, caller, row_number() OVER (PARTITION BY unit_id ORDER BY {SAME_REPO}::INT, n DESC, caller)::INT AS rank FROM found QUALIFY rank <= 5")
 def candidate_topk(spark, d):
-    return retrieval.top_candidates(retrieval.candidates(table(spark, d, "units"), table(spark, d, "source_files")), 5).select("unit_id", "caller", "rank")
+    return retrieval.top_candidates(retrieval.candidates(table(spark, d, "units"), table(spark, d, "source_files"), 5), 5).select("unit_id", "caller", "rank")
 
 
 @REGISTRY.query(f"WITH {FOUND}, pool AS (SELECT unit_id, caller, CASE WHEN {SAME_REPO} THEN 'far' ELSE 'near' END AS family, row_number() OVER (PARTITION BY unit_id, family ORDER BY n DESC, caller) AS turn FROM found), first AS (SELECT unit_id, caller, min(struct_pack(turn := turn, family := family)) AS m FROM pool GROUP BY ALL) SELECT unit_id, caller, row_number() OVER (PARTITION BY unit_id ORDER BY m.turn, m.family)::INT AS place FROM first QUALIFY place <= 6")
 def fair_union_pool(spark, d):
-    found = retrieval.candidates(table(spark, d, "units"), table(spark, d, "source_files"))
-    family = F.when(retrieval.repo_of(F.col("path")) != retrieval.repo_of(F.col("caller")), "far").otherwise("near")
-    return retrieval.fair_union(found.withColumn("family", family), "unit_id", "family", "caller", [F.desc("n"), "caller"]).filter("place <= 6")
+    found = retrieval.candidates(table(spark, d, "units"), table(spark, d, "source_files"), 6)
+    return retrieval.fair_union(found, "unit_id", "family", "caller", [F.desc("n"), F.asc("caller")]).filter("place <= 6")
 
 
 @REGISTRY.query(f"WITH {FILES}, r AS (SELECT path, repo, strlen(content) AS size, sum(strlen(content)) OVER (PARTITION BY repo ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM files WHERE content IS NOT NULL) SELECT repo, count(*) FILTER (total <= 50000)::BIGINT AS n_in, count(*) FILTER (total > 50000)::BIGINT AS n_out FROM r GROUP BY repo")
@@ -538,10 +538,9 @@ def cache_upsert(spark, d):
 
 @REGISTRY.query("WITH l AS (SELECT user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1), e AS (SELECT max(ts) - INTERVAL 259200 SECONDS AS since FROM events) SELECT user_id, event_type, ts >= since AS cached FROM l, e")
 def cached_missing_split(spark, d):
-    events = table(spark, d, "events", "user_id", "event_type", "ts", "event_id")
-    since = events.agg((F.max("ts") - F.expr("interval 259200 seconds")).alias("since"))
-    rows = events.groupBy("user_id", "event_type").agg(F.max("ts").alias("ts"))
-    return rows.crossJoin(F.broadcast(since)).select("user_id", "event_type", (F.col("ts") >= F.col("since")).alias("cached"))  # one row
+    events = table(spark, d, "events", "user_id", "event_type", "ts")
+    since = events.agg(F.max("ts") - F.expr("interval 259200 seconds")).scalar()
+    return events.groupBy("user_id", "event_type").agg(F.max("ts").alias("ts")).select("user_id", "event_type", (F.col("ts") >= since).alias("cached"))
 
 
 @REGISTRY.query("WITH r AS (SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS spent, ts FROM events), o AS (SELECT *, max((spent > 200)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS over FROM r) SELECT user_id, count(*)::BIGINT AS n_admitted, max(spent) AS spent FROM o WHERE over = 0 GROUP BY user_id")
@@ -608,16 +607,15 @@ def label_conflicts(spark, d):
 
 @REGISTRY.query(f"WITH {FOUND}, spans AS (SELECT path, min(start_byte) AS s, max(end_byte) AS e FROM valid WHERE start_byte < end_byte GROUP BY path) SELECT f.unit_id, count(*)::BIGINT AS n_new FROM found f WHERE NOT EXISTS (SELECT 1 FROM calls c JOIN defs d USING (name) WHERE d.unit_id = f.unit_id AND c.path = f.path) GROUP BY f.unit_id")
 def already_present_anti(spark, d):
-    units, files = table(spark, d, "units"), table(spark, d, "source_files")
-    own = retrieval.definitions(units).join(retrieval.references(files), ["name", "path"]).select("unit_id").distinct()
-    return retrieval.candidates(units, files).join(own, "unit_id", "left_anti").groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_new"))
+    n = retrieval.caller_counts(table(spark, d, "units"), table(spark, d, "source_files")).filter("NOT own")
+    return n.select("unit_id", (F.col("near") + F.col("far")).alias("n_new")).filter("n_new > 0")
 
 
 @REGISTRY.query(f"WITH {FOUND} SELECT unit_id, string_agg(DISTINCT CASE WHEN {SAME_REPO} THEN 'far' ELSE 'near' END, ',' ORDER BY CASE WHEN {SAME_REPO} THEN 'far' ELSE 'near' END) AS families, count(*)::BIGINT AS n FROM found GROUP BY unit_id")
 def family_membership(spark, d):
-    family = F.when(retrieval.repo_of(F.col("path")) != retrieval.repo_of(F.col("caller")), "far").otherwise("near")
-    found = retrieval.candidates(table(spark, d, "units"), table(spark, d, "source_files"))
-    return found.groupBy("unit_id").agg(F.array_join(F.array_sort(F.collect_set(family)), ",").alias("families"), F.count(F.lit(1)).alias("n"))
+    n = retrieval.caller_counts(table(spark, d, "units"), table(spark, d, "source_files")).filter("near + far > 0")
+    families = F.array_compact(F.array(F.when(F.col("far") > 0, "far"), F.when(F.col("near") > 0, "near")))
+    return n.select("unit_id", F.array_join(families, ",").alias("families"), (F.col("near") + F.col("far")).alias("n"))
 
 
 @REGISTRY.query(f"WITH {UNITS}, s AS (SELECT parent_id, unit_id, name FROM valid WHERE parent_id IS NOT NULL AND has_implementation) SELECT a.parent_id, count(*)::BIGINT AS n_pairs FROM s a JOIN s b ON a.parent_id = b.parent_id AND a.name = b.name AND a.unit_id < b.unit_id GROUP BY a.parent_id")
