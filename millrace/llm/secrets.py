@@ -7,6 +7,7 @@ import binascii
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import merge
 from urllib.parse import unquote
 
 import ahocorasick
@@ -49,6 +50,9 @@ COMMENT = re.compile(r"(?:^|\s)(?:#|//|/\*|\*|--|;)")
 # What a line must hold, in lower case, to be looked at.
 TRIGGERS = ["pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "basic ", "phrase", "connect", "client", "login", "sign_in", "signin", "session(", "decode", "atob", "b64", "unhex", "fromhex", "unescape", "unquote", "://", "curl",
             "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "xox", "akia", "asia", "sk_", "rk_", "tsk-", "aiza", "npm_", "eyj", "\\x", "\\u", "%7", "%6"]
+# What makes a line one to look at without any of these: literals in the forms layers() decodes, and short parts that are joined on.
+ENCODED = re.compile(r"[\"'`](?:[A-Za-z0-9+/_\-]{12,}+={0,2}[\"'`]|[A-Za-z0-9+/_\-]{1,11}={0,2}[\"'`]\s*+[+.\\\"'`])|%[0-9A-Fa-f]{2}|\\[^\s\"'`ntr0]")
+BARE_ENCODED = re.compile(ENCODED.pattern + r"|[=:][ \t]*+[A-Za-z0-9+/_\-]{12,}+={0,2}[ \t\r,]*+$", re.M)
 _TEXT = set(range(32, 127)) | {9, 10, 13}
 
 
@@ -180,14 +184,14 @@ def _names(name: str) -> bool:
     return bool(SECRET.search(name)) and not OTHER.search(name)
 
 
-def _logical(text: str, start: int) -> int:
-    """End of the line at ``start``, with those after it that go on with the same literal."""
+def _logical(text: str, start: int, config: bool) -> int:
+    """End of the line at ``start``, with those after it that go on with the same literal; a bare value's padding doesn't."""
     end = text.find("\n", start)
     end = len(text) if end < 0 else end
     for _ in range(12):
         line = text[start:end].rstrip()
         tail = text[end + 1 : end + 200].lstrip()
-        if end >= len(text) or not (line.endswith(("+", "(", "\\", "=", "\" .", "' .", "=>")) or (line.endswith((",", "\"", "'")) and "concat" in line) or (tail[:1] in "+." and tail[1:].lstrip()[:1] in ("\"", "'", "`")) or (line.endswith(("\"", "'")) and "(" in line and ")" not in line[line.rfind("(") :] and tail[:1] in "\"'")):
+        if end >= len(text) or not (line.endswith(("+", "(", "\\", "\" .", "' .", "=>")) or (line.endswith("=") and not config) or (line.endswith((",", "\"", "'")) and "concat" in line) or (tail[:1] in "+." and tail[1:].lstrip()[:1] in ("\"", "'", "`")) or (line.endswith(("\"", "'")) and "(" in line and ")" not in line[line.rfind("(") :] and tail[:1] in "\"'")):
             break
         nxt = text.find("\n", end + 1)
         end = len(text) if nxt < 0 else nxt
@@ -264,7 +268,8 @@ def credentials(text: str | None, path: str | None = None) -> list[tuple[int, in
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     config = (path or "").lower().endswith(CONFIG) or not re.search(r"\.\w+$", path or "")
     done = -1
-    for at, _ in _TRIGGER.iter(low):
+    encoded = (m.start() for m in (BARE_ENCODED if config else ENCODED).finditer(text))
+    for at in merge((at for at, _ in _TRIGGER.iter(low)), encoded):
         if at < done:
             continue
         start = text.rfind("\n", 0, at) + 1
@@ -274,7 +279,7 @@ def credentials(text: str | None, path: str | None = None) -> list[tuple[int, in
                 break
             start = back
         start = max(start, done)
-        end = _logical(text, start)
+        end = _logical(text, start, config)
         spans.extend((start + (a if a >= 0 else ~a), start + b, a >= 0) for a, b in _line(text[start:end], config))
         done = end + 1
     out: list[tuple[int, int, bool]] = []
