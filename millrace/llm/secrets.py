@@ -31,7 +31,7 @@ PLACEHOLDER = re.compile(
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 HOST = re.compile(r"^(?:[a-z]+://)?[\w-]+(?:\.[a-z][\w-]*)+(?::\d+)?(?:/\S*)?$")
 LITERAL = re.compile(r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`", re.S)
-JOIN = re.compile(r"(?:\.to_(?:string|owned)\(\)|\.into\(\))?\s*(?:\+\s*&?|\.|\\|,(?=\s*\n))?\s*(?:\\\n)?\s*$")
+JOIN = re.compile(r"(?:\.to_(?:string|owned)\(\)|\.into\(\))?\s*+(?:\+\s*+&?|\.|\\|,(?=[^\S\n]*+\n))?\s*+(?:\\\n)?\s*+$")
 BEFORE = re.compile(r"([A-Za-z_$@%][\w$.\-]*)[\"'`]?\]?\s*(?::\s*&?[\w<>&'\[\]| ]{1,40}?)?\s*(?:=>|:=|\?\?=|=|:|\bwas\b|\bis\b)\s*(?:String::from\(|concat!\(|\()?\s*[rbfuRBFU]{0,2}#*$")
 PAIR = re.compile(r"[\"'`]([\w.\-]+)[\"'`]\s*,\s*[rbf]?$")
 CALL = re.compile(r"([\w$]+)!?\(([^()]*)$")
@@ -186,16 +186,27 @@ def _names(name: str) -> bool:
 
 def _logical(text: str, start: int, config: bool) -> int:
     """End of the line at ``start``, with those after it that go on with the same literal; a bare value's padding doesn't."""
-    end = text.find("\n", start)
-    end = len(text) if end < 0 else end
-    for _ in range(12):
-        line = text[start:end].rstrip()
+    at, last, concat, depth, opened = start, "", False, 0, False
+    while True:
+        end = text.find("\n", at)
+        if end < 0:
+            return len(text)
+        line = text[at:end].rstrip()
+        if line:  # of the lines so far only this is needed: the newest that isn't blank, and what is open before it
+            last = line
+            if (k := line.rfind("(")) >= 0:
+                opened = ")" not in line[k:]
+            elif ")" in line:
+                opened = False
+            if concat := concat or "concat" in line:
+                code = LITERAL.sub("", line)
+                depth += code.count("(") - code.count(")")
         tail = text[end + 1 : end + 200].lstrip()
-        if end >= len(text) or not (line.endswith(("+", "(", "\\", "\" .", "' .", "=>")) or (line.endswith("=") and not config) or (line.endswith((",", "\"", "'")) and "concat" in line) or (tail[:1] in "+." and tail[1:].lstrip()[:1] in ("\"", "'", "`")) or (line.endswith(("\"", "'")) and "(" in line and ")" not in line[line.rfind("(") :] and tail[:1] in "\"'")):
-            break
-        nxt = text.find("\n", end + 1)
-        end = len(text) if nxt < 0 else nxt
-    return end
+        goes_on = last.endswith(("+", "(", "\\", "\" .", "' .", "=>")) or (last.endswith("=") and not config)
+        goes_on = goes_on or (concat and depth > 0 and last.endswith((",", "\"", "'"))) or (tail[:1] in ("+", ".") and tail[1:].lstrip()[:1] in ("\"", "'", "`"))
+        if not goes_on and not (opened and last.endswith(("\"", "'")) and tail[:1] in ("\"", "'")):
+            return end
+        at = end + 1
 
 
 def _line(line: str, config: bool) -> Iterator[tuple[int, int]]:
@@ -231,10 +242,11 @@ def _line(line: str, config: bool) -> Iterator[tuple[int, int]]:
             else:
                 yield parts[0]
                 yield from ((~a, b) for a, b in parts[1:])
+    sign = COMMENT.search(line)
     for m in LOOSE.finditer(line):
         k = next(i for i in (1, 2, 4) if m[i])
         value = m[k].rstrip(",.;)")
-        commented = COMMENT.search(line, 0, m.start(k)) or line.lstrip().startswith(("#", "//", "*", "--", ";"))
+        commented = sign and sign.end() <= m.start(k) or line.lstrip().startswith(("#", "//", "*", "--", ";"))
         if (k == 1 or commented) and (k != 4 or _names(m[3])) and usable(value, True):
             yield m.start(k), m.start(k) + len(value)
     if config and (m := BARE.match(line)):

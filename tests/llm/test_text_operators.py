@@ -174,6 +174,20 @@ def test_encoded_literals_under_neutral_names(value):
     assert credentials('BLOB = "VGhpcyBpcyBqdXN0IHNvbWUgdGV4dA=="\n', "a.py") == []
 
 
+def test_continued_literals_are_followed_to_their_end():
+    key = base64.b64encode(b"\x30\x82" + np.random.default_rng(2).bytes(1190)).decode()
+    armour = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(key[i : i + 64] for i in range(0, len(key), 64)) + "\n-----END RSA PRIVATE KEY-----\n"
+    whole = base64.b64encode(armour.encode()).decode()
+    for value in (whole, TOKEN + whole[:1600]):
+        parts = [value[i : i + 76] for i in range(0, len(value), 76)]
+        assert len(parts) > 20
+        for join, first, last in ((" +\n  ", "(", ")"), ("\n  + ", "(", ")"), ("\n  ", "(", ")"), (",\n  ", "concat!(", ")"), (" \\\n  ", "", "")):
+            text = "BLOB = " + first + join.join(f'"{x}"' for x in parts) + last + '\nafter = "left as it is"\n'
+            spans = credentials(text, "a.py")
+            red = blank(text, spans)
+            assert sum(s[2] for s in spans) == 1 and not [x for x in parts if x in red] and red.endswith('after = "left as it is"\n')
+
+
 def test_credentials_of_odd_texts():
     assert credentials(None) == credentials("") == []
     assert credentials("password" * 50_000) == []
@@ -225,6 +239,16 @@ def test_long_texts_take_linear_time(text):
     assert time.time() - begun < 60
 
 
+MORE = {"parts": 'token = (' + '"abcd" +\n' * 40_000, "blank parts": 'token = "abcd" +' + "\n" * 200_000 + '"e"', "commented parts": '"token: abcd1234" +\n' * 20_000, "concat": "token = concat!(\n" + '"abcd",\n' * 40_000, "opens": 'token = "' + "a" * 9 + '"\n' + "(\n" * 90_000}
+
+
+@pytest.mark.parametrize("text", MORE.values(), ids=MORE)
+def test_long_logical_lines_take_linear_time(text):
+    begun = time.time()
+    credentials(text, "a.py"), credentials(text, "a.ini")
+    assert time.time() - begun < 20
+
+
 def test_python_syntax():
     assert python_fault("match x:\n    case {'a': _} | [1, *_]:\n        pass\n") is None
     assert python_fault("except A, e:\n") and python_fault('print "x"\n') and python_fault("f(\n") and python_fault("a = \0")
