@@ -96,6 +96,28 @@ def der_sequence(raw: bytes) -> bool:
     return at + n == len(raw) and raw[at] == 0x02
 
 
+def key_container(raw: bytes) -> bool:
+    """Whether the bytes are a private key by their grammar: OpenSSH, or DER as PKCS#8, PKCS#1 and DSA or SEC1 have it."""
+    if raw.startswith(b"openssh-key-v1\0"):
+        return True
+    if not der_sequence(raw):
+        return False
+    at = 2 + (raw[1] & 0x7F if raw[1] & 0x80 else 0)
+    version, tags = raw[at + 2] if raw[at + 1] == 1 else -1, []
+    while at + 2 <= len(raw):
+        tags.append(raw[at])
+        n, at = raw[at + 1], at + 2
+        if n & 0x80:
+            k = n & 0x7F
+            if not 1 <= k <= 4:
+                return False
+            n, at = int.from_bytes(raw[at : at + k]), at + k
+        at += n
+    if at != len(raw) or version not in (0, 1):
+        return False
+    return tags[1:3] == [0x30, 0x04] or (len(tags) >= 6 and set(tags[:6]) == {0x02}) or (version == 1 and tags[1:2] == [0x04])
+
+
 def private_key(kind: str, body: str) -> bool:
     """Whether an armoured body holds key material: a DER or OpenSSH container, or base64 that can't be a placeholder."""
     lines = [x.strip().strip("\"'+\\,.") for x in escapes(body).splitlines()]
@@ -122,27 +144,30 @@ def armoured(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), end + len(close)
 
 
+def binaries(value: str) -> Iterator[bytes]:
+    """The bytes that hex and base64 stand for."""
+    if len(value) >= 16 and len(value) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", value):
+        yield bytes.fromhex(value)
+    if len(value) >= 12 and re.fullmatch(r"[A-Za-z0-9+/_\-]+={0,2}", value):
+        core = value.rstrip("=").replace("-", "+").replace("_", "/")
+        if len(core) % 4 != 1:
+            yield base64.b64decode(core + "=" * (-len(core) % 4))
+
+
 def layers(value: str) -> Iterator[str]:
     """What a value decodes to in one step: percent, escapes, base64 and hex, where the result is text."""
     if "%" in value and (v := unquote(value)) != value:
         yield v
     if "\\" in value and (v := escapes(value)) != value:
         yield v
-    if len(value) >= 16 and len(value) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", value):
-        raw = bytes.fromhex(value)
+    for raw in binaries(value):
         if set(raw) <= _TEXT:
             yield raw.decode()
-    if len(value) >= 12 and re.fullmatch(r"[A-Za-z0-9+/_\-]+={0,2}", value):
-        core = value.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(core) % 4 != 1:
-            raw = base64.b64decode(core + "=" * (-len(core) % 4))
-            if set(raw) <= _TEXT:
-                yield raw.decode()
 
 
 def shaped(value: str) -> bool:
     """Whether a value could be a password or key by its form: no placeholder, name, host, id or plain word."""
-    if not 8 <= len(value) <= 512 or any(c.isspace() for c in value) or PLACEHOLDER.match(value) or UUID.match(value) or HOST.match(value) or value.startswith(("sha256-", "sha384-", "sha512-", "/", "./", "#", "http")):
+    if len(value) < 8 or any(c.isspace() for c in value) or PLACEHOLDER.match(value) or UUID.match(value) or HOST.match(value) or value.startswith(("sha256-", "sha384-", "sha512-", "/", "./", "#", "http")):
         return False
     digits = sum(c.isdigit() for c in value)
     lower, upper = any(c.islower() for c in value), any(c.isupper() for c in value)
@@ -151,11 +176,13 @@ def shaped(value: str) -> bool:
         return len(value) >= 16 and digits > 1
     if digits >= 2 and (lower or upper) and (lower and upper or symbols or len(value) >= 16):
         return not re.fullmatch(r"[a-z]+[-_.]?\d{1,4}|[\d.:/\-]+", value)
-    return len(value) >= 20 and lower and upper and (digits or not symbols) and len(set(value)) >= 14 and not re.fullmatch(r"(?:[A-Z]?[a-z]+)+", value)
+    return len(value) >= 20 and lower and upper and (digits or not symbols) and len(set(value)) >= 14 and not re.fullmatch(r"(?:[A-Z]?[a-z]++)++", value)
 
 
 def usable(value: str, named: bool, decoding: bool = False, depth: int = 0) -> bool:
     """Whether a value, or what it decodes to over at most five layers, is a credential."""
+    if any(map(key_container, binaries(value))):
+        return True
     if len(value) <= 4096 and PLACEHOLDER.match(value):
         return False
     if (m := ISSUED.search(value)) and not PLACEHOLDER.match(m[0]):

@@ -188,6 +188,37 @@ def test_continued_literals_are_followed_to_their_end():
             assert sum(s[2] for s in spans) == 1 and not [x for x in parts if x in red] and red.endswith('after = "left as it is"\n')
 
 
+def _der(tag, *parts):
+    body = b"".join(parts)
+    return bytes([tag, 0x82]) + len(body).to_bytes(2) + body
+
+
+def _keys():
+    big = lambda i, n: _der(2, b"\x01" + np.random.default_rng(i).bytes(n))
+    zero, one = b"\x02\x01\x00", b"\x02\x01\x01"
+    rsa = _der(0x30, zero, big(0, 256), b"\x02\x03\x01\x00\x01", big(1, 256), *(big(i, 128) for i in range(2, 7)))
+    return {"pkcs1": rsa, "pkcs8": _der(0x30, zero, bytes.fromhex("300d06092a864886f70d0101010500"), _der(4, rsa)), "sec1": _der(0x30, one, b"\x04\x20" + np.random.default_rng(8).bytes(32)), "openssh": b"openssh-key-v1\0" + np.random.default_rng(9).bytes(400)}
+
+
+@pytest.mark.parametrize("kind", ["pkcs1", "pkcs8", "sec1", "openssh"])
+@pytest.mark.parametrize("name", ["private_key", "BLOB"])
+def test_keys_without_armour(kind, name):
+    raw = _keys()[kind]
+    for value in (base64.b64encode(raw).decode(), raw.hex(), base64.b64encode(base64.b64encode(raw)).decode()):
+        text = f'a = 1\n{name} = "{value}"\nb = 2\n'
+        spans = credentials(text, "a.py")
+        assert sum(s[2] for s in spans) == 1 and value not in blank(text, spans)
+
+
+def test_long_tokens_and_other_binaries():
+    token = base64.urlsafe_b64encode(np.random.default_rng(4).bytes(900)).decode()
+    assert credentials(f'refresh_token = "{token}"\n', "a.py") and credentials(f"SESSION_TOKEN={token}\n", "a.env")
+    public = _der(0x30, _der(2, b"\x01" * 257), b"\x02\x03\x01\x00\x01")
+    certificate = _der(0x30, _der(0x30, b"\x02\x01\x02"), bytes(300))
+    for raw in (public, certificate, np.random.default_rng(5).bytes(900), b"\x30\x82"):
+        assert credentials(f'BLOB = "{base64.b64encode(raw).decode()}"\n', "a.py") == []
+
+
 def test_credentials_of_odd_texts():
     assert credentials(None) == credentials("") == []
     assert credentials("password" * 50_000) == []
@@ -239,7 +270,7 @@ def test_long_texts_take_linear_time(text):
     assert time.time() - begun < 60
 
 
-MORE = {"parts": 'token = (' + '"abcd" +\n' * 40_000, "blank parts": 'token = "abcd" +' + "\n" * 200_000 + '"e"', "commented parts": '"token: abcd1234" +\n' * 20_000, "concat": "token = concat!(\n" + '"abcd",\n' * 40_000, "opens": 'token = "' + "a" * 9 + '"\n' + "(\n" * 90_000}
+MORE = {"parts": 'token = (' + '"abcd" +\n' * 40_000, "blank parts": 'token = "abcd" +' + "\n" * 200_000 + '"e"', "commented parts": '"token: abcd1234" +\n' * 20_000, "concat": "token = concat!(\n" + '"abcd",\n' * 40_000, "letters": 'token = "' + "abcdefghijklmnopqrstuvwxyzABC" * 5_000 + '1"', "opens": 'token = "' + "a" * 9 + '"\n' + "(\n" * 90_000}
 
 
 @pytest.mark.parametrize("text", MORE.values(), ids=MORE)
