@@ -20,7 +20,8 @@ ISSUED = re.compile(
     r"(?<![A-Za-z0-9])(?:gh[oprsu]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[0-9A-Za-z-]{16,}|A(?:KIA|SIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
     r"|(?:sk|rk)_(?:live|prod|test)_[0-9A-Za-z]{16,}|[a-z]{2,4}-[0-9A-Za-z]{20}\.[0-9A-Za-z]{8,}|AIza[\w-]{35}|npm_[0-9A-Za-z]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{16,})"
 )
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,4})PRIVATE KEY-----")
+ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,4})PRIVATE KEY( BLOCK)?-----")
+COMMENTED = re.compile(r"^\s*(#+!?|//+!?|/?\*+!?|--+|;+|%+|>+|!+|')\s*$")
 # Words for a secret in names, and words that make such a name mean something else.
 SECRET = re.compile(r"(?i)pass(?:w(?:or)?d|phrase|code)?|pwd|secret|token|(?:api|access|signing|hmac|private|master|encryption|account|shared|auth)[_-]?key|bearer|cred(?:ential)?s?|phrase|auth(?![a-z])|authorization")
 OTHER = re.compile(r"(?i)(?:public|kind|field|type|label|name|hint|count|length|policy|regex|pattern|selector|column|_id\b|url|path|file|digest|hash|checksum|integrity|sha\d|etag|commit|uuid|fingerprint|format|prefix|header_name|limit|expir|ttl)")
@@ -118,10 +119,15 @@ def key_container(raw: bytes) -> bool:
     return tags[1:3] == [0x30, 0x04] or (len(tags) >= 6 and set(tags[:6]) == {0x02}) or (version == 1 and tags[1:2] == [0x04])
 
 
-def private_key(kind: str, body: str) -> bool:
-    """Whether an armoured body holds key material: a DER or OpenSSH container, or base64 that can't be a placeholder."""
-    lines = [x.strip().strip("\"'+\\,.") for x in escapes(body).splitlines()]
-    packed = "".join(x.replace(" ", "") for x in lines if x and ":" not in x)
+def private_key(kind: str, body: str, sign: str = "") -> bool:
+    """Whether an armoured body holds key material: a DER or OpenSSH container, or base64 that can't be a placeholder.
+
+    ``sign`` is the comment sign before the BEGIN line, if any; it is taken off each line of the body.
+    """
+    signs = ("*",) if sign.startswith("/*") else (sign,)
+    lines = [x.strip() for x in escapes(body).splitlines()]
+    lines = [next((x.removeprefix(c) for c in signs if c and x.startswith(c)), x).strip().strip("\"'+\\,.") for x in lines]
+    packed = "".join(x.replace(" ", "") for x in lines if x and ":" not in x and not (kind.startswith("PGP ") and re.fullmatch(r"=[A-Za-z0-9+/]{1,4}", x)))
     if not re.fullmatch(r"[A-Za-z0-9+/]{32,}={0,2}", packed):
         return False
     try:
@@ -135,12 +141,13 @@ def armoured(text: str) -> Iterator[tuple[int, int]]:
     """Spans of private keys between their BEGIN and END lines; a BEGIN before the END opens anew."""
     ends: dict[str, int] = {}
     for m in ARMOUR.finditer(text):
-        close = f"-----END {m[1]}PRIVATE KEY-----"
+        close = f"-----END {m[1]}PRIVATE KEY{m[2] or ''}-----"
         if ends.get(close, 0) >= 0 and ends.get(close, 0) <= m.end():
             ends[close] = text.find(close, m.end())
         end = ends[close]
         again = text.find("-----BEGIN ", m.end(), end) if end >= 0 else 0
-        if end >= 0 and again < 0 and private_key(m[1], text[m.end() : end]):
+        before = COMMENTED.match(text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 100) : m.start()])
+        if end >= 0 and again < 0 and private_key(m[1], text[m.end() : end], before[1] if before else ""):
             yield m.start(), end + len(close)
 
 
@@ -187,7 +194,7 @@ def usable(value: str, named: bool, decoding: bool = False, depth: int = 0) -> b
         return False
     if (m := ISSUED.search(value)) and not PLACEHOLDER.match(m[0]):
         return True
-    if "PRIVATE KEY-----" in value and next(armoured(value), None):
+    if "PRIVATE KEY" in value and next(armoured(value), None):
         return True
     for m in URL.finditer(value):
         if usable(unquote(m[2]), True, depth=depth + 1):
@@ -301,7 +308,7 @@ def credentials(text: str | None, path: str | None = None) -> list[tuple[int, in
         return []
     _TRIGGER = _TRIGGER or _automaton()
     spans: list[tuple[int, int, bool]] = []
-    spans += [(a, b, True) for a, b in (armoured(text) if "PRIVATE KEY-----" in text else ())]
+    spans += [(a, b, True) for a, b in (armoured(text) if "PRIVATE KEY" in text else ())]
     low = text.lower()
     if len(low) != len(text):  # some letters grow in lower case
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)

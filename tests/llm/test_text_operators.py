@@ -219,6 +219,23 @@ def test_long_tokens_and_other_binaries():
         assert credentials(f'BLOB = "{base64.b64encode(raw).decode()}"\n', "a.py") == []
 
 
+@pytest.mark.parametrize("sign,first,last", [("# ", "", ""), ("// ", "", ""), (" * ", "/*\n", "\n */"), ("* ", "", ""), ("-- ", "", ""), (";; ", "", ""), ("    # ", "", ""), ("", "", "")])
+def test_keys_in_comments(sign, first, last):
+    body = base64.b64encode(_keys()["pkcs1"]).decode()
+    rsa = ["-----BEGIN RSA PRIVATE KEY-----", *(body[i : i + 64] for i in range(0, len(body), 64)), "-----END RSA PRIVATE KEY-----"]
+    body = base64.b64encode(b"\x95\x01" + np.random.default_rng(6).bytes(500)).decode()
+    pgp = ["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: 2", "", *(body[i : i + 64] for i in range(0, len(body), 64)), "=aB3+", "-----END PGP PRIVATE KEY BLOCK-----"]
+    for block in (rsa, pgp):
+        text = f"a = 1\n{first}" + "\n".join(sign + x for x in block) + f"{last}\nb = 2\n"
+        spans = credentials(text, "a.py")
+        red = blank(text, spans)
+        assert sum(s[2] for s in spans) == 1 and not [x for x in block if x and x in red] and red.endswith(f"{last}\nb = 2\n")
+    text = f"/* -----BEGIN RSA PRIVATE KEY-----\n" + "".join(f" * {x}\n" for x in rsa[1:]) + " */\n"
+    assert len(credentials(text, "a.js")) == 1
+    empty = "\n".join(sign + x for x in ("-----BEGIN RSA PRIVATE KEY-----", "your key here", "-----END RSA PRIVATE KEY-----"))
+    assert credentials(empty, "a.py") == []
+
+
 def test_credentials_of_odd_texts():
     assert credentials(None) == credentials("") == []
     assert credentials("password" * 50_000) == []
