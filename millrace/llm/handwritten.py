@@ -111,11 +111,11 @@ def repair(tokens: list) -> int:
     return left + 2 * rules
 
 
-def reuse(tokens: list, window: int = 1024) -> float:
-    """Grammar size against length, over windows of a long sequence; 1 where nothing recurs."""
+def reuse(tokens: list) -> float:
+    """Size of one grammar over the whole sequence against its length; 1 where nothing recurs."""
     if len(tokens) < 8:
         return 1.0
-    return sum(repair(tokens[i : i + window]) for i in range(0, len(tokens), window)) / len(tokens)
+    return repair(tokens) / len(tokens)
 
 
 def incompressible(literal: bytes) -> bool:

@@ -128,6 +128,18 @@ def test_verdicts():
     assert reuse(list("a" * 5000)) < 0.1
 
 
+def test_one_grammar_over_the_whole_sequence():
+    record = list(range(1500))
+    assert reuse(record * 4) < 0.51
+    rng = random.Random(6)
+    names = "".join(rng.choice("+-*/%&|^,.:<>=[](){}!?~@") for _ in range(24 * 1500))
+    record = "".join(f"a{names[24 * i : 24 * i + 24]}b\n" for i in range(1500)).replace("/*", "/").replace("=>", "=")
+    assert verdict("x = 1\n" + record * 4) == "generated"
+    begun = time.time()
+    assert reuse([rng.randrange(300) for _ in range(200_000)]) < 1 and reuse(list("ab" * 100_000)) < 0.01
+    assert time.time() - begun < 60
+
+
 def test_prints_meet_wherever_seven_lines_recur():
     block = [f"line number {i} of the shared part" for i in range(9)]
     a = "\n".join(["one thing"] * 3 + block + ["last of a"]).encode()
