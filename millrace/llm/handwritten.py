@@ -25,16 +25,80 @@ RAW_STRING = re.compile(rb'r#+"(?:[^"]|"(?!#))*"#+|' + STRING.pattern, re.S)
 WORD = re.compile(rb"[A-Za-z_$][\w$]*")
 COMMENT = re.compile(rb"(?m)^[ \t]*(?:#|//)[^\n]*$|/\*[\s\S]*?\*/")
 FLOW = re.compile(rb"\b(?:if|elif|elsif|else|unless|for|foreach|while|loop|until|return|def|function|fn(?=[^;{]*\{)|sub|try|except|catch|match|switch|throw|raise|die|await|yield|lambda|impl|with)\b|=>[ ]*\{")
-# Folders and notices of third-party code, and banners of generators, at the start of a comment.
+# Folders and notices of third-party code, and banners of generators, as a line of a comment begins with them.
 VENDOR_PATH = re.compile(r"/(?:vendor|vendored|third[_-]party|node_modules|bower_components|site-packages|extern|external|deps)/[^/]+/")
 VENDOR_NOTICE = re.compile(
-    rb"(?im)^[\s/#*!;]*(?:copyright \(c\) (?:\d{4},? )?the \S+ (?:authors|contributors|developers)|\S+ v?\d+\.\d+(?:\.\d+)?\S* (?:- upstream copy|\| ?\(c\))|@license\b)"
+    rb"(?i)(?:copyright \(c\) (?:\d{4},? )?the \S+ (?:authors|contributors|developers)|\S+ v?\d+\.\d+(?:\.\d+)?\S* (?:- upstream copy|\| ?\(c\))|@license\b)"
 )
 BANNER = re.compile(
-    rb"(?im)^[\s/#*!;]*(?:@generated\b|<auto-?generated>|code generated by|auto-?generated (?:file|by|from)|automatically generated|generated (?:by|from|with) \S+|machine (?:written|generated)\b|output of \S+ on input"
+    rb"(?i)(?:@generated\b|<auto-?generated>|code generated by|auto-?generated (?:file|by|from)|automatically generated|generated (?:by|from|with) \S+|machine (?:written|generated)\b|output of \S+ on input"
     rb"|this file (?:is|was) (?:auto-?generated|(?:generated|produced|written) automatically|generated|machine)|do not (?:edit|modify)(?: this file)?(?: by hand)?:? ?(?:-|regenerate|this file|$))"
 )
-HEAD = 1500
+# Banners that speak of the whole file wherever they stand, and words without which a text holds no notice or banner.
+OF_FILE = re.compile(rb"(?i)(?:@generated\b|<auto-?generated>|code generated by|auto-?generated file|this file (?:is|was) )|.*\bdo not (?:edit|modify)\b")
+HINTS = (b"generated", b"do not edit", b"do not modify", b"machine written", b" automatically", b"output of", b"copyright (c)", b"upstream copy", b"(c)", b"@license")
+OPEN = re.compile(rb"""(?m)^[ \t]*(?:#|//)[^\n]*|(/\*)|^(\"\"\"|\'\'\'|=[a-z]\w*)|(\"\"\"|\'\'\'|`)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|<<~?["']?([A-Z_]\w*)""")
+
+
+def comment_lines(body: bytes) -> Iterator[tuple[bytes, bool, bool]]:
+    """(line, opens, ahead) of the lines of all comments without their signs: whether it opens a block or a paragraph, and stands before any code.
+
+    Strings are passed over, so text of templates is none; docstrings at the margin and POD are comments.
+    """
+    ends: dict[bytes, int] = {}
+    at, ahead, fresh = 0, True, True
+
+    def find(close: bytes, start: int) -> int:
+        if close not in ends or 0 <= ends[close] < start:
+            ends[close] = body.find(close, start)
+        return ends[close]
+
+    while m := OPEN.search(body, at):
+        between = body[at : m.start()]
+        if between.strip():
+            ahead, fresh = False, True
+        elif between.count(b"\n") > 1:
+            fresh = True
+        opener = m[1] or m[2] or m[3] or m[4]
+        end, closed = m.end(), m.end()
+        if opener:
+            close = b"*/" if m[1] else b"\n=cut" if opener[:1] == b"=" else b"\n" + opener if m[4] else opener
+            k = find(close, m.end())
+            if k < 0:
+                at = m.end()
+                continue
+            end, closed = k, k + len(close)
+        at = closed
+        if m[3] or m[4] or (not opener and m[0][:1] in b"\"'"):
+            ahead, fresh = False, True
+            continue
+        if opener:
+            fresh = True
+        for line in body[m.end() if opener else m.start() : end].split(b"\n"):
+            text = line.strip(b" \t\r\f\v/#*!;")
+            if not text or line.startswith(b"#!") or b"coding:" in line[:40]:
+                fresh = True
+                continue
+            yield text, fresh, ahead
+            fresh = False
+        if opener:
+            fresh = True
+
+
+def banners(body: bytes) -> tuple[int, bool]:
+    """How far comments call a text generated, and whether they name a third party.
+
+    2: a banner opens a block before all code, or opens one anywhere and speaks of the file; it decides alone. 1: another banner.
+    """
+    low = body.lower()
+    if not any(x in low for x in HINTS):
+        return 0, False
+    rank, notice = 0, False
+    for line, opens, ahead in comment_lines(body):
+        if rank < 2 and BANNER.match(line):
+            rank = 2 if opens and (ahead or OF_FILE.match(line)) else 1
+        notice = notice or bool(VENDOR_NOTICE.match(line))
+    return rank, notice
 
 
 def _strings(body: bytes) -> re.Pattern:
@@ -123,7 +187,7 @@ def incompressible(literal: bytes) -> bool:
     return len(literal) >= 400 and literal.count(b" ") * 50 < len(literal) and len(zlib.compress(literal, 1)) > 0.55 * len(literal)
 
 
-def verdict(text: str | None) -> str | None:
+def verdict(text: str | None, banner: int | None = None) -> str | None:
     """generated, minified, blob, data or null by the text alone; null and blank texts are none of them."""
     if not text or not text.strip():
         return None
@@ -134,8 +198,9 @@ def verdict(text: str | None) -> str | None:
     in_literals = sum(map(len, literals))
     bare = strings.sub(b'"', code)
     solid = len(code) - code.count(b" ") - code.count(b"\n") - code.count(b"\t") - code.count(b"\r")
+    banner = banners(body)[0] if banner is None else banner
     if solid < 60:
-        return None
+        return "generated" if solid and banner == 2 else None
     words = WORD.findall(bare)
     statements = shapes(code)
     flow = len(FLOW.findall(bare))
@@ -154,10 +219,12 @@ def verdict(text: str | None) -> str | None:
         names = sum(map(len, words)) / len(words)
         if names < 4 and len(code) - solid < 0.1 * len(code):
             return "minified"
+    if banner == 2:
+        return "generated"
     ratio = reuse(statements)
     if len(statements) >= 8 and flow <= 0.05 * len(statements) and ratio < 0.78:
         return "generated"
-    if BANNER.search(body[:HEAD]) and ratio < 0.9 and flow <= 0.25 * len(statements):
+    if banner and ratio < 0.9 and flow <= 0.25 * len(statements):
         return "generated"
     return None
 
@@ -195,8 +262,9 @@ def examined(files: DataFrame) -> DataFrame:
             for path, content in zip(paths, contents):
                 text = content.as_py()
                 body = text.encode("utf-8", "replace")
-                kinds.append(verdict(text))
-                notices.append(bool(text.strip()) and bool(VENDOR_NOTICE.search(body[:HEAD]) or VENDOR_PATH.search(path.as_py())))
+                banner, notice = banners(body)
+                kinds.append(verdict(text, banner))
+                notices.append(bool(text.strip()) and bool(notice or VENDOR_PATH.search(path.as_py())))
                 prints.append(fingerprints(body))
             yield pa.RecordBatch.from_arrays([ids, repos, paths, pa.array(kinds, pa.string()), pa.array(notices, pa.bool_()), pa.array(prints, pa.list_(pa.int64()))], names=["file_id", "repo", "path", "verdict", "notice", "prints"])
 

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.handwritten import fingerprints, repair, reuse, verdict
+from millrace.llm.handwritten import banners, fingerprints, repair, reuse, verdict
 from millrace.llm.mixing import highest_quotients
 from millrace.llm.packing import best_fit
 from millrace.llm.reading import fit, running_words
@@ -140,6 +140,26 @@ def test_one_grammar_over_the_whole_sequence():
     assert time.time() - begun < 60
 
 
+def test_banners_beyond_the_head_and_of_files_rich_in_flow():
+    flow = "".join(f"def call_{i}(a, b):\n    if a > {i}:\n        return b.m{i}(a)\n    return None\n" for i in range(12))
+    licence = "".join(f"# Line {i} of a licence text that is long enough to fill the head of the file.\n" for i in range(40))
+    assert verdict(flow) is verdict(licence + flow) is None
+    for banner in ("# @generated by stubs 1.2\n", "# Code generated by stubs. DO NOT EDIT.\n", "# Generated by the protocol compiler. DO NOT EDIT!\n"):
+        assert verdict(banner + flow) == verdict(licence + "\n" + banner + flow) == verdict("#!/usr/bin/env python\n" + banner + flow) == "generated"
+        assert verdict("".join(f"import module_{i}\n" for i in range(150)) + "\n" + banner + flow) == "generated"
+    assert verdict("/*\n * Code generated by stubs.\n */\nexport function first(a) { return a.length + a.width + a.height; }\nexport const b = 1;\n") == "generated"
+    assert verdict(flow + "# generated by the loop above\n") is None
+    assert verdict(flow + 'HEAD = """\n// Code generated by this tool. DO NOT EDIT.\n"""\n') is None
+    assert banners((licence + "\n# Copyright (c) 2020 the Foo authors\n" + flow).encode())[1] and not banners((licence + flow).encode())[1]
+
+
+@pytest.mark.parametrize("sign", ["#\n", "/* ", "# generated by x\n", "'''", '<<"A"\n', "=pod\n", "#", " \n", "generated `"])
+def test_comments_of_long_texts_take_linear_time(sign):
+    begun = time.time()
+    banners(b"generated\n" + sign.encode() * 100_000)
+    assert time.time() - begun < 10
+
+
 def test_prints_meet_wherever_seven_lines_recur():
     block = [f"line number {i} of the shared part" for i in range(9)]
     a = "\n".join(["one thing"] * 3 + block + ["last of a"]).encode()
