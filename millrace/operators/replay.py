@@ -77,12 +77,12 @@ def review_list_recall(records: DataFrame) -> DataFrame:
     return rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if("hit").alias("n_hit"))
 
 
-def threshold_candidates(records: DataFrame, baseline: float, most: int = 512) -> DataFrame:
+def threshold_candidates(records: DataFrame, baseline: float, most: int = 4096) -> DataFrame:
     """Per rule with boolean answers the thresholds to try: observed values, 0, 1 and the baseline, those nearest the baseline first.
 
     ``most`` is the search's budget, a feature of it: candidates beyond are not tried.
     """
-    seen = records.filter("answer.type = 'boolean' AND answer.noul IS NOT NULL").select("rule_id", F.round("answer.noul", 2).alias("threshold"))
+    seen = records.filter("answer.type = 'boolean' AND answer.noul IS NOT NULL").select("rule_id", F.col("answer.noul").alias("threshold"))
     rules = seen.select("rule_id").distinct()
     fixed = rules.select("rule_id", F.explode(F.array(F.lit(0.0), F.lit(1.0), F.lit(baseline))).alias("threshold"))
     every = seen.unionByName(fixed).distinct()
@@ -95,7 +95,7 @@ def candidate_metrics(records: DataFrame, candidates: DataFrame) -> DataFrame:
 
     Answers are first reduced to counts by rule, value and label, so the join with candidates meets values, not cases.
     """
-    reduced = records.filter("answer.type = 'boolean' AND answer.noul IS NOT NULL").groupBy("rule_id", F.round("answer.noul", 4).alias("p"), "label").agg(F.count(F.lit(1)).alias("n"))
+    reduced = records.filter("answer.type = 'boolean' AND answer.noul IS NOT NULL").groupBy("rule_id", F.col("answer.noul").alias("p"), "label").agg(F.count(F.lit(1)).alias("n"))
     hit = F.col("p") >= F.col("threshold")
     value = utility(F.col("label"), hit, hit)
     rows = reduced.join(candidates, "rule_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import spans
 from millrace.functions.assessment import assess, policies
-from millrace.operators import discovery, packing, services
+from millrace.operators import discovery, packing, replay, services
 from millrace.plans.queries import REGISTRY
 from millrace.plans.shipping import ship
 from millrace.sources import jsonl
@@ -72,6 +72,18 @@ def test_spans(spark):
     assert [r.s for r in text] == [[0, 4, 6], [0], None]
 
 
+def test_candidates_are_the_observed_values(spark):
+    seen = [(f"r{k % 2}", ("boolean", k / 1250), "Agree" if k % 3 else "Disagree") for k in range(1, 1250)]
+    df = spark.createDataFrame(seen, "rule_id string, answer struct<type:string,noul:double>, label string")
+    got = replay.threshold_candidates(df, 0.71)
+    for rule in ("r0", "r1"):
+        values = {a[1] for r, a, _ in seen if r == rule}
+        assert {r.threshold for r in got.filter(f"rule_id = '{rule}'").collect()} == values | {0.0, 1.0, 0.71}
+    close = spark.createDataFrame([("r", ("boolean", 0.712341), "Agree"), ("r", ("boolean", 0.712339), "Disagree")], df.schema)
+    rows = {r.threshold: (r.agree_signal, r.disagree_signal) for r in replay.candidate_metrics(close, replay.threshold_candidates(close, 0.71)).collect()}
+    assert rows[0.712341] == (1, 0) and rows[0.712339] == rows[0.71] == (1, 1)
+
+
 def test_next_fit(spark):
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate([4, 5, 3, 7, 2, 9])], "g string, o long, s long")
     assert [r.batch for r in packing.next_fit(df, "g", "o", "s", 10).orderBy("o").collect()] == [0, 0, 1, 1, 2, 3]
