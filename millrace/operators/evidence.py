@@ -13,6 +13,11 @@ def byte_slice(text: Column, start: Column, end: Column) -> Column:
     return F.decode(F.substring(F.encode(text, "utf-8"), start.cast("int") + 1, (end - start).cast("int")), "utf-8")
 
 
+def abbreviated(signature: Column, most: int = 1024) -> Column:
+    """A signature as shown: beyond ``most`` characters it is cut and says so."""
+    return F.when(F.length(signature) > most, F.concat(F.left(signature, F.lit(most)), F.lit(" [signature abbreviated]"))).otherwise(signature)
+
+
 def at_boundary(text: Column, offset: Column) -> Column:
     """Whether a byte offset lies between two characters: the byte there doesn't continue one."""
     byte = F.conv(F.hex(F.substring(F.encode(text, "utf-8"), offset.cast("int") + 1, 1)), 16, 10).cast("int")

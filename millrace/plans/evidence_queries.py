@@ -67,7 +67,7 @@ def branch_counts(spark, d):
 @REGISTRY.query("WITH signed AS (SELECT * FROM units WHERE signature IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY scanned_at DESC NULLS LAST, ingested_at DESC NULLS LAST, start_byte DESC NULLS LAST, end_byte DESC NULLS LAST) = 1) SELECT unit_id, CASE WHEN len(signature) > 60 THEN left(signature, 60) || ' [signature abbreviated]' ELSE signature END AS signature FROM signed")
 def abbreviated_signatures(spark, d):
     rows = retrieval.latest_units(table(spark, d, "units").filter("signature IS NOT NULL"), "signature")
-    return rows.select("unit_id", F.when(F.length("signature") > 60, F.concat(F.left("signature", F.lit(60)), F.lit(" [signature abbreviated]"))).otherwise(F.col("signature")).alias("signature"))
+    return rows.select("unit_id", evidence.abbreviated(F.col("signature")).alias("signature"))
 
 
 @REGISTRY.query(f"WITH {CASES} SELECT case_id, list_sort(list_transform(json_extract_string(evidence.state, '$.documents[*].path'), lambda x: x)) = list_sort(map_keys(evidence.source_documents)) AS same_paths FROM cases")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import spans
 from millrace.functions.assessment import assess, policies
-from millrace.operators import discovery, packing, replay, services
+from millrace.operators import discovery, evidence, packing, replay, services
+from millrace.plans.evidence_queries import abbreviated_signatures
 from millrace.plans.queries import REGISTRY
 from millrace.plans.shipping import ship
 from millrace.sources import jsonl
@@ -84,6 +85,15 @@ def test_candidates_are_the_observed_values(spark):
     assert rows[0.712341] == (1, 0) and rows[0.712339] == rows[0.71] == (1, 1)
 
 
+def test_signatures_are_cut_above_1024_only(spark, data):
+    texts = ["def f():", "é" * 61, "x" * 1024, "y" * 1025]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(evidence.abbreviated(F.col("t")).alias("s")).collect()]
+    assert got == [*texts[:3], "y" * 1024 + " [signature abbreviated]"]
+    whole = {r.signature for r in spark.read.parquet(f"{data}/units.parquet").select("signature").collect()}
+    shown = [r.signature for r in abbreviated_signatures(spark, data).collect()]
+    assert max(map(len, shown)) > 60 and set(shown) <= whole
+
+
 def test_next_fit(spark):
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate([4, 5, 3, 7, 2, 9])], "g string, o long, s long")
     assert [r.batch for r in packing.next_fit(df, "g", "o", "s", 10).orderBy("o").collect()] == [0, 0, 1, 1, 2, 3]
