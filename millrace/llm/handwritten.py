@@ -24,6 +24,7 @@ STRING = re.compile(rb'"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^
 RAW_STRING = re.compile(rb'r#+"(?:[^"]|"(?!#))*"#+|' + STRING.pattern, re.S)
 WORD = re.compile(rb"[A-Za-z_$][\w$]*")
 COMMENT = re.compile(rb"(?m)^[ \t]*(?:#|//)[^\n]*$|/\*[\s\S]*?\*/")
+NUMBERED = re.compile(rb"[A-Za-z_](\d{1,9})(?!\w)")
 FLOW = re.compile(rb"\b(?:if|elif|elsif|else|unless|for|foreach|while|loop|until|return|def|function|fn(?=[^;{]*\{)|sub|try|except|catch|match|switch|throw|raise|die|await|yield|lambda|impl|with)\b|=>[ ]*\{")
 # Folders and notices of third-party code, and banners of generators, as a line of a comment begins with them.
 VENDOR_PATH = re.compile(r"/(?:vendor|vendored|third[_-]party|node_modules|bower_components|site-packages|extern|external|deps)/[^/]+/")
@@ -187,6 +188,18 @@ def incompressible(literal: bytes) -> bool:
     return len(literal) >= 400 and literal.count(b" ") * 50 < len(literal) and len(zlib.compress(literal, 1)) > 0.55 * len(literal)
 
 
+def numbered(code: bytes, steps: int = 3) -> bool:
+    """Whether names count up: the numbers at the ends of names go on by one, from 0 or 1 on, for some steps."""
+    want = 0
+    for m in NUMBERED.finditer(code):
+        n = int(m[1])
+        if n == want or n == 1 and not want:
+            want = n + 1
+            if want >= steps:
+                return True
+    return False
+
+
 def verdict(text: str | None, banner: int | None = None) -> str | None:
     """generated, minified, blob, data or null by the text alone; null and blank texts are none of them."""
     if not text or not text.strip():
@@ -214,76 +227,102 @@ def verdict(text: str | None, banner: int | None = None) -> str | None:
             return "data"
         if values >= 40 and values >= 3 * len([w for w in words if w not in (b"true", b"false", b"null", b"None", b"True", b"False")]):
             return "data"
-    longest = max(map(len, code.split(b"\n")))
-    if longest > 200 and len(words) >= 40 and in_literals < 0.5 * len(code):
+    lines = [len(x) for x in code.split(b"\n") if x.strip()]
+    if len(words) >= 40 and in_literals < 0.5 * len(code) and (max(lines) > 200 or sum(lines) > 60 * len(lines)):
         names = sum(map(len, words)) / len(words)
         if names < 4 and len(code) - solid < 0.1 * len(code):
             return "minified"
     if banner == 2:
         return "generated"
     ratio = reuse(statements)
-    if len(statements) >= 8 and flow <= 0.05 * len(statements) and ratio < 0.78:
+    if len(statements) >= 8 and flow <= 0.05 * len(statements) and ratio < 0.78 and (len(statements) >= 48 or numbered(code)):
         return "generated"
     if banner and ratio < 0.9 and flow <= 0.25 * len(statements):
         return "generated"
     return None
 
 
-def fingerprints(body: bytes, run: int = 4, window: int = 4) -> np.ndarray:
-    """Digests of the rules a corpus grammar would have over lines: runs of four lines without white space, winnowed.
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Digests of the symbols that pairs of symbols become."""
+    h = (a ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + b
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
 
-    Of each four neighbouring runs the least digest is kept, so any seven equal lines in a row share one. Shorter texts
-    have one digest. Lines of up to three characters, which close blocks, don't count.
+def corpus_rules(body: bytes, rounds: int = 5, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, lines) of the rules of the corpus grammar in a text: what each stands for, and the number of its lines.
+
+    Pairs of adjacent symbols are replaced as in Re-Pair, over lines without white space; but which pairs isn't told by their
+    count, known only over the whole corpus, but by a bit of each symbol's digest, so all texts take part in one grammar without
+    meeting: equal runs of lines become equal rules wherever they stand, up to the few at their edges. Rounds go on as
+    long as a rule has about four lines; those of fewer than ``least`` are no evidence. A text without any rule is one. Lines of up to three
+    characters, which close blocks, don't count.
     """
     lines = [x for x in body.translate(None, b" \t\r\f\v").split(b"\n") if len(x) > 3]
     if not lines:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-    if len(h) < run:
-        return np.array([xxhash.xxh3_64_intdigest(b"\n".join(lines))], np.uint64).view(np.int64)
-    g = np.zeros(len(h) - run + 1, np.uint64)
-    for k in range(run):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - run + 1 + k]
-    g ^= g >> np.uint64(32)
-    if len(g) <= window:
-        return np.unique(g.min(keepdims=True)).view(np.int64)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(g, window).min(axis=1)).view(np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    s = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+    size = np.ones(len(s), np.int32)
+    whole = np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64)
+    for k in range(rounds):
+        left = (s >> np.uint64(7 * k)) & np.uint64(1) == 0
+        first = np.flatnonzero(left[:-1] & ~left[1:])
+        s[first], size[first] = _join(s[first], s[first + 1]), size[first] + size[first + 1]
+        stay = np.ones(len(s), bool)
+        stay[first + 1] = False
+        s, size = s[stay], size[stay]
+    rule = size >= least
+    if not rule.any():
+        return whole.view(np.int64), np.array([len(lines)], np.int32)
+    return s[rule].view(np.int64), size[rule]
 
 
 def examined(files: DataFrame) -> DataFrame:
-    """(file_id, repo, path, verdict, notice, prints) of every row with a suffix of the five languages and readable content."""
+    """(file_id, repo, path, verdict, notice, rules, sizes) of every row with a suffix of the five languages and readable content."""
     repo = F.coalesce("repo", F.substring_index("path", "/", 2))
     rows = files.filter(language_of(F.col("path")).isNotNull() & F.col("content").isNotNull()).select("file_id", repo.alias("repo"), "path", "content")
+    fields = pa.schema([("file_id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("verdict", pa.string()), ("notice", pa.bool_()), ("rules", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, repos, paths, contents = batch.columns
-            kinds, notices, prints = [], [], []
+            kinds, notices, rules, sizes = [], [], [], []
             for path, content in zip(paths, contents):
                 text = content.as_py()
                 body = text.encode("utf-8", "replace")
                 banner, notice = banners(body)
                 kinds.append(verdict(text, banner))
                 notices.append(bool(text.strip()) and bool(notice or VENDOR_PATH.search(path.as_py())))
-                prints.append(fingerprints(body))
-            yield pa.RecordBatch.from_arrays([ids, repos, paths, pa.array(kinds, pa.string()), pa.array(notices, pa.bool_()), pa.array(prints, pa.list_(pa.int64()))], names=["file_id", "repo", "path", "verdict", "notice", "prints"])
+                digests, lines = corpus_rules(body)
+                rules.append(digests)
+                sizes.append(lines)
+            columns = [ids, repos, paths, pa.array(kinds, pa.string()), pa.array(notices, pa.bool_()), pa.array(rules, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
-    return rows.mapInArrow(run, "file_id BIGINT, repo STRING, path STRING, verdict STRING, notice BOOLEAN, prints ARRAY<BIGINT>")
+    return rows.mapInArrow(run, "file_id BIGINT, repo STRING, path STRING, verdict STRING, notice BOOLEAN, rules ARRAY<BIGINT>, sizes ARRAY<INT>")
 
 
 def not_handwritten(files: DataFrame, share: float = 0.5) -> DataFrame:
     """(file_id, path, reason) of the files of the five languages that nobody wrote by hand in their repo; one row a file.
 
-    The reason is the text's verdict, else ``vendored``: more than ``share`` of the file's rules occur in another repo
-    too, or it stands in a third-party folder or bears a third-party notice. Null, empty and comment-only files are not
-    named; repeats count once, and copies within one repo are no sign. Prints are joined by digest; a
-    digest's repos are reduced to the least and the greatest before the shuffle, however many files hold it.
+    The reason is the text's verdict, else ``vendored``: rules of the corpus grammar that occur in another repo too stand for more
+    than ``share`` of the lines in rules, or the file stands in a third-party folder or bears a third-party notice. Null,
+    empty and comment-only files are not named; repeats count once, and copies within one repo are no sign. Which of two
+    repositories had the text first isn't known, so both have it from a third.
+
+    Rules are joined by digest. A digest's repos are reduced to the least and the greatest before the shuffle; shared digests of a
+    ten-thousandth of all rows or more, of which there are ten thousand at most, are broadcast, so no key of the join is hot.
     """
     rows = keep(examined(files))
-    posts = rows.select("file_id", "repo", F.explode("prints").alias("digest"))
-    shared = posts.groupBy("digest").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("digest")
-    hits = posts.select("file_id", "digest").distinct().join(shared, "digest").groupBy("file_id").agg(F.count(F.lit(1)).alias("hits"))
-    one = rows.groupBy("file_id").agg(F.max(F.struct("path", "verdict", "notice", F.size("prints").alias("n"))).alias("r")).select("file_id", "r.*")
+    posts = rows.select("file_id", "repo", F.explode(F.arrays_zip("rules", "sizes")).alias("x")).select("file_id", "repo", F.col("x.rules").alias("digest"), F.col("x.sizes").alias("lines"))
+    shared = keep(posts.groupBy("digest").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.count(F.lit(1)).alias("df")).filter("a <> b").select("digest", "df"))
+    bar = (rows.agg(F.sum(F.size("rules"))).first()[0] or 0) / 10_000
+    both = posts.select("file_id", "digest", "lines")
+    met = both.join(F.broadcast(shared.filter(F.col("df") >= bar)), "digest").unionByName(both.join(shared.filter(F.col("df") < bar), "digest"))
+    hits = met.groupBy("file_id", "digest").agg(F.max("lines").alias("lines")).groupBy("file_id").agg(F.sum("lines").alias("hits"))
+    known = F.map_from_entries(F.array_distinct(F.arrays_zip("rules", "sizes")))
+    total = F.aggregate(F.map_values(known), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    one = rows.groupBy("file_id").agg(F.max(F.struct("path", "verdict", "notice", total.alias("n"))).alias("r")).select("file_id", "r.*")
     judged = one.join(hits, "file_id", "left")
     reason = F.coalesce("verdict", F.when(F.col("notice") | (F.col("hits") > share * F.col("n")), F.lit("vendored")))
     return judged.select("file_id", "path", reason.alias("reason")).filter("reason IS NOT NULL")

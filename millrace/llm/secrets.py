@@ -38,7 +38,7 @@ PAIR = re.compile(r"[\"'`]([\w.\-]+)[\"'`]\s*,\s*[rbf]?$")
 CALL = re.compile(r"([\w$]+)!?\(([^()]*)$")
 OPENS = re.compile(r"(?i)connect|client|login|sign_?in|authenticate|open_?session|credential")
 DECODES = re.compile(r"(?i)decode|atob|b64|base64|fromhex|unhex|unescape|unquote")
-URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{0,30}://([^\s:/@\"'`<>]{0,256}):([^\s@\"'`/]{1,1024})@[\w\[{$]")
+URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*+://([^\s:/@\"'`<>]*+):([^\s@\"'`/]++)@[\w\[{$]")
 CONN = re.compile(r"(?i)(?:^|[;\"'`\s])(?:pwd|password)=([^;\"'`\s]+)(?=;)|;(?:pwd|password)=([^;\"'`\s]+)")
 HEADER = re.compile(r"(?i)\b(bearer|basic|token)[ :]+([A-Za-z0-9+/=_\-.]{8,})")
 LOOSE = re.compile(
@@ -54,6 +54,9 @@ TRIGGERS = ["pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "
 # What makes a line one to look at without any of these: literals in the forms layers() decodes, and short parts that are joined on.
 ENCODED = re.compile(r"[\"'`](?:[A-Za-z0-9+/_\-]{12,}+={0,2}[\"'`]|[A-Za-z0-9+/_\-]{1,11}={0,2}[\"'`]\s*+[+.\\\"'`])|%[0-9A-Fa-f]{2}|\\[^\s\"'`ntr0]")
 BARE_ENCODED = re.compile(ENCODED.pattern + r"|[=:][ \t]*+[A-Za-z0-9+/_\-]{12,}+={0,2}[ \t\r,]*+$", re.M)
+# A percent sign or backslash encoded again and again is one layer, so the number of layers is at most logarithmic in a text's length.
+NESTED_PERCENT = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")
+NESTED_ESCAPE = re.compile(r"\\(?:x5[cC]|u005[cC])+(?=[xu])")
 _TEXT = set(range(32, 127)) | {9, 10, 13}
 
 
@@ -84,45 +87,74 @@ def escapes(value: str) -> str:
     return re.sub(r"\\(?:x([0-9A-Fa-f]{2})|u\{?([0-9A-Fa-f]{4,6})\}?|x\{([0-9A-Fa-f]{1,6})\}|(.))", one, value, flags=re.S)
 
 
+def _der(raw: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(tag, start, end) of the values that fill ``raw[at:end]`` by the grammar of DER; the last has tag -1 where one doesn't fit."""
+    while at < end:
+        if at + 2 > end:
+            yield -1, at, end
+            return
+        tag, n, at = raw[at], raw[at + 1], at + 2
+        if n & 0x80:
+            k = n & 0x7F
+            if not 1 <= k <= 4 or at + k > end:
+                yield -1, at, end
+                return
+            n, at = int.from_bytes(raw[at : at + k]), at + k
+        if at + n > end:
+            yield -1, at, end
+            return
+        yield tag, at, at + n
+        at += n
+
+
 def der_sequence(raw: bytes) -> bool:
     """Whether the bytes are one DER SEQUENCE whose length fits and whose first field is an INTEGER, as private keys are."""
-    if len(raw) < 8 or raw[0] != 0x30:
+    whole = list(_der(raw, 0, len(raw))) if len(raw) >= 8 and raw[0] == 0x30 else []
+    return len(whole) == 1 and whole[0][0] == 0x30 and next(_der(raw, *whole[0][1:]), (0,))[0] == 0x02
+
+
+def openssh(raw: bytes) -> bool:
+    """Whether the bytes are an OpenSSH private key: magic, cipher, kdf and its options, the number of keys, public and private parts to the end."""
+    magic = b"openssh-key-v1\0"
+    if not raw.startswith(magic):
         return False
-    n, at = raw[1], 2
-    if n & 0x80:
-        k = n & 0x7F
-        if not 1 <= k <= 4:
+    at, fields = len(magic), 0
+    while at + 4 <= len(raw):
+        n = int.from_bytes(raw[at : at + 4])
+        if n == 0 and fields != 2:  # only the options may be empty
             return False
-        n, at = int.from_bytes(raw[2 : 2 + k]), 2 + k
-    return at + n == len(raw) and raw[at] == 0x02
+        # the number of keys stands between the options and the parts
+        at, fields = at + 4 + (n if fields != 3 else 0), fields + 1
+    return fields >= 6 and at == len(raw)
 
 
 def key_container(raw: bytes) -> bool:
-    """Whether the bytes are a private key by their grammar: OpenSSH, or DER as PKCS#8, PKCS#1 and DSA or SEC1 have it."""
-    if raw.startswith(b"openssh-key-v1\0"):
+    """Whether the bytes are a private key by their grammar, read to the end: OpenSSH, or DER as PKCS#8 (plain or encrypted), PKCS#1, DSA and SEC1 have it."""
+    if openssh(raw):
         return True
-    if not der_sequence(raw):
+    whole = list(_der(raw, 0, len(raw))) if len(raw) >= 8 and raw[0] == 0x30 else []
+    if len(whole) != 1:
         return False
-    at = 2 + (raw[1] & 0x7F if raw[1] & 0x80 else 0)
-    version, tags = raw[at + 2] if raw[at + 1] == 1 else -1, []
-    while at + 2 <= len(raw):
-        tags.append(raw[at])
-        n, at = raw[at + 1], at + 2
-        if n & 0x80:
-            k = n & 0x7F
-            if not 1 <= k <= 4:
-                return False
-            n, at = int.from_bytes(raw[at : at + k]), at + k
-        at += n
-    if at != len(raw) or version not in (0, 1):
+    parts = list(_der(raw, *whole[0][1:]))
+    tags = [t for t, _, _ in parts]
+    if -1 in tags or not tags:
         return False
-    return tags[1:3] == [0x30, 0x04] or (len(tags) >= 6 and set(tags[:6]) == {0x02}) or (version == 1 and tags[1:2] == [0x04])
+    if tags == [0x30, 0x04]:  # encrypted: an algorithm with its parameters, and octets
+        inner = [t for t, _, _ in _der(raw, *parts[0][1:])]
+        return inner == [0x06, 0x30] and parts[1][2] - parts[1][1] >= 32
+    version = raw[parts[0][1]] if tags[0] == 0x02 and parts[0][2] - parts[0][1] == 1 else -1
+    if version not in (0, 1):
+        return False
+    if tags[1:3] == [0x30, 0x04]:
+        return next(_der(raw, *parts[1][1:]), (0,))[0] == 0x06
+    return (len(tags) >= 6 and set(tags[:6]) == {0x02}) or (version == 1 and tags[1:2] == [0x04] and parts[1][2] - parts[1][1] >= 16)
 
 
 def private_key(kind: str, body: str, sign: str = "") -> bool:
-    """Whether an armoured body holds key material: a DER or OpenSSH container, or base64 that can't be a placeholder.
+    """Whether an armoured body holds key material: a container by its grammar, or base64 of high entropy.
 
-    ``sign`` is the comment sign before the BEGIN line, if any; it is taken off each line of the body.
+    The armour itself says what the body is, so bytes that are no container (a format unknown here, or one cut short) still count where
+    they can't be a placeholder or text; without armour the grammar alone decides (``key_container``). ``sign`` is the comment sign before the BEGIN line, if any; it is taken off each line of the body.
     """
     signs = ("*",) if sign.startswith("/*") else (sign,)
     lines = [x.strip() for x in escapes(body).splitlines()]
@@ -134,7 +166,7 @@ def private_key(kind: str, body: str, sign: str = "") -> bool:
         raw = base64.b64decode(packed + "=" * (-len(packed) % 4), validate=True)
     except binascii.Error:
         return len(set(packed)) > 16
-    return der_sequence(raw) or raw.startswith(b"openssh-key-v1\0") or len(set(raw)) > 16
+    return key_container(raw) or (len(set(raw)) > 16 and not set(raw) <= _TEXT)
 
 
 def armoured(text: str) -> Iterator[tuple[int, int]]:
@@ -163,9 +195,9 @@ def binaries(value: str) -> Iterator[bytes]:
 
 def layers(value: str) -> Iterator[str]:
     """What a value decodes to in one step: percent, escapes, base64 and hex, where the result is text."""
-    if "%" in value and (v := unquote(value)) != value:
+    if "%" in value and (v := unquote(NESTED_PERCENT.sub("%", value))) != value:
         yield v
-    if "\\" in value and (v := escapes(value)) != value:
+    if "\\" in value and (v := escapes(NESTED_ESCAPE.sub(r"\\", value))) != value:
         yield v
     for raw in binaries(value):
         if set(raw) <= _TEXT:
@@ -187,7 +219,7 @@ def shaped(value: str) -> bool:
 
 
 def usable(value: str, named: bool, decoding: bool = False, depth: int = 0) -> bool:
-    """Whether a value, or what it decodes to over at most five layers, is a credential."""
+    """Whether a value, or what it decodes to over any number of layers, is a credential; every layer is shorter than the one before."""
     if any(map(key_container, binaries(value))):
         return True
     if len(value) <= 4096 and PLACEHOLDER.match(value):
@@ -205,7 +237,7 @@ def usable(value: str, named: bool, decoding: bool = False, depth: int = 0) -> b
         user, _, rest = value.partition(":")
         if re.fullmatch(r"[\w.\-@]+", user) and shaped(rest):
             return True
-    return depth < 5 and any(usable(v, named, decoding, depth + 1) for v in layers(value))
+    return any(usable(v, named, decoding, depth + 1) for v in layers(value))
 
 
 def _login(value: str) -> bool:
@@ -218,9 +250,36 @@ def _names(name: str) -> bool:
     return bool(SECRET.search(name)) and not OTHER.search(name)
 
 
+_BLANKS = re.compile(r"\s*+")
+
+
+def _before(line: str, start: int, least: int = 400) -> str:
+    """What stands before a literal: at least ``least`` characters, blanks between words counted as one, and no name cut in two."""
+    out, size, at = [], 0, start
+    while at > 0 and size < least:
+        k = at
+        while k > 0 and at - k < least and not line[k - 1].isspace():
+            k -= 1
+        if k < at:
+            out.append(line[k:at])
+            size += at - k
+            at = k
+            continue
+        while k > 0 and line[k - 1].isspace():
+            k -= 1
+        out.append(" ")
+        size += 1
+        at = k
+    while at > 0 and size < 8 * least and (line[at - 1].isalnum() or line[at - 1] in "_$.-"):
+        k = at - 1
+        out.append(line[k:at])
+        size, at = size + 1, k
+    return "".join(reversed(out))
+
+
 def _logical(text: str, start: int, config: bool) -> int:
     """End of the line at ``start``, with those after it that go on with the same literal; a bare value's padding doesn't."""
-    at, last, concat, depth, opened = start, "", False, 0, False
+    at, last, concat, depth, opened, ahead = start, "", False, 0, False, -1
     while True:
         end = text.find("\n", at)
         if end < 0:
@@ -235,10 +294,14 @@ def _logical(text: str, start: int, config: bool) -> int:
             if concat := concat or "concat" in line:
                 code = LITERAL.sub("", line)
                 depth += code.count("(") - code.count(")")
-        tail = text[end + 1 : end + 200].lstrip()
+        if ahead <= end:  # the next character that isn't blank
+            ahead = _BLANKS.match(text, end + 1).end()
+        tail = text[ahead : ahead + 1]
+        k = _BLANKS.match(text, ahead + 1).end() if tail and tail in "+." else len(text)
+        then = text[k : k + 1]
         goes_on = last.endswith(("+", "(", "\\", "\" .", "' .", "=>")) or (last.endswith("=") and not config)
-        goes_on = goes_on or (concat and depth > 0 and last.endswith((",", "\"", "'"))) or (tail[:1] in ("+", ".") and tail[1:].lstrip()[:1] in ("\"", "'", "`"))
-        if not goes_on and not (opened and last.endswith(("\"", "'")) and tail[:1] in ("\"", "'")):
+        goes_on = goes_on or (concat and depth > 0 and last.endswith((",", "\"", "'"))) or (then and then in "\"'`")
+        if not goes_on and not (opened and last.endswith(("\"", "'")) and tail in ("\"", "'")):
             return end
         at = end + 1
 
@@ -258,7 +321,7 @@ def _line(line: str, config: bool) -> Iterator[tuple[int, int]]:
         value = escapes("".join(line[a:b] for a, b in parts))
         if len(value) < 8:
             continue
-        before = line[max(0, start - 300) : start]
+        before = _before(line, start)
         name = (m := BEFORE.search(before)) and m[1] or ""
         call = (m := CALL.search(before)) and m[1] or ""
         if not name and not OPENS.search(call) and (m := PAIR.search(before)):

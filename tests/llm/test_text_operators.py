@@ -12,11 +12,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.handwritten import banners, fingerprints, repair, reuse, verdict
+from millrace.llm.handwritten import banners, corpus_rules, repair, reuse, verdict
 from millrace.llm.mixing import highest_quotients
 from millrace.llm.packing import best_fit
 from millrace.llm.reading import fit, running_words
-from millrace.llm.secrets import blank, credentials, der_sequence
+from millrace.llm.secrets import blank, credentials, der_sequence, key_container
 from millrace.llm.splitting import pieces
 from millrace.llm.syntax import N, DIALECTS, permitted, python_fault, reduced
 from millrace.llm.tokenizer import DEFAULT_VOCABULARY, PATTERN, Encoder, load_ranks
@@ -160,12 +160,28 @@ def test_comments_of_long_texts_take_linear_time(sign):
     assert time.time() - begun < 10
 
 
-def test_prints_meet_wherever_seven_lines_recur():
-    block = [f"line number {i} of the shared part" for i in range(9)]
-    a = "\n".join(["one thing"] * 3 + block + ["last of a"]).encode()
-    b = "\n".join([f"other {i}" for i in range(40)] + block).encode()
-    assert set(fingerprints(a)) & set(fingerprints(b))
-    assert len(fingerprints(b"")) == 0 and len(fingerprints(b"short one")) == 1
+def test_rules_meet_wherever_lines_recur():
+    rng = random.Random(8)
+    line = lambda: "".join(rng.choices("abcdefgh", k=12))
+    for _ in range(20):
+        block = [line() for _ in range(60)]
+        (a, size), (b, _) = (corpus_rules("\n".join([line() for _ in range(n)] + block + [line() for _ in range(n)]).encode()) for n in (3, 40))
+        assert size[np.isin(a, b)].sum() >= 35
+        assert not np.isin(corpus_rules("\n".join(line() for _ in range(60)).encode())[0], a).any()
+    assert len(corpus_rules(b"")[0]) == 0 and len(corpus_rules(b"short one")[0]) == 1 and corpus_rules(b"same\n" * 50)[1].tolist() == [50]
+
+
+def test_hand_written_tables_are_not_generated():
+    routes = "from app import views\n\nROUTES = [\n" + "".join(f'    ("{a}/", views.{a}, "{a}"),\n' for a in "home about contact login logout search items orders users teams".split()) + "]\n"
+    data = "from dataclasses import dataclass\n\n" + "".join(f"\n@dataclass\nclass {c}:\n    name: str\n    size: int\n    owner: str\n    weight: float\n" for c in ("Crate", "Lorry", "Berth", "Depot", "Crane"))
+    assert verdict(routes) is verdict(data) is None
+    visitors = "".join(f"    def visit_{i}(self, node):\n        if node.kind == {i}:\n            return self.walk(node)\n        return None\n" for i in range(200))
+    assert verdict("# @generated by grammar 3\nclass Visitor:\n" + visitors) == "generated"
+
+
+def test_minified_text_wrapped_at_a_width():
+    text = "var a=b(c,1);" + "".join(f"if(a){{b(c.d({i}))}}var e=f[{i}]||g;" for i in range(60))
+    assert verdict(text) == verdict("\n".join(text[i : i + 150] for i in range(0, len(text), 150))) == "minified"
 
 
 SECRETS = [
@@ -229,10 +245,13 @@ def _keys():
     big = lambda i, n: _der(2, b"\x01" + np.random.default_rng(i).bytes(n))
     zero, one = b"\x02\x01\x00", b"\x02\x01\x01"
     rsa = _der(0x30, zero, big(0, 256), b"\x02\x03\x01\x00\x01", big(1, 256), *(big(i, 128) for i in range(2, 7)))
-    return {"pkcs1": rsa, "pkcs8": _der(0x30, zero, bytes.fromhex("300d06092a864886f70d0101010500"), _der(4, rsa)), "sec1": _der(0x30, one, b"\x04\x20" + np.random.default_rng(8).bytes(32)), "openssh": b"openssh-key-v1\0" + np.random.default_rng(9).bytes(400)}
+    algorithm = _der(0x30, bytes.fromhex("06092a864886f70d01050d"), _der(0x30, b"\x05\x00"))
+    fields = [b"aes256-ctr", b"bcrypt", np.random.default_rng(7).bytes(24), None, np.random.default_rng(9).bytes(51), np.random.default_rng(9).bytes(160)]
+    openssh = b"openssh-key-v1\0" + b"".join((1).to_bytes(4) if f is None else len(f).to_bytes(4) + f for f in fields)
+    return {"encrypted": _der(0x30, algorithm, _der(4, np.random.default_rng(3).bytes(400))), "pkcs1": rsa, "pkcs8": _der(0x30, zero, bytes.fromhex("300d06092a864886f70d0101010500"), _der(4, rsa)), "sec1": _der(0x30, one, b"\x04\x20" + np.random.default_rng(8).bytes(32)), "openssh": openssh}
 
 
-@pytest.mark.parametrize("kind", ["pkcs1", "pkcs8", "sec1", "openssh"])
+@pytest.mark.parametrize("kind", ["pkcs1", "pkcs8", "encrypted", "sec1", "openssh"])
 @pytest.mark.parametrize("name", ["private_key", "BLOB"])
 def test_keys_without_armour(kind, name):
     raw = _keys()[kind]
@@ -242,6 +261,19 @@ def test_keys_without_armour(kind, name):
         assert sum(s[2] for s in spans) == 1 and value not in blank(text, spans)
 
 
+def test_any_number_of_layers_and_of_blanks():
+    value = TOKEN
+    for _ in range(9):
+        value = base64.b64encode(value.encode()).decode()
+        assert credentials(f'x = decode("{value}")\n', "a.py")
+    assert credentials(f'u = "gh%{"25" * 50_000}70_{TOKEN[4:]}"\n', "a.py") and credentials(f'u = "gh\\{"x5c" * 50_000}x70_{TOKEN[4:]}"\n', "a.py")
+    assert credentials("password =" + " " * 5_000 + '"Valve741!owner"\n', "a.py") == [(5_011, 5_025, True)]
+    assert len(credentials('token = ("ghs_cqfMHHa7GbWtY6xiNmL" +\n' + " " * 5_000 + '"abcdefgh12345678")\n', "a.py")) == 2
+    assert credentials('dsn = "postgres://' + "u" * 3_000 + ":" + "bud204HEIGHT%23" * 200 + '@db.example.org/x"\n', "a.py")
+    for raw in (_keys()["openssh"][:-5], _keys()["pkcs1"][:-5], b"openssh-key-v1\0" + bytes(80), _keys()["encrypted"][:-5]):
+        assert not key_container(raw)
+
+
 def test_long_tokens_and_other_binaries():
     token = base64.urlsafe_b64encode(np.random.default_rng(4).bytes(900)).decode()
     assert credentials(f'refresh_token = "{token}"\n', "a.py") and credentials(f"SESSION_TOKEN={token}\n", "a.env")
@@ -312,7 +344,7 @@ LONG = {"one word": "a" * 200_000, "secret word": "password" * 25_000, "open": "
 @pytest.mark.parametrize("text", LONG.values(), ids=LONG)
 def test_long_texts_take_linear_time(text):
     begun = time.time()
-    credentials(text, "a.py"), credentials(text, "a.ini"), verdict(text), running_words(text), fingerprints(text.encode())
+    credentials(text, "a.py"), credentials(text, "a.ini"), verdict(text), running_words(text), corpus_rules(text.encode())
     for dialect in DIALECTS.values():
         reduced(text, dialect)
     pieces(text.encode(), 2000, 160)
