@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; only where it is unset (tests) make one."""
+    """Use ``spark.checkpoint.dir`` of the session; where it is unset make one on a single machine (tests), and raise on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
 
 
@@ -23,9 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table under the checkpoint folder and read back, so later scans read only their columns."""
+    """``df`` written once as a table under the checkpoint folder and read back, so later scans read only their columns.
+
+    The session owns the table: plans made from it may run at any time until it ends, and with it the table is deleted.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
