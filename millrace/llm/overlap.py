@@ -1,7 +1,7 @@
 """Problem 1: cases that stand in an evaluation split and, the same or nearly, in the development split.
 
 Distinct lines without white space are cut by a rolling hash into content-defined chunks; chunk digests are joined across
-splits; the shared lengths give overlap fractions, and an exact check of lines and words decides.
+splits; the summed lengths of shared chunks give overlap fractions, and an exact check of lines and words decides.
 """
 
 from __future__ import annotations
@@ -93,19 +93,40 @@ def side(split):
     return F.when(name == "development", "dev").when(name.isin("heldout", "validation"), "eval")
 
 
-CHUNKED = "case_id STRING, side STRING, split STRING, source STRING, evidence BIGINT, question BIGINT, words ARRAY<STRING>, lines ARRAY<BIGINT>, digests ARRAY<BIGINT>, weights ARRAY<FLOAT>, lengths ARRAY<INT>"
+CHUNKED = "case_id STRING, side STRING, split STRING, source STRING, evidence BIGINT, question BIGINT, words ARRAY<STRING>, lines ARRAY<BIGINT>, digests ARRAY<BIGINT>, lengths ARRAY<INT>"
+_PARTS = 0xFFFF  # the low bits of a chunk's digest: into how many chunks its line was cut
+
+
+def weight(digest):
+    """The lines a chunk stands for: one over the number of chunks of its line, which its digest holds."""
+    return 1.0 / digest.bitwiseAND(F.lit(_PARTS))
+
+
+def occurrences(digests: np.ndarray, parts: np.ndarray, case: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, digests) by case: each chunk's digest with the number of chunks of its line and its count among equal ones of the case.
+
+    So a case's chunks are a set, and the weights of the chunks two cases share sum up to at least the number of lines they share.
+    """
+    mixed = _mix(digests.view(np.uint64) * np.uint64(_BASE) + parts.astype(np.uint64))
+    order = np.lexsort((mixed, case))
+    mixed, case = mixed[order], case[order]
+    new = np.concatenate([[True], (case[1:] != case[:-1]) | (mixed[1:] != mixed[:-1])]) if len(case) else np.empty(0, bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(case)), 0)) if len(case) else case
+    turn = (np.arange(len(case)) - first).astype(np.uint64)
+    mixed = _mix(mixed.view(np.uint64) + turn * np.uint64(_BASE))
+    return order, (mixed & ~np.int64(_PARTS)) | np.clip(parts[order], 1, _PARTS)
 
 
 def chunked(cases: DataFrame) -> DataFrame:
-    """One row per case row of either side with its classes (evidence, question), line digests and distinct chunks.
+    """One row per case row of either side with its classes (evidence, question), line digests and chunks.
 
-    A chunk's weight is the number of lines it stands for: a line's weight of 1 is shared by its chunks. Cases with no
-    line or no word can match nothing and are left out.
+    Cases with no line or no word can match nothing and are left out.
     """
     split = F.lower(F.regexp_replace("split", r"[\s\-_]", ""))
     source = F.coalesce(clean_key(F.get_json_object("provenance", "$.source_group")), F.lit("(none)"))
     rows = cases.select("case_id", side(F.col("split")).alias("side"), split.alias("split"), source.alias("source"), "question_wire", F.map_values("evidence.source_documents").alias("documents"))
     rows = rows.filter("case_id IS NOT NULL AND side IS NOT NULL")
+    kinds = pa.schema([(n, pa.string()) for n in ("case_id", "side", "split", "source")] + [("evidence", pa.int64()), ("question", pa.int64()), ("words", pa.list_(pa.string())), ("lines", pa.list_(pa.int64())), ("digests", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -117,21 +138,18 @@ def chunked(cases: DataFrame) -> DataFrame:
                 counts = np.fromiter(map(len, lines), np.int64, len(lines))
                 of_line = np.repeat(np.arange(len(lines)), counts)
                 whole_lines, digests, lengths, owner = chunk([x for own in lines for x in own])
-                weights = 1.0 / np.bincount(owner, minlength=len(of_line))[owner] if len(owner) else np.empty(0)
+                parts = np.bincount(owner, minlength=len(of_line))[owner] if len(owner) else owner
                 case = of_line[owner] if len(owner) else owner
-                order = np.lexsort((digests, case))
-                case, digests, lengths, weights = case[order], digests[order], lengths[order], weights[order]
-                new = np.flatnonzero(np.concatenate([[True], (case[1:] != case[:-1]) | (digests[1:] != digests[:-1])])) if len(case) else case
-                weights = np.add.reduceat(weights, new) if len(new) else weights
-                case, digests, lengths = case[new], digests[new], lengths[new]
-                offsets = np.searchsorted(case, np.arange(len(lines) + 1))
-                line_order = np.lexsort((whole_lines, of_line))
-                sorted_lines = whole_lines[line_order]
+                order, digests = occurrences(digests, parts, case)
+                offsets = np.searchsorted(case[order], np.arange(len(lines) + 1))
+                sorted_lines = whole_lines[np.lexsort((whole_lines, of_line))]
                 line_offsets = np.concatenate([[0], np.cumsum(counts)])
                 classes = [int.from_bytes(_short(sorted_lines[a:b].tobytes()), "big", signed=True) for a, b in zip(line_offsets, line_offsets[1:])]
                 questions = [int.from_bytes(_short(" ".join(w).encode()), "big", signed=True) for w in words]
                 lists = lambda values, where, kind: pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(values, kind))
-                out = pa.table([*batch.columns[:4], pa.array(classes, pa.int64()), pa.array(questions, pa.int64()), pa.array(words, pa.list_(pa.string())), lists(sorted_lines, line_offsets, pa.int64()), lists(digests, offsets, pa.int64()), lists(weights.astype(np.float32), offsets, pa.float32()), lists(lengths, offsets, pa.int32())], names=["case_id", "side", "split", "source", "evidence", "question", "words", "lines", "digests", "weights", "lengths"])
+                columns = [*batch.columns[:4], pa.array(classes, pa.int64()), pa.array(questions, pa.int64()), pa.array(words, pa.list_(pa.string()))]
+                columns += [lists(sorted_lines, line_offsets, pa.int64()), lists(digests, offsets, pa.int64()), lists(lengths[order], offsets, pa.int32())]
+                out = pa.table(columns, schema=kinds)
                 yield from out.filter(pa.array([bool(w) and c > 0 for w, c in zip(words, counts)])).to_batches()
 
     return rows.mapInArrow(run, CHUNKED)
@@ -141,81 +159,113 @@ def _short(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=8).digest()
 
 
-def evidence_pairs(rows: DataFrame, least: float = 0.5) -> DataFrame:
+def rare_first(posts: DataFrame, owner: str, key: str, size: str, weight, least: float, bar: float) -> DataFrame:
+    """Of each owner's keys the rare ones, without which the rest weighs no more than ``least`` of its size; with ``df``, how many owners hold the key.
+
+    Keys that stand on one side only can't be shared and are dropped first. Those of at least ``bar`` owners are looked up by broadcast (their
+    number is at most that of all posts over ``bar``), the others by a shuffle in which no key is hot. Keys are ordered from common to
+    rare, ties by the key, alike for all owners; so two owners that share more than ``least`` of the size of the larger share a kept key.
+    """
+    known = posts.groupBy(key).agg(F.count(F.lit(1)).alias("df"), F.max("dev").alias("d"), F.max("eval").alias("e")).filter("d AND e").select(key, "df")
+    known = keep(known)
+    shared = posts.join(F.broadcast(known.filter(F.col("df") >= bar)), key).unionByName(posts.join(known.filter(F.col("df") < bar), key))
+    down = Window.partitionBy(owner).orderBy(F.desc("df"), key)
+    shared = shared.withColumn("rest", F.sum(weight).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    return shared.filter(F.col("rest") > least * F.col(size) - 1e-3).drop("rest")
+
+
+def evidence_pairs(rows: DataFrame, least: float = 0.5, salt: int = 4096) -> DataFrame:
     """(a, b) of evidence classes, one of a development and one of an evaluation case, that share more than ``least`` of their lines.
 
-    Chunks that stand on one side only can't be shared and are dropped. The others of a class are ordered from rare to common; those
-    after which the rest weighs no more than ``least`` of its lines can be left out: two classes above ``least`` share
-    a chunk among the kept ones, in that same order, on both sides. So common chunks join only classes made of little
-    else, and no link is lost. Equal classes were made one before. An exact check of the line sets follows.
+    Classes meet by the digests of their rare chunks (``rare_first``); so common chunks join only classes made of little else, and no
+    link is lost. The two sides of a chunk held by more than ``salt`` classes are dealt to several tasks. Then the lengths of all
+    chunks two classes share, in lines, are summed and give their overlap fraction, which is never below that of the lines; pairs above
+    ``least`` are checked against the line sets. Equal classes were made one before.
     """
-    sides = rows.groupBy("evidence").agg(F.max(F.col("side") == "dev").alias("dev"), F.max(F.col("side") == "eval").alias("eval"))
-    classes = rows.groupBy("evidence").agg(F.first("lines").alias("lines"), F.first("digests").alias("digests"), F.first("weights").alias("weights"))
-    classes = keep(classes.join(sides, "evidence"))
-    posts = classes.select("evidence", "dev", "eval", F.size("lines").alias("n"), F.explode(F.arrays_zip("digests", "weights")).alias("c")).select("evidence", "dev", "eval", "n", F.col("c.digests").alias("digest"), F.col("c.weights").alias("weight"))
-    known = posts.groupBy("digest").agg(F.count(F.lit(1)).alias("df"), F.max("dev").alias("d"), F.max("eval").alias("e")).filter("d AND e").select("digest", "df")
+    classes = rows.groupBy("evidence").agg(F.first("lines").alias("lines"), F.first("digests").alias("digests"), F.max(F.col("side") == "dev").alias("dev"), F.max(F.col("side") == "eval").alias("eval"))
+    classes = keep(classes)
+    posts = classes.select("evidence", "dev", "eval", F.size("lines").alias("n"), F.explode("digests").alias("digest"))
     # chunks in a hundredth of all classes or more: at most 100 times the mean number of chunks of a class
-    bar = classes.count() / 100
-    known = keep(known)
-    hot, cold = known.filter(F.col("df") >= bar), known.filter(F.col("df") < bar)
-    shared = posts.join(F.broadcast(hot), "digest").unionByName(posts.join(cold, "digest"))
-    down = Window.partitionBy("evidence").orderBy(F.desc("df"), "digest")
-    shared = shared.withColumn("rest", F.sum(F.col("weight").cast("double")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = keep(shared.filter(F.col("rest") > least * F.col("n") - 1e-3).select("digest", "evidence", "dev", "eval", "n"))
-    left = kept.filter("dev").select("digest", F.col("evidence").alias("a"), F.col("n").alias("na"))
-    right = kept.filter("eval").select("digest", F.col("evidence").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "digest").filter(F.least("na", "nb") > least * F.greatest("na", "nb")).select("a", "b").distinct()
-    lines = classes.select("evidence", "lines")
-    both = pairs.join(lines.toDF("a", "la"), "a").join(lines.toDF("b", "lb"), "b")
+    kept = keep(rare_first(posts, "evidence", "digest", "n", weight(F.col("digest")), least, classes.count() / 100))
+    tasks = F.ceil(F.col("df") / salt).cast("int")
+    left = kept.filter("dev").select("digest", F.pmod(F.xxhash64("evidence"), tasks).cast("int").alias("task"), F.col("evidence").alias("a"), F.col("n").alias("na"))
+    right = kept.filter("eval").select("digest", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.col("evidence").alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, ["digest", "task"]).filter(F.least("na", "nb") > least * F.greatest("na", "nb")).select("a", "b").distinct()
+    sets = classes.select("evidence", "lines", "digests")
+    both = pairs.join(sets.toDF("a", "la", "da"), "a").join(sets.toDF("b", "lb", "db"), "b")
+    size = F.size("la") + F.size("lb")
+    shared = F.aggregate(F.array_intersect("da", "db"), F.lit(0.0), lambda total, x: total + weight(x))
+    both = both.filter(shared > least * (size - shared) - 1e-3)
     same = F.size(F.array_intersect("la", "lb"))
-    return both.filter(same > least * (F.size("la") + F.size("lb") - same)).select("a", "b")
+    return both.filter(same > least * (size - same)).select("a", "b")
 
 
-def overlaps(cases: DataFrame, least_lines: float = 0.5, least_words: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """Pairs (dev_id, eval_id) of near-same cases across splits, and the chunked rows they come from.
+def links(cases: DataFrame, least_lines: float = 0.5, least_words: float = 0.75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, qa, b, qb): classes of development and of evaluation cases that are near-same; the members of all classes; and the chunked rows.
 
-    A pair shares more than ``least_lines`` of the distinct lines found in either and more than ``least_words`` of the
-    distinct words found in either question. Question classes meet only under a pair of evidence classes, by a prefix of their
-    words. Cases of other or null splits, without lines or without words pair with none. Repeated rows give one pair.
+    Linked classes share more than ``least_lines`` of the distinct lines found in either and more than ``least_words`` of the
+    distinct words found in either question. Question classes meet only under a pair of evidence classes, by their rare words. Cases
+    of other or null splits, without lines or without words, are in no class.
     """
     rows = keep(chunked(cases))
     pairs = evidence_pairs(rows, least_lines)
-    size = F.size("words")
-    prefix = F.slice("words", F.lit(1), (size - F.floor(size * least_words)).cast("int"))
-    asked = rows.groupBy("evidence", "side", "question").agg(F.first("words").alias("words")).select("*", F.explode(prefix).alias("word"))
-    a = asked.filter("side = 'dev'").select(F.col("evidence").alias("a"), F.col("question").alias("qa"), F.col("words").alias("wa"), "word")
-    b = asked.filter("side = 'eval'").select(F.col("evidence").alias("b"), F.col("question").alias("qb"), F.col("words").alias("wb"), "word")
-    met = pairs.join(a, "a").join(b, ["b", "word"])
+    asked = keep(rows.groupBy("question").agg(F.first("words").alias("words"), F.max(F.col("side") == "dev").alias("dev"), F.max(F.col("side") == "eval").alias("eval")))
+    posts = asked.select("question", "dev", "eval", F.size("words").alias("n"), F.explode("words").alias("word"))
+    rare = rare_first(posts, "question", "word", "n", F.lit(1.0), least_words, asked.count() / 100).select("question", "word").join(asked.select("question", "words"), "question")
+    by_class = rows.select("evidence", "side", "question").distinct().join(rare, "question")
+    a = by_class.filter("side = 'dev'").select(F.col("evidence").alias("a"), F.col("question").alias("qa"), F.col("words").alias("wa"), "word")
+    b = by_class.filter("side = 'eval'").select(F.col("evidence").alias("b"), F.col("question").alias("qb"), F.col("words").alias("wb"), "word")
     same = F.size(F.array_intersect("wa", "wb"))
-    met = met.filter(same > least_words * (F.size("wa") + F.size("wb") - same)).select("a", "qa", "b", "qb").distinct()
+    met = pairs.join(a, "a").join(b, ["b", "word"]).filter(same > least_words * (F.size("wa") + F.size("wb") - same))
     members = rows.select("case_id", "side", "evidence", "question").distinct()
+    return keep(met.select("a", "qa", "b", "qb").distinct()), members, rows
+
+
+def _expanded(met: DataFrame, members: DataFrame) -> DataFrame:
     dev = members.filter("side = 'dev'").select(F.col("case_id").alias("dev_id"), F.col("evidence").alias("a"), F.col("question").alias("qa"))
     held = members.filter("side = 'eval'").select(F.col("case_id").alias("eval_id"), F.col("evidence").alias("b"), F.col("question").alias("qb"))
-    return met.join(dev, ["a", "qa"]).join(held, ["b", "qb"]).select("dev_id", "eval_id", "a", "b"), rows
+    return met.join(dev, ["a", "qa"]).join(held, ["b", "qb"]).filter("dev_id <> eval_id").select("dev_id", "eval_id", "a", "b")
 
 
 def found(cases: DataFrame) -> DataFrame:
-    """(case_id_a, case_id_b), the lesser id first; a case that came with both kinds of split pairs with no other row of itself."""
-    pairs, _ = overlaps(cases)
-    return pairs.filter("dev_id <> eval_id").select(F.least("dev_id", "eval_id").alias("case_id_a"), F.greatest("dev_id", "eval_id").alias("case_id_b")).distinct()
+    """(case_id_a, case_id_b), the lesser id first; a case that came with both kinds of split pairs with no other row of itself. Repeated rows give one pair."""
+    met, members, _ = links(cases)
+    return _expanded(met, members).select(F.least("dev_id", "eval_id").alias("case_id_a"), F.greatest("dev_id", "eval_id").alias("case_id_b")).distinct()
+
+
+def classes(cases: DataFrame) -> DataFrame:
+    """(case_id, side, class_id, n_links): each case that can match, with the least case_id of those of its side with the same lines and
+    words, and the number of classes of the other side it is near-same to. Pairs of members are never made."""
+    met, members, _ = links(cases)
+    named = members.groupBy("side", "evidence", "question").agg(F.min("case_id").alias("class_id"))
+    dev = met.groupBy(F.col("a").alias("evidence"), F.col("qa").alias("question")).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("dev"))
+    held = met.groupBy(F.col("b").alias("evidence"), F.col("qb").alias("question")).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("eval"))
+    by = ["side", "evidence", "question"]
+    named = named.join(dev.unionByName(held), by, "left").select(*by, "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+    return members.join(named, by).select("case_id", "side", "class_id", "n_links")
 
 
 def fractions(cases: DataFrame) -> DataFrame:
-    """(dev_id, eval_id, shared_bytes, dev_fraction, eval_fraction): lengths of shared chunks against those of each case."""
-    pairs, rows = overlaps(cases)
+    """(dev_id, eval_id, shared_bytes, dev_fraction, eval_fraction): lengths of shared chunks against those of each case, once for each pair of classes."""
+    met, members, rows = links(cases)
     chunks = rows.groupBy("evidence").agg(F.first("digests").alias("digests"), F.first("lengths").alias("lengths"))
-    classes = pairs.select("a", "b").distinct()
     parts = chunks.select("evidence", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("evidence", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
     total = parts.groupBy("evidence").agg(F.sum("length").alias("bytes"))
     mine, theirs = parts.toDF("a", "digest", "length"), parts.select(F.col("evidence").alias("b"), "digest")
-    shared = classes.join(mine, "a").join(theirs, ["b", "digest"]).groupBy("a", "b").agg(F.sum("length").alias("shared_bytes"))
-    out = pairs.join(shared, ["a", "b"]).join(total.toDF("a", "bytes_a"), "a").join(total.toDF("b", "bytes_b"), "b")
+    shared = met.select("a", "b").distinct().join(mine, "a").join(theirs, ["b", "digest"]).groupBy("a", "b").agg(F.sum("length").alias("shared_bytes"))
+    out = _expanded(met, members).join(shared, ["a", "b"]).join(total.toDF("a", "bytes_a"), "a").join(total.toDF("b", "bytes_b"), "b")
     return out.select("dev_id", "eval_id", "shared_bytes", (F.col("shared_bytes") / F.col("bytes_a")).alias("dev_fraction"), (F.col("shared_bytes") / F.col("bytes_b")).alias("eval_fraction")).distinct()
 
 
 def report(cases: DataFrame) -> DataFrame:
-    """(split, source, n_cases, n_overlapping): per evaluation split and source group, the cases with a development twin."""
-    pairs, rows = overlaps(cases)
-    hit = pairs.select(F.col("eval_id").alias("case_id")).distinct().withColumn("hit", F.lit(1))
-    own = rows.filter("side = 'eval'").select("case_id", "split", "source").distinct()
-    return own.join(hit, "case_id", "left").groupBy("split", "source").agg(F.countDistinct("case_id").alias("n_cases"), F.countDistinct(F.when(F.col("hit") == 1, F.col("case_id"))).alias("n_overlapping"))
+    """(split, source, n_cases, n_overlapping): per evaluation split and source group, the cases with a development twin.
+
+    A class is marked by the classes it is linked to, each reduced to its least and greatest case; no pair of cases is made.
+    """
+    met, members, rows = links(cases)
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    dev = members.filter("side = 'dev'").groupBy(F.col("evidence").alias("a"), F.col("question").alias("qa")).agg(F.min("case_id").alias("lo"), F.max("case_id").alias("hi"))
+    hit = met.join(dev, ["a", "qa"]).groupBy(F.col("b").alias("evidence"), F.col("qb").alias("question")).agg(*ends)
+    own = rows.filter("side = 'eval'").select("case_id", "split", "source", "evidence", "question").distinct()
+    twin = F.when((F.col("lo") != F.col("case_id")) | (F.col("hi") != F.col("case_id")), F.col("case_id"))
+    return own.join(hit, ["evidence", "question"], "left").groupBy("split", "source").agg(F.countDistinct("case_id").alias("n_cases"), F.countDistinct(twin).alias("n_overlapping"))

@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "calibration_cases"))
 
 
+@_register
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.classes(table(spark, d, "calibration_cases"))
+
+
 @_register
 def p1_fractions(spark: SparkSession, d: str) -> DataFrame:
     return overlap.fractions(table(spark, d, "calibration_cases"))

@@ -40,15 +40,44 @@ raw AS (
 SELECT x AS case_id, least(x, min(y)) AS group_case_id FROM reach GROUP BY x
 """
 
-SQL["p1_found"] = r"""
+_LINED = r"""
 WITH raw AS (
-  SELECT DISTINCT case_id, lower(regexp_replace(split, '[\s\-_]', '', 'g')) AS split, map_values(evidence.source_documents) AS docs, json_extract_string(question_wire, '$.instructions') AS q FROM calibration_cases
+  SELECT DISTINCT case_id, lower(regexp_replace(split, '[\s\-_]', '', 'g')) AS split, map_values(evidence.source_documents) AS docs, json_extract_string(question_wire, '$.instructions') AS q,
+    coalesce(CASE WHEN lower(trim(json_extract_string(provenance, '$.source_group'))) NOT IN ('', '-', 'none', 'n/a', 'unknown') THEN lower(trim(json_extract_string(provenance, '$.source_group'))) END, '(none)') AS source
+  FROM calibration_cases
 ), lined AS (
-  SELECT case_id, split, q, list_distinct(list_filter(list_transform(flatten(list_transform(docs, lambda t: string_split(t, chr(10)))), lambda l: regexp_replace(l, '\s', '', 'g')), lambda l: l <> '')) AS lines,
-    list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+')) AS words FROM raw
+  SELECT case_id, split, source, CASE WHEN split = 'development' THEN 'dev' WHEN split IN ('heldout', 'validation') THEN 'eval' END AS side,
+    list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(docs, lambda t: string_split(t, chr(10)))), lambda l: regexp_replace(l, '\s', '', 'g')), lambda l: l <> ''))) AS lines,
+    list_sort(list_distinct(regexp_extract_all(lower(q), '[a-z0-9]+'))) AS words FROM raw
+), able AS (
+  SELECT * FROM lined WHERE side IS NOT NULL AND len(lines) > 0 AND len(words) > 0
+), reps AS (
+  SELECT side, lines, words, min(case_id) AS class_id, max(case_id) AS last_id FROM able GROUP BY ALL
 ), pairs AS (
-  SELECT d.case_id AS x, e.case_id AS y, len(list_intersect(d.lines, e.lines)) AS l, len(d.lines) + len(e.lines) AS nl, len(list_intersect(d.words, e.words)) AS w, len(d.words) + len(e.words) AS nw
-  FROM lined d JOIN lined e ON d.split = 'development' AND e.split IN ('heldout', 'validation') AND d.case_id <> e.case_id
+  SELECT d.class_id AS x, e.class_id AS y, d.last_id AS x_last, len(list_intersect(d.lines, e.lines)) AS l, len(d.lines) + len(e.lines) AS nl, len(list_intersect(d.words, e.words)) AS w, len(d.words) + len(e.words) AS nw
+  FROM reps d JOIN reps e ON d.side = 'dev' AND e.side = 'eval'
+), linked AS (
+  SELECT * FROM pairs WHERE l > 0.5 * (nl - l) AND w > 0.75 * (nw - w)
+)"""
+
+SQL["p1_found"] = _LINED + """, classed AS (
+  SELECT DISTINCT a.case_id, r.class_id, r.side FROM able a JOIN reps r USING (side, lines, words)
+)
+SELECT DISTINCT least(d.case_id, e.case_id) AS case_id_a, greatest(d.case_id, e.case_id) AS case_id_b
+FROM linked JOIN classed d ON d.class_id = x AND d.side = 'dev' JOIN classed e ON e.class_id = y AND e.side = 'eval' WHERE d.case_id <> e.case_id
+"""
+
+SQL["p1_classes"] = _LINED + """, counts AS (
+  SELECT 'dev' AS side, x AS class_id, count(*) AS n FROM linked GROUP BY x UNION ALL SELECT 'eval', y, count(*) FROM linked GROUP BY y
+)
+SELECT DISTINCT a.case_id, a.side, r.class_id, coalesce(c.n, 0)::BIGINT AS n_links FROM able a JOIN reps r USING (side, lines, words) LEFT JOIN counts c ON c.side = r.side AND c.class_id = r.class_id
+"""
+
+SQL["p1_report"] = _LINED + """, twins AS (
+  SELECT DISTINCT y, x, x_last FROM linked
+), hit AS (
+  SELECT DISTINCT a.case_id, a.split, a.source FROM able a JOIN reps r USING (side, lines, words) JOIN twins t ON t.y = r.class_id WHERE a.side = 'eval' AND (t.x <> a.case_id OR t.x_last <> a.case_id)
 )
-SELECT DISTINCT least(x, y) AS case_id_a, greatest(x, y) AS case_id_b FROM pairs WHERE l > 0.5 * (nl - l) AND w > 0.75 * (nw - w)
+SELECT a.split, a.source, count(DISTINCT a.case_id)::BIGINT AS n_cases, count(DISTINCT h.case_id)::BIGINT AS n_overlapping
+FROM able a LEFT JOIN hit h ON h.case_id = a.case_id AND h.split = a.split AND h.source = a.source WHERE a.side = 'eval' GROUP BY a.split, a.source
 """

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLES = "source_files units diagnostics calibration_cases adjudications budget_estimates documents size_limits pack_limits split_targets mix_targets reading_labels".split()
-CLASHES = "ids tokens u r n key side lines digests label_ h shard m size part arrival spans verdict notice rules sizes hits fault codes dialect word words level_ score band bucket vertex copies base extra bound".split()
+CLASHES = "ids tokens u r n key side lines digests label_ h shard m size part arrival spans verdict notice rules sizes hits fault codes dialect word words level_ score band bucket vertex copies base extra bound df evidence question class_id task salt rest".split()
 
 
 def _cases() -> dict:
@@ -14,6 +14,7 @@ def _cases() -> dict:
 
     return {
         "p1": lambda t: overlap.found(t["calibration_cases"]),
+        "p1_classes": lambda t: overlap.classes(t["calibration_cases"]),
         "p1_report": lambda t: overlap.report(t["calibration_cases"]),
         "p2": lambda t: handwritten.not_handwritten(t["source_files"]),
         "p3": lambda t: splitting.split_units(t["units"], t["source_files"], t["size_limits"]),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-NAMES = ["p1", "p1_report", "p2", "p3", "p4", "p5", "p6", "p7", "p7_splits", "p8", "p9", "p10"]
+NAMES = ["p1", "p1_classes", "p1_report", "p2", "p3", "p4", "p5", "p6", "p7", "p7_splits", "p8", "p9", "p10"]
 
 
 def rows(df):
