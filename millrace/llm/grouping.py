@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import cut
+from millrace.plans.lineage import cut, keep
 
 # What stands for a missing key, after lower case and trimming.
 PLACEHOLDERS = ["", "-", "none", "n/a", "unknown"]
@@ -35,14 +35,14 @@ def case_keys(cases: DataFrame, adjudications: DataFrame) -> DataFrame:
     return own.filter("key IS NOT NULL").unionByName(scene).distinct()
 
 
-def spanning_forest(keys: DataFrame, node: str = "case_id", key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """Labels (``node``, label) and the forest's edges (node, key) of the bipartite graph of nodes and keys.
+def spanning_forest(keys: DataFrame, node: str = "case_id", key: str = "key") -> DataFrame:
+    """The spanning forest of the bipartite graph of nodes and keys, written as a table: its edges (``node``, ``key``) with the root of their tree.
 
     Each round every component takes its minimum edge under a total order that changes by round; the picks form trees
     with one mutual pair each, whose smaller end is the root. Pointers are doubled to the roots, edges within a
     component go, parallel edges are merged. A hub is a key with many edges, never a list of pairs; picks are a
     map-side combined minimum. Components halve at least each round. Every round is written to the shared checkpoint folder.
-    An empty input has no labels and no forest.
+    An empty input has no forest.
     """
     edges = keys.select(F.concat(F.lit("n:"), node).alias("u"), F.concat(F.lit("k:"), key).alias("v"))
     # a key on one node ties nothing
@@ -72,15 +72,31 @@ def spanning_forest(keys: DataFrame, node: str = "case_id", key: str = "key") ->
         edges = cut(merged.select("m.u", "m.v", F.col("pa").alias("a"), F.col("pb").alias("b")))
         labels = cut(labels)
         round_ += 1
-    forest = forest.distinct().select(F.substring("u", 3, 1 << 30).alias(node), F.substring("v", 3, 1 << 30).alias(key))
-    return labels.select(F.substring("vertex", 3, 1 << 30).alias(node), "label"), forest
+    forest = forest.distinct().join(labels.withColumnRenamed("vertex", "u"), "u")
+    forest = keep(forest.select(F.substring("u", 3, 1 << 30).alias(node), F.substring("v", 3, 1 << 30).alias(key), F.substring("label", 3, 1 << 30).alias("root"), F.left("label", F.lit(1)).alias("root_kind")))
+    return forest
+
+
+def forest(cases: DataFrame, adjudications: DataFrame) -> DataFrame:
+    """(case_id, key, group_case_id): the persisted spanning forest, an edge a row, with the smallest case_id of its tree as text."""
+    trees = spanning_forest(case_keys(cases, adjudications))
+    roots = trees.groupBy("root", "root_kind").agg(F.min("case_id").alias("group_case_id"))
+    return trees.join(roots, ["root", "root_kind"]).select("case_id", "key", "group_case_id")
 
 
 def groups(cases: DataFrame, adjudications: DataFrame) -> DataFrame:
-    """(case_id, group_case_id) of the cases tied to another, with the smallest case_id of the group as text."""
-    labels, _ = spanning_forest(case_keys(cases, adjudications))
-    smallest = labels.groupBy("label").agg(F.min("case_id").alias("group_case_id"))
-    return labels.join(smallest, "label").select("case_id", "group_case_id")
+    """(case_id, group_case_id) of the cases tied to another, with the smallest case_id of the group as text: the trees of the forest."""
+    return forest(cases, adjudications).select("case_id", "group_case_id").distinct()
+
+
+def tree_sizes(cases: DataFrame, adjudications: DataFrame) -> DataFrame:
+    """Per tree of the forest its cases, keys and edges; a tree has an edge less than it has cases and keys."""
+    return forest(cases, adjudications).groupBy("group_case_id").agg(F.countDistinct("case_id").alias("n_cases"), F.countDistinct("key").alias("n_keys"), F.count(F.lit(1)).alias("n_edges"))
+
+
+def together(assigned: DataFrame) -> DataFrame:
+    """Per group of two cases or more, its size and the number of splits it is in."""
+    return assigned.groupBy("group_case_id").agg(F.count(F.lit(1)).alias("n_cases"), F.countDistinct("target_split").alias("n_splits")).filter("n_cases > 1")
 
 
 def assign_splits(cases: DataFrame, adjudications: DataFrame, targets: DataFrame, seed: int = 7, large: int = 2000) -> DataFrame:

@@ -26,8 +26,8 @@ def best_fit(sizes: np.ndarray) -> np.ndarray:
     """Bin number of each row of ``sizes``, whose columns are parts of the capacity (each at most 1).
 
     Rows go in falling order of their largest part. Of the bins with room under every constraint the one whose
-    residual capacity has the largest weighted dot product with the row against its norm takes it; the weights are
-    the columns' mean sizes, so the scarcest capacity counts most. Without one, a new bin is opened.
+    weighted residual norm would be least takes it; the weights are the columns' mean sizes, so the scarcest capacity
+    counts most. Without one, a new bin is opened.
     """
     n, d = sizes.shape
     bins = np.empty(n, np.int64)
@@ -101,3 +101,14 @@ def packing_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     both = used.join(F.broadcast(limits), "model")
     bound = F.greatest(*(F.ceil(F.col(c) / F.col(f"max_{c}")) for c in DIMENSIONS))
     return both.select("model", "n_parts", "n_containers", bound.alias("least_containers"), *((F.col(c) / (F.col("n_containers") * F.col(f"max_{c}"))).alias(f"{c}_used") for c in DIMENSIONS))
+
+
+def packing_check(estimates: DataFrame, limits: DataFrame) -> DataFrame:
+    """(request_id, body_bytes, questions, n_parts, fits): of each packed request, what its parts add up to, how many they are, and
+    whether all their containers keep every limit and hold one model."""
+    packed = pack(estimates, limits)
+    room = limits.groupBy("model").agg(F.min(F.struct("max_body_bytes", "max_questions", "max_context_tokens")).alias("m")).select("model", "m.*")
+    full = packed.groupBy("container_id").agg(F.min("model").alias("model"), F.countDistinct("model").alias("n"), *(F.sum(c).alias(c) for c in DIMENSIONS)).join(F.broadcast(room), "model")  # one row a model
+    ok = full.select("container_id", ((F.col("n") == 1) & (F.col("body_bytes") <= F.col("max_body_bytes")) & (F.col("questions") <= F.col("max_questions")) & (F.col("context_tokens") <= F.col("max_context_tokens"))).alias("ok"))
+    parts = packed.select("request_id", "container_id", "part_no", "body_bytes", "questions").join(ok, "container_id")
+    return parts.groupBy("request_id").agg(F.sum("body_bytes").alias("body_bytes"), F.sum("questions").alias("questions"), F.countDistinct("part_no").alias("n_parts"), F.min("ok").alias("fits"))

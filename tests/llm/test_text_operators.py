@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from millrace.llm.handwritten import banners, corpus_rules, repair, reuse, verdict
 from millrace.llm.mixing import highest_quotients
 from millrace.llm.packing import best_fit
-from millrace.llm.reading import fit, running_words
+from millrace.llm.reading import english, fit, running_words
 from millrace.llm.secrets import blank, credentials, der_sequence, key_container
 from millrace.llm.splitting import pieces
 from millrace.llm.syntax import N, DIALECTS, permitted, python_fault, reduced
@@ -58,6 +58,28 @@ def test_pieces_cover_the_text_within_the_limit(parts, limit, overlap):
     assert all(a[0] < b[0] for a, b in zip(got, got[1:]))
 
 
+def test_pieces_end_where_structure_ends():
+    code = b"".join(b"// makes %d\nfunction f%d(a) {\nlet x = a;\nif (x) {\nreturn g(x);\n}\nreturn x + %d;\n}\n" % (i, i, i) for i in range(6))
+    for s, e, _ in pieces(code, 170, 0):
+        assert code[s:e].startswith(b"// makes") and code[s:e].endswith(b"}\n")
+    long = b"class A:\n    def f(self):\n" + b"        self.step(1)\n" * 20 + b"    def g(self):\n        return 1\nclass B:\n    x = 1\n"
+    got = [long[s:e] for s, e, _ in pieces(long, 120, 0)]
+    assert got[0].startswith(b"class A:\n    def f(self):\n        self") and got[-1] == b"class B:\n    x = 1\n" and got[-2].startswith(b"    def g")
+    text = b"# One\n\nText of one.\nmore text.\n\n## Two\n\n- item a\n- item b\n  goes on\n\nPara one line.\nPara two line.\n\n## Three\n\nText of three, long enough to need a piece of its own.\n"
+    got = [text[s:e] for s, e, _ in pieces(text, 70, 0, markup=True)]
+    assert [x.split(b"\n")[0] for x in got] == [b"# One", b"## Two", b"## Three"]
+    html = b"<ul>\n<li>\none one one one\n</li>\n<li>\ntwo two two two\n</li>\n</ul>\n"
+    assert all(html[s:e].count(b"<li>") == html[s:e].count(b"</li>") for s, e, _ in pieces(html, 40, 0, markup=True))
+    assert pieces(b"(\n" * 3000 + b")\n" * 3000, 100, 0)
+
+
+def test_english_is_told_from_other_languages():
+    dutch = "de regering heeft gisteren een nieuw plan voor de zorg in het land gepresenteerd en de kamer is er niet blij mee want er was van te voren geen overleg met de mensen die het werk doen".split()
+    italian = "il governo ha presentato ieri un nuovo piano per la sanità del paese e la camera non è contenta perché non c'era stato alcun confronto con le persone che fanno il lavoro".split()
+    plain = "the government showed a new plan for health in the country and the house is not happy with it since there was no talk with those who do the work".split()
+    assert english(plain, 0.0) and not english(dutch, 0.2) and not english(italian, 0.2) and not english([], 1.0)
+
+
 def test_packing_keeps_every_limit_and_is_near_the_bound():
     rng = np.random.default_rng(0)
     sizes = rng.uniform(0.01, 0.5, (600, 3)) * np.array([1, 0.5, 0.8])
