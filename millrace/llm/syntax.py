@@ -1,8 +1,8 @@
 """Problem 6: files that are no valid syntax of their language.
 
 A lexer reduces each file to its adjacent pairs of token classes; the pairs are rows of a DataFrame, anti-joined with
-the pairs that the grammar's classes permit. Nesting and statement productions are reduced over the token sequence in the
-same pass, since a file's tokens are all in one row. Python's productions are those of the interpreter's own grammar.
+the pairs that the grammar's classes permit. Nesting and statement productions are reductions over windows of a file's
+tokens, which are columns for many files at a time. Python's productions are those of the interpreter's own grammar.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,11 +162,11 @@ def permitted(language: str) -> frozenset[tuple[int, int, int]]:
         begins = _set("IDENT NUM STR LPAR LBRACK LBRACE SIGN STAR AMP PIPE BANG CONST HEAD BLOCK RETURN BREAK LETMOD MODIFIER LT PATHSEP LIFETIME SPREAD HASH MACRO")
         items = begins | _set("FUNC CLASS DECL MODULE SEMI")
         add(ends, "ASSIGN BIN LT GT SIGN STAR AMP PIPE DOT QUEST COLON COMMA SEMI RPAR RBRACK RBRACE LPAR LBRACK LBRACE ARROW SPREAD INFIX PATHSEP AT BANG EDGE")
-        add(ends, "HEAD"), add("RPAR GT", "THINARROW"), add("RPAR RBRACK RBRACE GT IDENT CONST", "INFIX")
+        add(ends, "HEAD BLOCK"), add("RPAR GT", "THINARROW"), add("RPAR RBRACK RBRACE GT IDENT CONST", "INFIX")
         add("RBRACE SEMI LBRACE", items | _set("RBRACE EDGE"))
         add("EDGE", "IDENT HEAD HASH CONST PATHSEP MODIFIER FUNC CLASS DECL MODULE EDGE"), add("RBRACK", items - _set("NUM STR"))
         add("RPAR", "MODIFIER FUNC CLASS IDENT DECL MODULE"), add("RBRACE", "BLOCK RPAR RBRACK COMMA DOT QUEST")
-        add("ASSIGN BIN SIGN STAR AMP PIPE BANG COMMA ARROW LPAR LBRACK SPREAD COLON INFIX RETURN LT AT THINARROW", begins)
+        add("ASSIGN BIN SIGN STAR AMP PIPE BANG COMMA ARROW LPAR LBRACK SPREAD COLON INFIX RETURN LT AT", begins), add("THINARROW", begins - _set("LBRACE NUM STR BLOCK RETURN BREAK SIGN PIPE SPREAD HASH") | _set("FUNC"))
         add("PIPE", "PIPE THINARROW LBRACE IDENT"), add("LPAR", "RPAR"), add("LBRACK", "RBRACK"), add("COMMA", "RPAR RBRACK RBRACE GT HASH DECL"), add("LT COMMA", "GT LIFETIME DECL"), add("LPAR LBRACE", "DECL MODULE")
         add("GT", "LPAR LBRACE COMMA SEMI RPAR RBRACK GT ASSIGN PATHSEP PIPE COLON RBRACE BIN DOT INFIX QUEST ARROW AMP STAR IDENT NUM CONST STR SIGN LBRACK BANG MACRO LIFETIME HEAD EDGE"), add("BIN", "GT")
         add("PATHSEP", "IDENT LT STAR LBRACE CONST"), add("STAR", "DECL SEMI COMMA RBRACE"), add("AMP", "LETMOD LIFETIME")
@@ -185,41 +186,49 @@ def permitted(language: str) -> frozenset[tuple[int, int, int]]:
         add("IDENT", "VAR STR NUM LBRACE FUNC", (0, 1)), add("IDENT", "BUILTIN", (0,))
         add("BUILTIN", "SEMI RPAR RBRACK RBRACE COMMA ARROW ASSIGN BIN GT LT SIGN QUEST COLON INFIX IDENT HEAD EDGE DOT")
         add("VAR", "VAR LBRACE"), add("DECL", "VAR LPAR IDENT"), add("FUNC", "IDENT LBRACE LPAR BUILTIN"), add("CLASS", "IDENT"), add("MODULE", "IDENT NUM STR"), add("IDENT", "STR VAR NUM REGEX")
-        add("HEAD", "LPAR DECL VAR"), add("HEAD", begins), add("BLOCK", "LBRACE HEAD IDENT STR VAR"), add("RETURN", "SEMI RBRACE HEAD IDENT INFIX EDGE ARROW RPAR COMMA"), add("VAR", "FUNC")
+        add("HEAD", "LPAR DECL VAR"), add("HEAD", begins), add("BLOCK", "LBRACE IDENT STR VAR"), add("RETURN", "SEMI RBRACE HEAD IDENT INFIX EDGE ARROW RPAR COMMA"), add("VAR", "FUNC")
         add("DECL RETURN HEAD BLOCK CLASS MODULE INFIX FUNC", "ARROW RBRACE"), add("INFIX", "HEAD"), add("RPAR", "IDENT", (0,)), add("NUM", "IDENT INFIX", (0,))
         out -= {(C["INFIX"], C["INFIX"], 1)}
     return frozenset(out)
 
 
+_IN_STRING = re.compile(r"[^\\`$]+")
+
+
 def _template(text: str, at: int) -> int:
-    """The end of the template literal whose first character is at ``at``; -1 where it isn't closed."""
+    """The end of the template literal whose first character is at ``at``, with what is nested in it; -1 where it isn't closed."""
     n, i = len(text), at + 1
+    inside: list[int] = [-1]  # for each open template -1, for each substitution in it the braces open there
+    quoted = re.compile(_STRING)
     while i < n:
         c = text[i]
-        if c == "\\":
-            i += 2
-        elif c == "`":
-            return i + 1
-        elif c == "$" and text[i + 1 : i + 2] == "{":
-            depth, i = 1, i + 2
-            while i < n and depth:
-                c = text[i]
-                if c == "`":
-                    i = _template(text, i)
-                    if i < 0:
-                        return -1
-                    continue
-                if c in "\"'":
-                    m = re.compile(_STRING).match(text, i)
-                    if not m:
-                        return -1
-                    i = m.end()
-                    continue
-                depth += (c == "{") - (c == "}")
+        if inside[-1] < 0:
+            if c == "\\":
+                i += 2
+            elif c == "`":
+                inside.pop()
+                i += 1
+                if not inside:
+                    return i
+            elif c == "$" and text[i + 1 : i + 2] == "{":
+                inside.append(1)
+                i += 2
+            elif m := _IN_STRING.match(text, i):
+                i = m.end()
+            else:
                 i += 1
-            if depth:
+        elif c == "`":
+            inside.append(-1)
+            i += 1
+        elif c in "\"'":
+            m = quoted.match(text, i)
+            if not m:
                 return -1
+            i = m.end()
         else:
+            inside[-1] += (c == "{") - (c == "}")
+            if not inside[-1]:
+                inside.pop()
             i += 1
     return -1
 
@@ -320,9 +329,9 @@ def tokens(text: str, language: str) -> Iterator[tuple[int, int, int, int]]:
             known = words.get(word)
             if known is not None and prev != dot:
                 rest = text[end : end + 2].lstrip(" ")
-                if js and (rest[:1] == ":" and word not in ("default", "case") or language == "ts" and word in TS_SOFT and not re.match(r"\s+[A-Za-z_$\"'{]", text[end : end + 40])):
+                if js and (rest[:1] == ":" and word != "default" or language == "ts" and word in TS_SOFT and not re.match(r"\s+[A-Za-z_$\"'{]", text[end : end + 40])):
                     kind = ident
-                elif js and rest[:1] in (",", ")", "=", ";", ".") and known == C["MODIFIER"]:
+                elif js and rest[:1] in (",", ")", "=", ";", ".") and (known == C["MODIFIER"] or word == "await" and rest != "=>"):
                     kind = ident
                 elif language == "perl" and (text[end : end + 8].lstrip().startswith("=>") or (prev == C["LBRACE"] and text[end : end + 1] == "}")):
                     kind = C["STR"]
@@ -361,60 +370,233 @@ def tokens(text: str, language: str) -> Iterator[tuple[int, int, int, int]]:
         raise Fault("heredoc")
 
 
-def reduced(text: str, language: str) -> tuple[list[int], str | None]:
-    """(distinct codes of adjacent class pairs, fault) of a text that isn't Python.
+# Words that productions ask for, by number.
+WORDS = {w: i for i, w in enumerate(["", "if", "else", "for", "while", "switch", "with", "try", "case", "const", "struct", "self", "elsif", "unless", "until", "await"])}
+_WORDED = _set("HEAD BLOCK CASE DECL CLASS CONST PREFIX")
+_CLOSES = {C["LPAR"]: C["RPAR"], C["LBRACK"]: C["RBRACK"], C["LBRACE"]: C["RBRACE"]}
 
-    The fault is the first of: a character that begins no token, a conflict marker, a bracket that doesn't match, a try
-    without its catch, a colon that nothing asks for (JavaScript, Perl), a block that begins like an object, an end inside something open.
-    """
-    codes: set[int] = set()
-    stack: list[tuple[str, int, bool, bool]] = []  # the closer awaited, ternaries open before, whether of a try, whether a block
-    prev = before = 0
-    questions = 0
-    opener = {C["LPAR"]: ")", C["LBRACK"]: "]", C["LBRACE"]: "}"}
-    closer = {C["RPAR"]: ")", C["RBRACK"]: "]", C["RBRACE"]: "}"}
-    quest, colon, catch, block, comma, semi, case = (C[k] for k in ("QUEST", "COLON", "CATCH", "BLOCK", "COMMA", "SEMI", "CASE"))
-    strict, perl = language == "js", language == "perl"
-    block_after = _set("EDGE SEMI RBRACE LBRACE RPAR ARROW BLOCK") if language in ("js", "ts") else frozenset()
-    strings, operands = C["STR"], _set("STR NUM RPAR RBRACK RBRACE VAR REGEX")
-    needs_catch = False
+
+def lex(text: str, language: str) -> tuple[list[int], list[int], list[int], str | None]:
+    """(classes, line ends before, words) of the tokens of a text that isn't Python, and what stopped the lexer: a character that
+    begins no token, or a conflict marker; null where it came to the end."""
+    kinds, lines, words = [], [], []
+    if text.startswith("#!") and not text.startswith("#!["):
+        text = text[text.find("\n") if "\n" in text else len(text) :]
     try:
         for kind, line, start, end in tokens(text, language):
-            if needs_catch:
-                if kind != catch:
-                    raise Fault("try")
-                needs_catch = False
-            codes.add((prev * N + kind) * 2 + line)
-            if kind in opener:
-                of_try = language in ("js", "ts") and kind == C["LBRACE"] and prev == block and text[before : before + 3] == "try"
-                stack.append((opener[kind], questions, of_try, kind == C["LBRACE"] and prev in block_after))
-                questions = 0
-            elif kind in closer:
-                if not stack or stack[-1][0] != closer[kind]:
-                    raise Fault("nesting")
-                _, questions, needs_catch, _ = stack.pop()
-            elif kind == quest:
-                questions += 1
-            elif kind == colon:
-                if questions:
-                    questions -= 1
-                elif strict and stack and stack[-1][0] in ")]" or perl and prev in operands:
-                    raise Fault("colon")
-                elif prev == strings and stack and stack[-1][3] and text[before - 1 : before] == "{":
-                    raise Fault("label")
-            elif kind == semi:
-                questions = 0
-            prev, before = kind, start
-            if line and text[start : start + 7] in ("<<<<<<<", "=======", ">>>>>>>") and start and text[start - 1] == "\n" and CONFLICT.match(text, start):
-                raise Fault("conflict")
-        if stack or needs_catch:
-            raise Fault("end")
+            kinds.append(kind)
+            lines.append(line)
+            words.append(WORDS.get(text[start:end], 0) if kind in _WORDED else 0)
+            if line and text[start] in "<=>|" and text[start - 1] == "\n" and CONFLICT.match(text, start):
+                return kinds, lines, words, "conflict"
     except Fault as fault:
-        return sorted(codes), str(fault)
-    except RecursionError:
-        return sorted(codes), "depth"
-    codes.add((prev * N) * 2 + 1)
-    return sorted(codes), None
+        return kinds, lines, words, str(fault)
+    return kinds, lines, words, None
+
+
+def _is(values: np.ndarray, names: str) -> np.ndarray:
+    return np.isin(values, list(_set(names)))
+
+
+class Tokens:
+    """The tokens of many files of one language as columns, in file order, with what windows over a file's tokens tell of each.
+
+    ``depth`` is a running sum of brackets; ``mate`` the bracket that follows in the window of a file and depth; ``parent`` the last
+    bracket opened one level up. Places outside a file hold -1, the class there is EDGE.
+    """
+
+    def __init__(self, file: np.ndarray, kind: np.ndarray, line: np.ndarray, word: np.ndarray) -> None:
+        self.file, self.kind, self.line, self.word = file, kind, line, word
+        n = len(kind)
+        self.at = np.arange(n)
+        opens, closes = _is(kind, "LPAR LBRACK LBRACE"), _is(kind, "RPAR RBRACK RBRACE")
+        total = np.cumsum(opens.astype(np.int64) - closes)
+        new = np.concatenate([[True], file[1:] != file[:-1]]) if n else np.empty(0, bool)
+        self.first = np.maximum.accumulate(np.where(new, self.at, 0)) if n else self.at
+        start = np.concatenate([[0], total[:-1]])[self.first] if n else total
+        depth = total - start
+        self.opens, self.closes, self.below, self.left = opens, closes, depth < 0, depth
+        level = depth + closes
+        b = np.flatnonzero(opens | closes)
+        b = b[np.lexsort((b, level[b], file[b]))]
+        self.mate = np.full(n, -1)
+        pair = np.flatnonzero((file[b[:-1]] == file[b[1:]]) & (level[b[:-1]] == level[b[1:]]) & opens[b[:-1]] & closes[b[1:]]) if len(b) else b
+        o, c = b[pair], b[pair + 1] if len(pair) else pair
+        self.mate[o], self.mate[c] = c, o
+        self.crossed = np.zeros(n, bool)
+        self.crossed[o] = np.array([_CLOSES.get(k, -1) for k in range(N)])[kind[o]] != kind[c]
+        # the window of a file and depth holds the brackets opened to that depth and what lies directly in them
+        o = np.flatnonzero(opens)
+        where = np.concatenate([o, self.at])
+        key = np.concatenate([level[o], level - opens - closes])
+        setter = np.concatenate([np.ones(len(o), bool), np.zeros(n, bool)])
+        order = np.lexsort((where, key, file[where]))
+        last = np.maximum.accumulate(np.where(setter[order], np.arange(len(order)), -1)) if n else order
+        got = np.where(last >= 0, order[np.maximum(last, 0)], 0)
+        same = (last >= 0) & (file[where[got]] == file[where[order]]) & (key[got] == key[order])
+        parent = np.empty(len(order), np.int64)
+        parent[order] = np.where(same, where[got], -1)
+        self.parent = parent[len(o) :]
+
+    def kinds(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, self.kind[np.maximum(places, 0)], 0)
+
+    def words(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, self.word[np.maximum(places, 0)], 0)
+
+    def back(self, places: np.ndarray, k: int = 1) -> np.ndarray:
+        """The tokens ``k`` before some, in the same file."""
+        to = places - k
+        return np.where((places >= 0) & (to >= self.first[np.maximum(places, 0)]), to, -1)
+
+    def on(self, places: np.ndarray) -> np.ndarray:
+        """The tokens after some, in the same file."""
+        to = np.minimum(places + 1, len(self.kind) - 1)
+        return np.where((places >= 0) & (to > places) & (self.file[to] == self.file[np.maximum(places, 0)]), to, -1)
+
+    def before_mate(self, closers: np.ndarray) -> np.ndarray:
+        """What stands before the bracket that some closing ones close."""
+        mates = np.where(closers >= 0, self.mate[np.maximum(closers, 0)], -1)
+        return self.back(mates)
+
+
+def _count(t: Tokens, where: np.ndarray) -> np.ndarray:
+    """Per place, how many of the marked tokens lie directly in the bracket opened there."""
+    parents = t.parent[where]
+    return np.bincount(parents[parents >= 0], minlength=len(t.kind))
+
+
+def _pieces_with(t: Tokens, lists: np.ndarray, ends: str, having: np.ndarray) -> np.ndarray:
+    """Whether each piece between commas directly in the brackets ``lists`` holds a marked token; true for empty pieces; per bracket the least."""
+    inside = np.flatnonzero(np.isin(t.parent, lists) & ~_is(t.kind, ends))
+    comma = np.isin(t.parent, lists) & _is(t.kind, ends)
+    piece = np.cumsum(comma)[inside]
+    key = t.parent[inside] * (len(t.kind) + 1) + piece
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    ok = np.zeros(len(first), bool)
+    np.logical_or.at(ok, inverse, having[inside])
+    out = np.ones(len(t.kind), bool)
+    np.logical_and.at(out, t.parent[inside[first]], ok)
+    return out
+
+
+def productions(t: Tokens, language: str) -> Iterator[tuple[str, np.ndarray]]:
+    """(fault, places) of the statement productions a language's tokens don't keep, as reductions over windows of a file's tokens."""
+    k, w, at = t.kind, t.word, t.at
+    before, after = t.back(at), t.on(at)
+    prev, nxt, up = t.kinds(before), t.kinds(after), t.kinds(t.parent)
+    one = {name: i for name, i in C.items()}
+    starts = _is(prev, "EDGE SEMI")
+    if language in ("js", "ts"):
+        brace = k == one["LBRACE"]
+        of_try = brace & (prev == one["BLOCK"]) & (t.words(before) == WORDS["try"])
+        yield "try", of_try & (t.kinds(t.on(t.mate)) != one["CATCH"])
+        block = brace & _is(prev, "EDGE SEMI RBRACE LBRACE RPAR ARROW BLOCK")
+        label = (k == one["COLON"]) & (prev == one["STR"]) & (t.back(at, 2) == t.parent) & (t.parent >= 0) & block[np.maximum(t.parent, 0)]
+        yield "label", label
+        head, word = t.kinds(t.back(t.parent)), t.words(t.back(t.parent))
+        loop = (word == WORDS["for"]) | (word == WORDS["await"])
+        semi = k == one["SEMI"]
+        yield "semicolon", semi & (up == one["LBRACK"]) | semi & (up == one["LPAR"]) & ~loop
+        clauses = _count(t, semi)
+        yield "clauses", (k == one["LPAR"]) & np.isin(t.words(before), [WORDS["for"], WORDS["await"]]) & (clauses != 0) & (clauses != 2) & (t.kinds(before) == one["HEAD"])
+        yield "head", (k == one["LPAR"]) & (prev == one["HEAD"]) & (nxt == one["RPAR"])
+        owner = t.before_mate(before)
+        of_switch = brace & (prev == one["RPAR"]) & (t.words(owner) == WORDS["switch"]) & (t.kinds(owner) == one["HEAD"])
+        yield "switch", of_switch & ~_is(nxt, "CASE RBRACE")
+        in_switch = (t.parent >= 0) & of_switch[np.maximum(t.parent, 0)]
+        yield "case", (k == one["CASE"]) & (w == WORDS["case"]) & ~in_switch & (nxt != one["LPAR"])
+        opened = t.before_mate(before)
+        of_call = (t.kinds(opened) == one["RPAR"]) & _is(t.kinds(t.before_mate(opened)), "IDENT FUNC")
+        bare = _is(t.kinds(opened), "EDGE SEMI LBRACE RBRACE") & (t.mate[np.maximum(before, 0)] >= 0)
+        otherwise = (k == one["BLOCK"]) & (w == WORDS["else"])
+        yield "else", otherwise & (_is(prev, "EDGE LBRACE") | ~_is(prev, "RBRACE SEMI") & (t.line == 0) | (prev == one["RBRACE"]) & (of_call | bare))
+        yield "catch", (k == one["CATCH"]) & (prev == one["EDGE"])
+        yield "function", (k == one["FUNC"]) & starts & (nxt == one["LPAR"]) & (t.parent < 0)
+        if language == "js":
+            plain = (k == one["DECL"]) & (w == WORDS["const"]) & (nxt == one["IDENT"]) & (up != one["LPAR"])
+            yield "initializer", plain & _is(t.kinds(t.on(after)), "SEMI RBRACE EDGE")
+            yield "operand", flat(t, language) & _is(prev, "RPAR RBRACE") & _is(k, "IDENT NUM")
+            headed = _is(t.kinds(owner), "HEAD CATCH") | (t.words(owner) == WORDS["await"])
+            yield "operand", (prev == one["RPAR"]) & (t.line == 0) & _is(k, "IDENT NUM") & ~headed
+            yield "colon", _unasked(t, np.ones(len(k), bool), _is(up, "LPAR LBRACK"))
+            asked = _count(t, k == one["QUEST"]) - _count(t, k == one["COLON"])
+            yield "question", _is(k, "LPAR LBRACK") & (asked > 0)
+    elif language == "rust":
+        name = t.back(at, 2)
+        args = (k == one["LPAR"]) & (prev == one["IDENT"]) & (t.kinds(name) == one["FUNC"])
+        generic = (k == one["LPAR"]) & (prev == one["GT"]) & (t.kinds(name) == one["IDENT"]) & (t.kinds(t.back(at, 3)) == one["LT"]) & (t.kinds(t.back(at, 5)) == one["FUNC"])
+        fields = (k == one["LBRACE"]) & (prev == one["IDENT"]) & (t.words(name) == WORDS["struct"]) & (t.kinds(name) == one["CLASS"])
+        typed = _is(k, "COLON MACRO SPREAD HASH") | (k == one["CONST"]) & (w == WORDS["self"])
+        lists = args | generic | fields
+        yield "parameters", lists & ~_pieces_with(t, np.flatnonzero(lists), "COMMA", typed)
+        yield "semicolon", (k == one["SEMI"]) & (up == one["LPAR"]) & (t.kinds(t.back(t.parent)) == one["IDENT"]) & ~np.isin(t.parent, t.parent[k == one["MACRO"]])
+        yield "else", (k == one["BLOCK"]) & (w == WORDS["else"]) & _is(prev, "EDGE SEMI LBRACE")
+    else:
+        yield "else", ((k == one["BLOCK"]) & (w == WORDS["else"]) | (k == one["HEAD"]) & (w == WORDS["elsif"])) & (prev != one["RBRACE"]) & (nxt != one["ARROW"])
+        asks = np.isin(w, [WORDS[x] for x in ("if", "unless", "while", "until")]) & (k == one["HEAD"])
+        yield "head", asks & starts & ~_is(nxt, "LPAR ARROW")
+        label = (prev == one["IDENT"]) & _is(t.kinds(t.back(at, 2)), "EDGE SEMI LBRACE RBRACE")
+        yield "colon", _unasked(t, ~label, _is(prev, "STR NUM RPAR RBRACK RBRACE VAR REGEX"))
+
+
+def _unasked(t: Tokens, counts: np.ndarray, faulty: np.ndarray) -> np.ndarray:
+    """Colons that no question mark of the same bracket and statement asks for, among those where that is a fault."""
+    ask, answer = t.kind == C["QUEST"], (t.kind == C["COLON"]) & counts
+    some = np.flatnonzero(ask | answer | (t.kind == C["SEMI"]))
+    some = some[np.lexsort((some, t.parent[some], t.file[some]))]
+    part = np.cumsum((t.kind[some] == C["SEMI"]) | np.concatenate([[True], (t.parent[some][1:] != t.parent[some][:-1]) | (t.file[some][1:] != t.file[some][:-1])])) if len(some) else some
+    step = ask[some].astype(np.int64) - answer[some]
+    run = np.cumsum(step)
+    new = np.concatenate([[True], part[1:] != part[:-1]]) if len(some) else np.empty(0, bool)
+    base = np.concatenate([[0], run[:-1]])[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))] if len(some) else run
+    out = np.zeros(len(t.kind), bool)
+    out[some] = (run - base < 0) & answer[some]
+    return out & faulty
+
+
+def flat(t: Tokens, language: str) -> np.ndarray:
+    """Tokens that lie directly where no statement can end: in parentheses, in square brackets and, in JavaScript, in object literals."""
+    up = t.kinds(t.parent)
+    out = _is(up, "LPAR LBRACK")
+    if language == "js":
+        out |= (up == C["LBRACE"]) & _is(t.kinds(t.back(t.parent)), "ASSIGN LPAR LBRACK COMMA RETURN BIN QUEST INFIX SPREAD")
+    return out
+
+
+def reduce_tokens(texts: list[str], language: str) -> tuple[list[list[int]], list[str | None]]:
+    """For each text the distinct codes of adjacent class pairs (a line end counts where a statement can end) and its first fault, if any.
+
+    Tokens of all texts are columns; nesting and productions are reductions over windows partitioned by file.
+    """
+    kinds, lines, words, faults = zip(*(lex(text, language) for text in texts)) if texts else ((), (), (), ())
+    sizes = np.array([len(x) for x in kinds], np.int64)
+    column = lambda parts, kind: np.fromiter((x for part in parts for x in part), kind, int(sizes.sum()))
+    t = Tokens(np.repeat(np.arange(len(sizes)), sizes), column(kinds, np.int64), column(lines, np.int64), column(words, np.int64))
+    out: list[str | None] = list(faults)
+    if len(t.kind):
+        last = np.cumsum(sizes) - 1
+        found = [("nesting", t.below | t.crossed)]
+        unclosed = np.zeros(len(t.kind), bool)
+        unclosed[last[sizes > 0]] = t.left[last[sizes > 0]] > 0
+        found.append(("end", unclosed))
+        clean = np.ones(len(sizes), bool)
+        for name, places in [*found, *productions(t, language)]:
+            for f in np.unique(t.file[places & clean[t.file]]).tolist():
+                out[f] = out[f] or name
+                clean[f] = False
+    line = t.line & ~flat(t, language) if language in ("js", "ts") else t.line
+    code = (t.kinds(t.back(t.at)) * N + t.kind) * 2 + line
+    ends = np.flatnonzero(np.concatenate([t.file[1:] != t.file[:-1], [True]])) if len(t.kind) else t.at
+    every = np.unique(np.concatenate([t.file * (2 * N * N) + code, t.file[ends] * (2 * N * N) + t.kind[ends] * N * 2 + 1]))
+    bounds = np.searchsorted(every, np.arange(len(sizes) + 1) * (2 * N * N))
+    return [(every[a:b] % (2 * N * N)).tolist() for a, b in zip(bounds, bounds[1:])], out
+
+
+def reduced(text: str, language: str) -> tuple[list[int], str | None]:
+    """(pair codes, fault) of one text that isn't Python."""
+    codes, faults = reduce_tokens([text], language)
+    return codes[0], faults[0]
 
 
 def python_fault(text: str) -> str | None:
@@ -441,18 +623,19 @@ def lexed(files: DataFrame) -> DataFrame:
     rows = files.select("file_id", repo.alias("repo"), "path", language.alias("language"), "content").filter("language IS NOT NULL AND content IS NOT NULL AND trim(content) <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            faults, codes, dialects = [], [], []
-            for language, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                text = text.removeprefix("\ufeff")
-                dialect = DIALECTS.get(language)
-                pairs, fault = reduced(text, dialect) if dialect else ([], python_fault(text))
-                if dialect and text.startswith("#!") and fault:
-                    pairs, fault = reduced(text[text.find("\n") if "\n" in text else len(text) :], dialect)
-                dialects.append(dialect)
-                faults.append(fault)
-                codes.append(pairs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(dialects, pa.string()), pa.array(faults, pa.string()), pa.array(codes, pa.list_(pa.int32()))], names=["file_id", "repo", "path", "language", "dialect", "fault", "codes"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = [x.removeprefix("\ufeff") for x in batch.column(4).to_pylist()]
+                dialects = [DIALECTS.get(x) for x in batch.column(3).to_pylist()]
+                faults: list[str | None] = [None] * len(texts)
+                codes: list[list[int]] = [[] for _ in texts]
+                for dialect in sorted({d or "" for d in dialects}):
+                    own = [i for i, d in enumerate(dialects) if (d or "") == dialect]
+                    got = reduce_tokens([texts[i] for i in own], dialect) if dialect else ([[]] * len(own), [python_fault(texts[i]) for i in own])
+                    for i, c, f in zip(own, *got):
+                        codes[i], faults[i] = c, f
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(dialects, pa.string()), pa.array(faults, pa.string()), pa.array(codes, pa.list_(pa.int32()))], names=["file_id", "repo", "path", "language", "dialect", "fault", "codes"])
 
     return rows.mapInArrow(run, LEXED)
 
@@ -462,22 +645,25 @@ def permitted_pairs(spark) -> DataFrame:
     return spark.createDataFrame([(k, (a * N + b) * 2 + line) for k in DIALECTS.values() for a, b, line in sorted(permitted(k))], "dialect STRING, code INT")
 
 
+def _coded(files: DataFrame) -> DataFrame:
+    """A row per file and pair; a code no grammar permits stands for a fault, so a file is lexed once."""
+    dialect = F.coalesce("dialect", F.lit("python"))
+    codes = F.when(F.col("fault").isNotNull(), F.array(F.lit(-1))).otherwise(F.col("codes"))
+    return lexed(files).select("file_id", "repo", "path", "language", dialect.alias("dialect"), F.coalesce("fault", F.lit("pair")).alias("fault"), F.explode_outer(codes).alias("code"))
+
+
 def invalid(files: DataFrame) -> DataFrame:
     """(file_id, repo, path, language, fault) of the files that aren't valid in their path's language; one row a file.
 
     Null, blank and comment-only content is no case; other suffixes aren't looked at; repeats count once.
     """
-    faulty = F.array(F.lit(-1))  # a code no grammar permits stands for the fault, so a file is lexed once
-    rows = lexed(files).select("file_id", "repo", "path", "language", F.coalesce("dialect", F.lit("python")).alias("dialect"), F.coalesce("fault", F.lit("pair")).alias("fault"), F.explode(F.when(F.col("fault").isNotNull(), faulty).otherwise(F.col("codes"))).alias("code"))
-    wrong = rows.join(F.broadcast(permitted_pairs(files.sparkSession)), ["dialect", "code"], "left_anti")
+    wrong = _coded(files).filter("code IS NOT NULL").join(F.broadcast(permitted_pairs(files.sparkSession)), ["dialect", "code"], "left_anti")
     return wrong.groupBy("file_id").agg(F.min(F.struct("repo", "path", "language", "fault")).alias("r")).select("file_id", "r.*")
 
 
 def rates(files: DataFrame) -> DataFrame:
-    """(repo, language, n_files, n_invalid, rate): over the files of the five languages with readable, not blank content."""
-    language = language_of(F.col("path"))
-    repo = F.coalesce("repo", F.substring_index("path", "/", 2))
-    every = files.filter("content IS NOT NULL AND trim(content) <> ''").select("file_id", repo.alias("repo"), language.alias("language")).filter("language IS NOT NULL").groupBy("repo", "language").agg(F.countDistinct("file_id").alias("n_files"))
-    bad = invalid(files).groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n_invalid"))
-    n = F.coalesce("n_invalid", F.lit(0))
-    return every.join(bad, ["repo", "language"], "left").select("repo", "language", "n_files", n.alias("n_invalid"), (n / F.col("n_files")).alias("rate"))
+    """(repo, language, n_files, n_invalid, rate): over the files of the five languages with readable, not blank content, in one pass over them."""
+    known = permitted_pairs(files.sparkSession).withColumn("permitted", F.lit(True))
+    bad = F.col("code").isNotNull() & F.col("permitted").isNull()
+    judged = _coded(files).join(F.broadcast(known), ["dialect", "code"], "left").groupBy("file_id").agg(F.max(F.struct("repo", "language")).alias("r"), F.max(bad.cast("int")).alias("bad"))
+    return judged.groupBy("r.repo", "r.language").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bad").alias("n_invalid"), F.avg("bad").alias("rate"))

@@ -344,6 +344,117 @@ INVALID = {
 }
 
 
+WRONG = {
+    "js": [
+        "x = (a) b",
+        "foo(a\n b)",
+        "const x = {a: 1\n b: 2}",
+        "else {}",
+        "for(;;;){}",
+        "switch (x) { foo(); }",
+        "f() else {}",
+        "const x;",
+        "function (a) {}",
+        "if () {}",
+        "while (a; b) {}",
+        "case 1: f()",
+        "try {} f()",
+        "[a; b]",
+        "f({a: 1} b)",
+        "f(a: b)",
+        "{} else {}",
+        "catch (e) {}",
+        "f(a ? b)",
+    ],
+    "ts": [
+        "foo(a\n b)",
+        "for(;;;){}",
+        "switch (x) { foo(); }",
+        "else {}",
+        "let x: = 1;",
+    ],
+    "rust": [
+        "fn f(x) {}",
+        "fn f() -> {",
+        "fn f() -> { 1 }",
+        "struct A { x, y: u8 }",
+        "fn f<T>(x) {}",
+        "fn f() { else {} }",
+        "fn f() { g(a; b); }",
+    ],
+    "perl": [
+        "if ($x) { 1; } else if ($y) { 2; }",
+        "else { 1; }",
+        "if $x { 1; }",
+        "sub f { elsif ($x) {} }",
+    ],
+}
+RIGHT = {
+    "js": [
+        "await = await;",
+        "foo(a,\n b)",
+        "const x = {a: 1,\n b: 2}",
+        "if (a) { b } else { c }",
+        "for(;;){}",
+        "for (const a of b) {}",
+        "switch (x) { case 1: f(); default: g() }",
+        "if (a) x = {}\nelse y()",
+        "const x = { if: 1, else: 2, case: 3 }",
+        "a.case(1); a.else = 1",
+        "x = a ? b : c ? d : e;",
+        "f(a ? b : c)",
+        "({ get a() { return 1 }, b() {} })",
+        "for await (const x of y) { z() }",
+        "label: for (;;) { break label }",
+        "if (a) b; else c",
+        "if (a) for (;;) {} else c()",
+        "const f = (a, b) => { return a\n b }",
+        "export default function () {}",
+        "for (let i = 0, n = 1; i < n; i++) f(i)",
+        "do { a() } while (b)",
+        "class A { static x = 1; case() { } #p = 2; get q() { return 1 } }",
+        "const {a, b} = c, [d] = e",
+        "x = function () { return 1 }",
+        "(function () {})()",
+        "if (a) {} else if (b) {} else {}",
+        "f(async (x) => x, `a${b}`)",
+        "try { a() } catch { b() } finally { c() }",
+        "return_(a)`x`",
+        "switch (a) {}",
+    ],
+    "rust": [
+        "fn f(&self, x: u8) -> u8 { x }",
+        "fn f<T: Fn(u8) -> u8>(x: T) {}",
+        "let a = 1;",
+        "fn f() { let Some(x) = y else { return; }; }",
+        "struct A { x: u8, #[a] y: u8, }",
+        "macro_rules! m { ($a:expr; $b:expr) => { fn g($a) {} } }",
+        "impl A { fn new(self) -> Self { Self { } } fn b(mut self: Box<Self>, _: u8) {} }",
+        "fn f() { vec![0; 4]; }",
+        "struct A<T> { x: T }",
+        "fn f() -> impl Fn() {}",
+        "fn f() -> ! { loop {} }",
+        "fn f() -> [u8; 4] { x }",
+        "struct U; struct T(u8, u16);",
+        "fn f() -> dyn A {}",
+        "trait A { fn f(self); }",
+        "fn f() -> Option<&'static str> { None }",
+        "extern \"C\" { fn f(x: u8, ...); }",
+    ],
+    "perl": [
+        "if ($x) { 1; } elsif ($y) { 2 } else { 3; }",
+        "print 1 if $x; do { 1 } while $y;",
+        "my %h = (if => 1, else => 2);",
+        "$h{else}; $h{if};",
+        "return $x ? 1 : 0;",
+        "LOOP: for my $i (1..2) { next LOOP if $i; }",
+        "unless (1) { } else { }",
+        "my $x = { a => 1 } if $y;",
+        "sub f { return unless $x; }",
+    ],
+}
+
+
 def bad(text, dialect):
     allowed = {(a * N + b) * 2 + k for a, b, k in permitted(dialect)}
     codes, fault = reduced(text, dialect)
@@ -360,6 +471,12 @@ def test_invalid_syntax(dialect, text):
     assert bad(text, dialect)
 
 
+@pytest.mark.parametrize("dialect", WRONG)
+def test_productions(dialect):
+    assert not [t for t in WRONG[dialect] if not bad(t, dialect)]
+    assert not [(t, bad(t, dialect)) for t in RIGHT[dialect] if bad(t, dialect)]
+
+
 LONG = {"one word": "a" * 200_000, "secret word": "password" * 25_000, "open": "(" * 200_000, "quotes": '"' * 200_000, "ticks": "`${" * 60_000, "comments": "/*" * 90_000, "raw": 'r#"' * 60_000, "armour": "-----BEGIN PRIVATE KEY-----\n" * 7_000, "escapes": "\\" * 200_000, "blanks": " \n" * 90_000, "sigils": "$" * 200_000}
 
 
