@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.assessment import assess
+from millrace.functions.assessment import POLICY_FIELDS, assess
 
 # The utility of an outcome by label.
 UTILITY = {"Agree": (4.0, 2.0, -4.0), "Partial": (-1.0, 1.0, 0.0), "Disagree": (-8.0, -2.0, 0.0)}
@@ -22,20 +22,33 @@ def split_name(split: Column) -> Column:
 
 
 def support_group(provenance: Column) -> Column:
-    """The group a case supports: its source group without case and outer blanks; null for missing and placeholders."""
-    key = F.lower(F.trim(F.get_json_object(provenance, "$.source_group")))
-    return F.when(~key.isin(PLACEHOLDERS), key)
+    """The group a case supports: the first of its source, scenario and owner group that isn't missing or a placeholder, without case and
+    outer blanks, after the name of its field."""
+    def one(field: str) -> Column:
+        key = F.lower(F.trim(F.get_json_object(provenance, f"$.{field}")))
+        return F.when(~key.isin(PLACEHOLDERS), F.concat(F.lit(f"{field}:"), key))
+
+    return F.coalesce(*map(one, ("source_group", "scenario_group", "owner_group")))
 
 
 def replay(cases: DataFrame, policies: DataFrame) -> DataFrame:
-    """Cases with the outcome of their answer: status, reason, severity, tentative, confirmed, signal, group, split."""
+    """Cases with the outcome of their answer: status, reason, severity, tentative, confirmed, signal, group, split.
+
+    ``policies`` has a row for each type of answer, or for each ``rule_id`` where it has that column.
+    """
     rows = known_cases(cases, "rule_id", "answer", "context_complete", "split", "label", "adjudicated_severity", "provenance")
-    policy = policies.select(F.col("type"), F.struct(*policies.columns).alias("policy"))
-    rows = rows.join(F.broadcast(policy), F.col("answer.type") == F.col("type"))
+    key = "rule_id" if "rule_id" in policies.columns else "type"
+    policy = policies.select(F.col(key).alias("_key"), F.struct(*POLICY_FIELDS).alias("policy"))
+    rows = rows.join(F.broadcast(policy), F.col("rule_id" if key == "rule_id" else "answer.type") == F.col("_key"))  # a row a rule or type
+    return assessed(rows.withColumn("support", support_group(F.col("provenance"))).withColumn("split", split_name(F.col("split"))))
+
+
+def assessed(rows: DataFrame, *keep: str) -> DataFrame:
+    """Records of rows with an answer and a policy."""
     rows = rows.withColumn("o", assess())
     confirmed = F.col("o.severity").isNotNull()
     signal = confirmed | F.col("o.tentative").isNotNull()
-    return rows.select("case_id", "rule_id", split_name(F.col("split")).alias("split"), "label", "adjudicated_severity", "answer", support_group(F.col("provenance")).alias("support"), "o.status", "o.reason", "o.severity", "o.tentative", confirmed.alias("confirmed"), signal.alias("signal"))
+    return rows.select("case_id", "rule_id", "split", "label", "adjudicated_severity", "answer", "context_complete", "support", "o.status", "o.reason", "o.severity", "o.tentative", confirmed.alias("confirmed"), signal.alias("signal"), *keep)
 
 
 def count(condition: Column) -> Column:
@@ -75,36 +88,3 @@ def review_list_recall(records: DataFrame) -> DataFrame:
     """Per rule the share of support groups with an agreed case in which a signal was given."""
     rows = records.filter("label = 'Agree' AND support IS NOT NULL").groupBy("rule_id", "support").agg(F.max(F.col("signal")).alias("hit"))
     return rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if("hit").alias("n_hit"))
-
-
-def threshold_candidates(records: DataFrame, baseline: float, most: int = 4096) -> DataFrame:
-    """Per rule with boolean answers the thresholds to try: observed values, 0, 1 and the baseline, those nearest the baseline first.
-
-    ``most`` is the search's budget, a feature of it: candidates beyond are not tried.
-    """
-    seen = records.filter("answer.type = 'boolean' AND answer.noul IS NOT NULL").select("rule_id", F.col("answer.noul").alias("threshold"))
-    rules = seen.select("rule_id").distinct()
-    fixed = rules.select("rule_id", F.explode(F.array(F.lit(0.0), F.lit(1.0), F.lit(baseline))).alias("threshold"))
-    every = seen.unionByName(fixed).distinct()
-    w = Window.partitionBy("rule_id").orderBy(F.round(F.abs(F.col("threshold") - baseline), 6), "threshold")
-    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-
-
-def candidate_metrics(records: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per rule and threshold: how many cases of each label signal, and the utility.
-
-    Answers are first reduced to counts by rule, value and label, so the join with candidates meets values, not cases.
-    """
-    reduced = records.filter("answer.type = 'boolean' AND answer.noul IS NOT NULL").groupBy("rule_id", F.col("answer.noul").alias("p"), "label").agg(F.count(F.lit(1)).alias("n"))
-    hit = F.col("p") >= F.col("threshold")
-    value = utility(F.col("label"), hit, hit)
-    rows = reduced.join(candidates, "rule_id")
-    label = lambda name: F.coalesce(F.sum(F.when(hit & (F.col("label") == name), F.col("n"))), F.lit(0)).alias(f"{name.lower()}_signal")
-    return rows.groupBy("rule_id", "threshold").agg(label("Agree"), label("Partial"), label("Disagree"), F.sum(value * F.col("n")).alias("objective"))
-
-
-def winner(metrics: DataFrame, baseline: float) -> DataFrame:
-    """Per rule the threshold with the greatest objective; ties go to the baseline, then to the nearest and the least."""
-    near = F.round(F.abs(F.col("threshold") - baseline), 6)
-    order = F.struct("objective", (F.col("threshold") == baseline).alias("is_baseline"), (-near).alias("near"), (-F.col("threshold")).alias("low"))
-    return metrics.groupBy("rule_id").agg(F.max_by(F.struct("threshold", "objective", "agree_signal", "disagree_signal"), order).alias("w")).select("rule_id", "w.*")

@@ -22,7 +22,7 @@ CASES = "cases AS (SELECT * FROM calibration_cases QUALIFY row_number() OVER (PA
 UNITS = "valid AS (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY scanned_at DESC NULLS LAST, ingested_at DESC NULLS LAST, start_byte DESC NULLS LAST, end_byte DESC NULLS LAST) = 1)"
 FILES = "files AS (SELECT * FROM source_files QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY ingested_at) = 1)"
 SPLIT = r"lower(regexp_replace(split, '[\s\-_]', '', 'g'))"
-SUPPORT = "CASE WHEN lower(trim(json_extract_string(provenance, '$.source_group'))) NOT IN ('', '-', 'none', 'n/a', 'unknown') THEN lower(trim(json_extract_string(provenance, '$.source_group'))) END"
+SUPPORT = "coalesce(" + ", ".join(f"CASE WHEN lower(trim(json_extract_string(provenance, '$.{f}'))) NOT IN ('', '-', 'none', 'n/a', 'unknown') THEN '{f}:' || lower(trim(json_extract_string(provenance, '$.{f}'))) END" for f in ("source_group", "scenario_group", "owner_group")) + ")"
 # the same rules as the column expression, written out for the three default policies
 ASSESSED = f"""{CASES}, a AS (
   SELECT case_id, rule_id, {SPLIT} AS split, label, adjudicated_severity, {SUPPORT} AS support, answer, target, context_complete, answer.type AS t, answer.noul AS p, answer.score AS s, answer.confidence AS c, answer.choice AS ch,
@@ -38,8 +38,8 @@ ASSESSED = f"""{CASES}, a AS (
     WHEN t = 'choice' AND ch = 'lost' AND cp >= 0.6 THEN CASE WHEN c IS NULL OR c < 0.45 THEN 'unknown|low_confidence||warning' ELSE 'warning||warning|' END
     WHEN t = 'score' AND s >= 1.0 THEN CASE WHEN c IS NULL OR c < 0.6 THEN 'unknown|low_confidence||warning' ELSE 'warning||warning|' END
     WHEN t = 'boolean' AND p >= 0.4 AND p < 0.6 THEN 'unknown|probability_ambiguous||'
-    WHEN t = 'choice' AND (c IS NULL OR c < 0.45) THEN 'unknown|low_confidence||'
-    WHEN t = 'score' AND (c IS NULL OR c < 0.6) THEN 'unknown|low_confidence||'
+    WHEN t = 'choice' AND c < 0.45 THEN 'unknown|low_confidence||'
+    WHEN t = 'score' AND c < 0.6 THEN 'unknown|low_confidence||'
     WHEN t = 'choice' AND cp < 0.6 THEN 'unknown|low_choice_probability||'
     WHEN t = 'choice' AND ch = 'lost' THEN 'unknown|weak_defect_signal||'
     WHEN NOT coalesce(context_complete, false) THEN 'unknown|reduced_context||'
@@ -81,10 +81,10 @@ def assess_inverse_boolean(spark, d):
 
 
 @REGISTRY.query(f"""WITH {CASES}, m AS (SELECT case_id, answer.confidence AS c, context_complete AS k, coalesce(map_extract_value(answer.probabilities, '2'), 0.0) AS hi, coalesce(map_extract_value(answer.probabilities, '1'), 0.0) + coalesce(map_extract_value(answer.probabilities, '2'), 0.0) AS lo FROM cases WHERE answer.type = 'score')
-SELECT case_id, CASE WHEN hi >= 0.5 THEN CASE WHEN c >= 0.4 THEN 'error' ELSE 'unknown' END WHEN round(lo, 9) >= 0.7 THEN CASE WHEN c >= 0.3 THEN 'warning' ELSE 'unknown' END WHEN c IS NULL OR c < 0.3 THEN 'unknown' WHEN NOT k THEN 'unknown' ELSE 'ok' END AS status FROM m""")
+SELECT case_id, CASE WHEN hi >= 0.5 THEN CASE WHEN c >= 0.4 THEN 'error' ELSE 'unknown' END WHEN round(lo, 9) >= 0.7 THEN CASE WHEN c >= 0.3 THEN 'warning' ELSE 'unknown' END WHEN c < 0.3 THEN 'unknown' WHEN NOT k THEN 'unknown' ELSE 'ok' END AS status FROM m""")
 def assess_score_mass(spark, d):
     # the gate sits a hair below 0.7, as sums of binary fractions may fall short of it
-    rule = [("score", True, None, None, 0.7 - 5e-10, 0.3, 0.5, 0.4, None, None, ["1", "2"], ["2"], [], [], [])]
+    rule = [("score", True, None, None, 0.7 - 5e-10, 0.3, 0.5, 0.4, None, None, ["1", "2"], ["2"], [], [], [], False)]
     return replay.replay(table(spark, d, "calibration_cases"), policies(spark, rule)).select("case_id", "status")
 
 
@@ -142,42 +142,6 @@ def threshold_sweep(spark, d):
     return rows.groupBy("threshold", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("answer.noul") >= F.col("threshold")).alias("n_signal"))
 
 
-CANDIDATES = f"""{ASSESSED}, seen AS (SELECT rule_id, round(p, 2) AS threshold FROM replayed WHERE t = 'boolean' AND p IS NOT NULL UNION SELECT DISTINCT rule_id, unnest([0.0, 1.0, 0.71]) FROM replayed WHERE t = 'boolean'),
-candidates AS (SELECT rule_id, threshold, row_number() OVER (PARTITION BY rule_id ORDER BY round(abs(threshold - 0.71), 6), threshold) AS rank FROM seen QUALIFY rank <= 512),
-metrics AS (SELECT c.rule_id, c.threshold, coalesce(count(*) FILTER (label = 'Agree' AND round(p, 4) >= threshold), 0) AS agree_signal, coalesce(count(*) FILTER (label = 'Partial' AND round(p, 4) >= threshold), 0) AS partial_signal, coalesce(count(*) FILTER (label = 'Disagree' AND round(p, 4) >= threshold), 0) AS disagree_signal,
-  sum({UTILITY.format(c='round(p, 4) >= threshold', s='round(p, 4) >= threshold')})::DOUBLE AS objective FROM replayed r JOIN candidates c USING (rule_id) WHERE t = 'boolean' AND p IS NOT NULL{{dev}} GROUP BY ALL)"""
-
-
-@REGISTRY.query(f"WITH {CANDIDATES.format(dev='')} SELECT rule_id, threshold, rank::INT AS rank FROM candidates")
-def threshold_candidates(spark, d):
-    return replay.threshold_candidates(_records(spark, d), 0.71)
-
-
-@REGISTRY.query(f"WITH {CANDIDATES.format(dev='')} SELECT * FROM metrics")
-def candidate_metrics(spark, d):
-    rows = _records(spark, d)
-    return replay.candidate_metrics(rows, replay.threshold_candidates(rows, 0.71).drop("rank"))
-
-
-WINNER = "winners AS (SELECT rule_id, threshold, objective, agree_signal, disagree_signal FROM metrics QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY objective DESC, (threshold = 0.71) DESC, round(abs(threshold - 0.71), 6), threshold) = 1)"
-DEV = " AND split = 'development'"
-
-
-@REGISTRY.query(f"WITH {CANDIDATES.format(dev=DEV)}, {WINNER} SELECT * FROM winners")
-def select_winner(spark, d):
-    rows = _records(spark, d)
-    return replay.winner(replay.candidate_metrics(rows.filter("split = 'development'"), replay.threshold_candidates(rows, 0.71).drop("rank")), 0.71)
-
-
-@REGISTRY.query(f"WITH {CANDIDATES.format(dev=DEV)}, {WINNER} SELECT w.rule_id, w.threshold, count(*)::BIGINT AS n, count(*) FILTER (r.label = 'Agree')::BIGINT AS n_agree, count(*) FILTER (r.p >= w.threshold)::BIGINT AS n_signal, count(*) FILTER (r.p >= w.threshold AND r.label = 'Agree')::BIGINT AS n_right FROM winners w JOIN replayed r USING (rule_id) WHERE r.t = 'boolean' AND r.split <> 'development' GROUP BY ALL")
-def heldout_metrics(spark, d):
-    rows = _records(spark, d)
-    best = select_winner(spark, d).select("rule_id", "threshold")
-    rows = rows.filter("answer.type = 'boolean' AND split <> 'development'").join(F.broadcast(best), "rule_id")  # one row a rule
-    hit = F.col("answer.noul") >= F.col("threshold")
-    return rows.groupBy("rule_id", "threshold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "Agree").alias("n_agree"), replay.count(hit).alias("n_signal"), replay.count(hit & (F.col("label") == "Agree")).alias("n_right"))
-
-
 @REGISTRY.query(f"""WITH {CASES}, x AS (SELECT rule_id, case_id, least(2, greatest(0, floor(answer.score + 0.5)))::INT AS nearest, CASE WHEN map_extract_value(answer.probabilities, '0') >= map_extract_value(answer.probabilities, '1') AND map_extract_value(answer.probabilities, '0') >= map_extract_value(answer.probabilities, '2') THEN 0 WHEN map_extract_value(answer.probabilities, '1') >= map_extract_value(answer.probabilities, '2') THEN 1 ELSE 2 END AS argmax FROM cases WHERE answer.type = 'score' AND answer.score IS NOT NULL AND len(map_keys(answer.probabilities)) = 3)
 SELECT rule_id, nearest, argmax, count(*)::BIGINT AS n FROM x GROUP BY ALL""")
 def nearest_argmax_levels(spark, d):
@@ -235,13 +199,6 @@ def identity_hashes(spark, d):
     return rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_documents"), replay.count(same).alias("n_matching"))
 
 
-@REGISTRY.query(f"WITH {CASES} SELECT rule_id, count(DISTINCT question_wire)::BIGINT AS n_questions, count(DISTINCT prompt.version)::BIGINT AS n_prompts, count(DISTINCT returned_model)::BIGINT AS n_models, count(DISTINCT prompt.version) > 1 AS conflict FROM cases GROUP BY rule_id")
-def comparability_conflicts(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "rule_id", "question_wire", "prompt", "returned_model")
-    out = rows.groupBy("rule_id").agg(F.countDistinct("question_wire").alias("n_questions"), F.countDistinct("prompt.version").alias("n_prompts"), F.countDistinct("returned_model").alias("n_models"))
-    return out.withColumn("conflict", F.col("n_prompts") > 1)
-
-
 @REGISTRY.query(f"WITH {CASES} SELECT rule_id, count(DISTINCT sha256(question_wire))::BIGINT AS n_requests, sum(strlen(question_wire))::BIGINT AS n_bytes, count(*)::BIGINT AS n FROM cases GROUP BY rule_id")
 def usage_dedup(spark, d):
     rows = replay.known_cases(table(spark, d, "calibration_cases"), "rule_id", "question_wire")
