@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import fold
 
 IMPORT = r"^\s*(?:import |from \S+ import |use |require |export .* from )"
 
@@ -47,18 +50,16 @@ def sibling_calls(units: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def skip_fit(items: DataFrame, group: str, order: list[str], item: str, size: str, room: int, most: int) -> DataFrame:
-    """The items each group admits in order: one that doesn't fit is passed over and later ones are still tried, ``most`` at most.
-
-    A fold over the ordered array of a group; groups are the ranked candidates of one target.
-    """
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_i"), F.col(size).cast("bigint").alias("_s")))).alias("_l"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{dict(items.dtypes)[item]}>").alias("out"))
+    """The items each group admits in order: one that doesn't fit is passed over and later ones are still tried, ``most`` at most."""
+    rows = items.select(group, *order, *[c for c in (item, size) if c not in order])
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc.used + x["_s"] <= room) & (F.size(acc.out) < most)
-        return F.struct(F.when(fits, acc.used + x["_s"]).otherwise(acc.used).alias("used"), F.when(fits, F.concat(acc.out, F.array(x["_i"]))).otherwise(acc.out).alias("out"))
+    def step(state: list, row: tuple) -> int:
+        if state[0] >= most or state[1] + row[0] > room:
+            return -1
+        state[0], state[1] = state[0] + 1, state[1] + row[0]
+        return state[0] - 1
 
-    return rows.select(group, F.aggregate("_l", start, step, lambda acc: acc.out).alias("_o")).select(group, F.posexplode("_o").alias("place", item))
+    return fold(rows, [group], order, [size], T.StructField("place", T.IntegerType()), lambda: [0, 0], step).filter("place >= 0").select(group, "place", item)
 
 
 def paced(df: DataFrame, key: str, order: list[str], ready: str, interval: int) -> DataFrame:

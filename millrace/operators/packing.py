@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import fold
 
 
 def next_fit(items: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
     """``items`` with ``batch``, the number of its request: a new one begins where the next item would pass the limit.
 
-    A lone item above the limit is a batch of its own. Null sizes count as 0. The running sum resets, so it is a fold over the ordered
-    array of one group; groups are evidence of one file, small by nature.
+    A lone item above the limit is a batch of its own. Null sizes count as 0. The sum begins anew with each batch, so it is a fold.
     """
-    lists = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("s")))).alias("items"))
-    empty = F.struct(F.lit(-1).alias("batch"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<o:bigint,s:bigint,batch:int>>").alias("out"))
+    rows = items.select(group, order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc.batch < 0) | (acc["sum"] + x.s > limit)
-        batch = F.when(new, acc.batch + 1).otherwise(acc.batch)
-        return F.struct(batch.alias("batch"), F.when(new, x.s).otherwise(acc["sum"] + x.s).alias("sum"), F.concat(acc.out, F.array(F.struct(x.o.cast("bigint").alias("o"), x.s.alias("s"), batch.alias("batch")))).alias("out"))
+    def step(state: list, row: tuple) -> int:
+        if state[0] < 0 or state[1] + row[0] > limit:
+            state[0], state[1] = state[0] + 1, row[0]
+        else:
+            state[1] += row[0]
+        return state[0]
 
-    folded = lists.select(group, F.aggregate("items", empty, step, lambda acc: acc.out).alias("out"))
-    return folded.select(group, F.explode("out").alias("x")).select(group, F.col("x.o").alias(order), F.col("x.s").alias(size), F.col("x.batch").alias("batch"))
+    return fold(rows, [group], [order], [size], T.StructField("batch", T.IntegerType()), lambda: [-1, 0], step)
 
 
 def chunks(items: DataFrame, group: str, order: str, most: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import running
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: an upsert over an append-only table."""
@@ -33,7 +35,6 @@ def breaker(df: DataFrame, signature: list[str], order: list[str], most: int) ->
 
 
 def running_calibration(df: DataFrame, key: str, order: list[str], size: str, tokens: str) -> DataFrame:
-    """The tightest bytes per token seen so far: the running minimum of 0.9 bytes/tokens held within 1 and 8."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """The tightest bytes per token seen so far: the running minimum of 0.9 bytes/tokens held within 1 and 8; ``order`` is unique in a key."""
     one = F.greatest(F.lit(1.0), F.least(F.lit(8.0), F.col(size) / F.col(tokens) * 0.9))
-    return df.withColumn("bytes_per_token", F.round(F.min(one).over(w), 6))
+    return running(df, key, order, one, "_least", "min").withColumn("bytes_per_token", F.round("_least", 6)).drop("_least")

@@ -27,12 +27,6 @@ def file_lines(spark, d):
     return _files(spark, d).filter("content IS NOT NULL").select("file_id", F.greatest(F.lit(1), breaks + last).alias("n_lines"))
 
 
-@REGISTRY.query(f"WITH {UNITS}, {FILES}, l AS (SELECT path, len(content) - len(replace(content, chr(10), '')) + 1 AS n FROM files WHERE content IS NOT NULL) SELECT path, any_value(l.n)::INT AS n_lines, count(*)::BIGINT AS n_omitted FROM valid JOIN l USING (path) WHERE l.n > 100 GROUP BY path")
-def full_file_omissions(spark, d):
-    long = _files(spark, d).filter("content IS NOT NULL").select("path", F.size(F.split("content", "\n")).alias("n_lines")).filter("n_lines > 100")
-    return _units(spark, d, "path").join(long, "path").groupBy("path").agg(F.max("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_omitted"))
-
-
 @REGISTRY.query(f"""WITH {UNITS}, {FILES}, s AS (SELECT v.unit_id, encode(f.content) AS b, v.start_byte AS s, v.end_byte AS e FROM valid v JOIN files f USING (path) WHERE f.content IS NOT NULL AND v.start_byte >= 0 AND v.start_byte < v.end_byte AND v.end_byte <= strlen(f.content))
 SELECT unit_id, substr(hex(b), s * 2 + 1, 1) NOT IN ('8', '9', 'A', 'B') AS starts_whole, substr(hex(b), e * 2 + 1, 1) NOT IN ('8', '9', 'A', 'B') AS ends_whole, sha256(substr(hex(b), s * 2 + 1, (e - s) * 2)) AS digest FROM s""")
 def evidence_slices(spark, d):

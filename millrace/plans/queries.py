@@ -159,14 +159,6 @@ def target_event_rollup(spark, d):
     return one.groupBy("path").agg(F.count(F.lit(1)).alias("n_rules"), F.array_join(F.array_sort(F.collect_list(F.concat("rule_id", F.lit("="), "status"))), ",").alias("statuses"), F.sum("signal").alias("n_signal"))
 
 
-@REGISTRY.query(f"""WITH {ASSESSED} SELECT rule_id, case_id, CASE reason WHEN 'missing_evidence' THEN 0 WHEN 'reduced_context' THEN 1 WHEN 'probability_ambiguous' THEN 4 ELSE 3 END AS priority, row_number() OVER (PARTITION BY rule_id ORDER BY priority, case_id)::INT AS place FROM replayed WHERE status = 'unknown' QUALIFY place <= 20""")
-def review_queue(spark, d):
-    rows = _records(spark, d).filter("status = 'unknown'")
-    priority = F.when(F.col("reason") == "missing_evidence", 0).when(F.col("reason") == "reduced_context", 1).when(F.col("reason") == "probability_ambiguous", 4).otherwise(3)
-    place = F.row_number().over(Window.partitionBy("rule_id").orderBy("priority", "case_id"))
-    return rows.select("rule_id", "case_id", priority.alias("priority")).withColumn("place", place).filter("place <= 20")
-
-
 @REGISTRY.query(f"WITH {ASSESSED} SELECT target.path AS path, min(p) AS least, CASE WHEN min(p) >= 0.9 THEN 'error' WHEN min(p) >= 0.71 THEN 'warning' ELSE 'ok' END AS composed FROM replayed WHERE t = 'boolean' GROUP BY ALL")
 def compose_all_of(spark, d):
     rows = replay.known_cases(table(spark, d, "calibration_cases"), "target", "answer").filter("answer.type = 'boolean'")
@@ -296,48 +288,6 @@ def file_facts(spark, d):
     return rows.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("f")), ",").alias("facts"))
 
 
-# Rules by the kinds they look at and the facts, any of which they need.
-RULES = [
-    ("mixed-duties", ["function", "method"], True, []),
-    ("redundant-check", ["function", "method"], True, ["validation_candidate"]),
-    ("hidden-fallback", ["function", "method"], True, ["fallback_candidate"]),
-    ("partial-transition", ["function", "method"], True, ["state_transition_candidate"]),
-    ("incohesive-owner", ["class", "impl", "package"], False, ["executable_behavior"]),
-]
-RULE_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k!r}, {b}, {f!r}::VARCHAR[])" for n, k, b, f in RULES) + ") t(rule, kinds, needs_body, facts))"
-
-
-def _rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "rule STRING, kinds ARRAY<STRING>, needs_body BOOLEAN, facts ARRAY<STRING>")
-
-
-def _checks(spark: SparkSession, d: str) -> DataFrame:
-    units = _units(spark, d, "path", "kind", "has_body", "syntax_facts", "start_byte", "end_byte")
-    by_kind = _rules(spark).withColumn("kind", F.explode("kinds"))
-    return units.join(F.broadcast(by_kind), "kind").filter("NOT needs_body OR has_body")  # five rules by kind
-
-
-MATCHED = f"{UNITS}, {RULE_SQL}, matched AS (SELECT v.unit_id, v.path, v.syntax_facts, v.start_byte, v.end_byte, r.rule, r.facts FROM valid v JOIN rules r ON list_contains(r.kinds, v.kind) AND (NOT r.needs_body OR v.has_body))"
-
-
-@REGISTRY.query(f"WITH {MATCHED} SELECT rule, count(*)::BIGINT AS n_matched, count(*) FILTER (len(facts) = 0 OR list_has_any(facts, syntax_facts))::BIGINT AS n_checks FROM matched GROUP BY rule")
-def checks_by_rule(spark, d):
-    applies = (F.size("facts") == 0) | F.arrays_overlap("facts", "syntax_facts")
-    return _checks(spark, d).groupBy("rule").agg(F.count(F.lit(1)).alias("n_matched"), replay.count(applies).alias("n_checks"))
-
-
-@REGISTRY.query(f"WITH {MATCHED} SELECT unit_id, rule, array_to_string(list_sort(facts), ',') AS missing FROM matched WHERE len(facts) > 0 AND NOT list_has_any(facts, syntax_facts)")
-def applicability_skips(spark, d):
-    skipped = (F.size("facts") > 0) & ~F.coalesce(F.arrays_overlap("facts", "syntax_facts"), F.lit(False))
-    return _checks(spark, d).filter(skipped).select("unit_id", "rule", F.array_join(F.array_sort("facts"), ",").alias("missing"))
-
-
-@REGISTRY.query(f"WITH {MATCHED} SELECT path, rule, ceil(sum(greatest(0, end_byte - start_byte)) / 3.0)::BIGINT AS tokens, count(*)::BIGINT AS n FROM matched WHERE end_byte IS NOT NULL GROUP BY ALL")
-def token_estimates(spark, d):
-    rows = _checks(spark, d).filter("end_byte IS NOT NULL")
-    return rows.groupBy("path", "rule").agg(F.ceil(F.sum(F.greatest(F.lit(0), F.col("end_byte") - F.col("start_byte"))) / 3.0).alias("tokens"), F.count(F.lit(1)).alias("n"))
-
-
 REQUESTS = "requests AS (SELECT * FROM budget_estimates QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY estimated_at DESC, ingested_at DESC) = 1)"
 
 
@@ -543,12 +493,6 @@ def rubric_references(spark, d):
     return rows.select("case_id", F.left(F.sha2("question_wire", 256), F.lit(16)).alias("rubric"), F.concat(F.lit("final-"), F.left(F.sha2(F.concat_ws("\n", "case_id", "question_wire"), 256), F.lit(24))).alias("stable_id"))
 
 
-@REGISTRY.query(f"WITH {CASES}, g AS (SELECT rule_id, target.path AS path, list_sort(list(case_id)) AS ids FROM cases GROUP BY ALL) SELECT rule_id, path, array_to_string(ids, ',') AS case_ids, len(ids)::INT AS n FROM g")
-def evidence_groups(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "rule_id", "target").groupBy("rule_id", F.col("target.path").alias("path")).agg(F.array_sort(F.collect_list("case_id")).alias("ids"))
-    return rows.select("rule_id", "path", F.array_join("ids", ",").alias("case_ids"), F.size("ids").alias("n"))
-
-
 @REGISTRY.query(f"WITH {CASES} SELECT case_id, list_contains(map_keys(answer.probabilities), answer.choice) AS known, round(list_sum(map_values(answer.probabilities)), 4) AS mass, answer.confidence BETWEEN 0 AND 1 AS confident FROM cases WHERE answer.type = 'choice'")
 def answer_validation(spark, d):
     rows = replay.known_cases(table(spark, d, "calibration_cases"), "answer").filter("answer.type = 'choice'")
