@@ -2,19 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.operators.folds import fold
+
+
+CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\(")
+_QUOTED = r"\"[^\"\\\n]*(?:\\[^\n][^\"\\\n]*)*\"|'[^'\\\n]*(?:\\[^\n][^'\\\n]*)*'"
+STRIPPED = {"#": _QUOTED + r"|#[^\n]*", "//": _QUOTED + r"|//[^\n]*|(?s:/\*.*?\*/)"}
+_STRIP = {k: re.compile(v) for k, v in STRIPPED.items()}
+HASHED = re.compile(r"\.(?:pyi?|p[lm]|t)$", re.I)
+
+
+def called(text: str, path: str) -> list[str]:
+    """The names that code calls, in order; what stands in its literals and comments calls nothing."""
+    return CALL.findall(_STRIP["#" if HASHED.search(path) else "//"].sub(" ", text))
+
+
+def read(spans: DataFrame, files: DataFrame, key: str, start: str = "start_byte", end: str = "end_byte") -> DataFrame:
+    """(``key``, path, first_line, last_line, starts_whole, ends_whole, text, calls) of each possible span of a file: its lines, whether it begins
+    and ends between characters, its text (a cut character becomes a replacement sign) and the names called in it.
+
+    ``files`` has one row a path. Spans are gathered by path, so each content moves once and is searched once; spans that are null,
+    reversed, empty or beyond the file have no row.
+    """
+    lists = spans.filter(F.col(start) >= 0).groupBy("path").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))).alias("l"))
+    both = lists.join(files.filter("content IS NOT NULL").select("path", "content"), "path").select("path", "content", "l")
+    fields = pa.schema([(key, pa.string()), ("path", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("starts_whole", pa.bool_()), ("ends_whole", pa.bool_()), ("text", pa.string()), ("calls", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content, own in zip(*(c.to_pylist() for c in batch.columns)):
+                body = content.encode("utf-8", "replace")
+                breaks = np.flatnonzero(np.frombuffer(body, np.uint8) == 10)
+                whole = lambda at: at >= len(body) or body[at] & 0xC0 != 0x80
+                for x in own:
+                    s, e = x["s"], x["e"]
+                    if e is None or not 0 <= s < e <= len(body):
+                        continue
+                    text = body[s:e].decode("utf-8", "replace")
+                    first, last = (int(np.searchsorted(breaks, at)) + 1 for at in (s, max(s, e - 1)))
+                    out.append((x["k"], path, first, last, whole(s), whole(e), text, called(text, path)))
+            columns = list(zip(*out)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+
+    return both.mapInArrow(run, f"{key} STRING, path STRING, first_line INT, last_line INT, starts_whole BOOLEAN, ends_whole BOOLEAN, text STRING, calls ARRAY<STRING>")
 
 
-def line_starts(text: Column) -> Column:
-    """The byte offsets at which the lines of a text begin, in order; null for null."""
-    sizes = F.transform(F.split(text, "\n"), lambda x: F.octet_length(x) + 1)
-    return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)), lambda acc: F.slice(acc, 1, F.size(acc) - 1))
+def n_inside(spans: DataFrame, key: str, start: str = "start_byte", end: str = "end_byte") -> DataFrame:
+    """``spans`` with ``n_inside``: how many other spans of their key lie in them, equal ones included, by a sweep from the last start to the first."""
+    rows = spans.filter(F.col(start) < F.col(end)).withColumn("_back", -F.col(start))
+    equal = Window.partitionBy(key, start, end)
+    rows = rows.withColumn("_later", F.count(F.lit(1)).over(equal) - 1)
 
+    def step(ends: list, row: tuple) -> int:
+        n = bisect_right(ends, row[1])
+        ends.insert(n, row[1])
+        return n
 
-def line_of(starts: Column, offset: Column) -> Column:
-    """The one-based line that holds a byte."""
-    return F.size(F.filter(starts, lambda s: s <= offset))
+    swept = fold(rows, [key], ["_back", end], [start, end], T.StructField("_ahead", T.LongType()), list, step)
+    # of equal spans each has those before it in the sweep; the others come after
+    nth = F.row_number().over(Window.partitionBy(key, start, end).orderBy("_ahead"))
+    return swept.withColumn("n_inside", (F.col("_ahead") + F.col("_later") - (nth - 1)).cast("bigint")).drop("_back", "_later", "_ahead")
 
 
 def merge_spans(df: DataFrame, key: str, start: str = "start_byte", end: str = "end_byte") -> DataFrame:

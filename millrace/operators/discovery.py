@@ -50,5 +50,6 @@ def uncovered(targets: DataFrame, path: str = "path") -> DataFrame:
 
 
 def is_test(path: Column) -> Column:
-    """Whether a path lies in a test folder or is named as a test."""
-    return path.rlike(r"(^|/)(tests?|__tests__|spec)/") | path.rlike(r"(^|/)(test_[^/]*|[^/]*(_test|\.test|\.spec)\.[a-z]+|[^/]*\.t)$")
+    """Whether a part of a path is ``test``, ``tests`` or ``__tests__``, or its name is that of a test."""
+    name = F.substring_index(path, "/", -1)
+    return path.rlike(r"(^|/)(test|tests|__tests__)(/|$)") | F.startswith(name, F.lit("test_")) | F.endswith(name, F.lit("_test.py")) | F.endswith(name, F.lit(".t")) | F.contains(name, F.lit(".test.")) | F.contains(name, F.lit(".spec."))

@@ -6,27 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.spans import read
+
 from .folds import fold
 
 IMPORT = r"^\s*(?:import |from \S+ import |use |require |export .* from )"
 
 
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    """The text of a byte span; a cut character becomes a replacement sign."""
-    return F.decode(F.substring(F.encode(text, "utf-8"), start.cast("int") + 1, (end - start).cast("int")), "utf-8")
-
-
 def abbreviated(signature: Column, most: int = 1024) -> Column:
     """A signature as shown: beyond ``most`` characters it is cut and says so."""
     return F.when(F.length(signature) > most, F.concat(F.left(signature, F.lit(most)), F.lit(" [signature abbreviated]"))).otherwise(signature)
 
 
-def at_boundary(text: Column, offset: Column) -> Column:
-    """Whether a byte offset lies between two characters: the byte there doesn't continue one."""
-    byte = F.conv(F.hex(F.substring(F.encode(text, "utf-8"), offset.cast("int") + 1, 1)), 16, 10).cast("int")
-    return F.coalesce((byte < 128) | (byte >= 192), F.lit(True))
-
-
 def imports(files: DataFrame, most: int = 32) -> DataFrame:
     """(path, line_no, text) of the first ``most`` import lines of each file, cut at 1,024 characters.
 
@@ -38,14 +29,10 @@ def imports(files: DataFrame, most: int = 32) -> DataFrame:
 
 
 def sibling_calls(units: DataFrame, files: DataFrame) -> DataFrame:
-    """(parent_id, caller, callee): a method whose body calls another method of its owner by name.
-
-    Bodies are cut per file, the names called in them become rows, and these meet the owner's members by equality.
-    """
+    """(parent_id, caller, callee): a declaration whose body calls another one of its owner by name. Names called in bodies meet the owner's members by equality."""
     members = units.filter("parent_id IS NOT NULL AND body_start_byte >= 0 AND body_end_byte > body_start_byte").select("unit_id", "parent_id", "path", "name", "body_start_byte", "body_end_byte")
-    bodies = members.join(files, "path").filter(F.col("body_end_byte") <= F.octet_length("content"))
-    body = byte_slice(F.col("content"), F.col("body_start_byte"), F.col("body_end_byte"))
-    called = bodies.select("parent_id", F.col("unit_id").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))).alias("name"))
+    calls = read(members, files, "unit_id", "body_start_byte", "body_end_byte").select("unit_id", F.explode(F.array_distinct("calls")).alias("name"))
+    called = calls.join(members.select("unit_id", "parent_id"), "unit_id").select("parent_id", F.col("unit_id").alias("caller"), "name")
     return called.join(members.select("parent_id", "name", F.col("unit_id").alias("callee")), ["parent_id", "name"]).filter("caller <> callee").select("parent_id", "caller", "callee")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import spans
 from millrace.operators import evidence, replay, retrieval
 from millrace.sources.tables import table
 
-from .queries import ASSESSED, CASES, FILES, REGISTRY, REQUESTS, SUPPORT, UNITS, _records, _requests, _units
+from .queries import ASSESSED, CASES, FILES, REGISTRY, REQUESTS, STRIP, SUPPORT, UNITS, _records, _requests, _units
 
 
 def _files(spark, d, *columns):
@@ -28,13 +29,11 @@ def file_lines(spark, d):
 
 
 @REGISTRY.query(f"""WITH {UNITS}, {FILES}, s AS (SELECT v.unit_id, encode(f.content) AS b, v.start_byte AS s, v.end_byte AS e FROM valid v JOIN files f USING (path) WHERE f.content IS NOT NULL AND v.start_byte >= 0 AND v.start_byte < v.end_byte AND v.end_byte <= strlen(f.content))
-SELECT unit_id, substr(hex(b), s * 2 + 1, 1) NOT IN ('8', '9', 'A', 'B') AS starts_whole, substr(hex(b), e * 2 + 1, 1) NOT IN ('8', '9', 'A', 'B') AS ends_whole, sha256(substr(hex(b), s * 2 + 1, (e - s) * 2)) AS digest FROM s""")
+SELECT unit_id, substr(hex(b), s * 2 + 1, 1) NOT IN ('8', '9', 'A', 'B') AS starts_whole, substr(hex(b), e * 2 + 1, 1) NOT IN ('8', '9', 'A', 'B') AS ends_whole, sha256(decode(unhex(substr(hex(b), s * 2 + 1, (e - s) * 2)))) AS digest FROM s""")
 def evidence_slices(spark, d):
-    rows = _units(spark, d, "path", "start_byte", "end_byte").join(_files(spark, d).filter("content IS NOT NULL").select("path", "content"), "path")
-    rows = rows.filter("start_byte >= 0 AND start_byte < end_byte AND end_byte <= octet_length(content)")
-    c, s, e = F.col("content"), F.col("start_byte"), F.col("end_byte")
-    cut = F.substring(F.encode(c, "utf-8"), s.cast("int") + 1, (e - s).cast("int"))
-    return rows.select("unit_id", evidence.at_boundary(c, s).alias("starts_whole"), evidence.at_boundary(c, e).alias("ends_whole"), F.sha2(F.hex(cut), 256).alias("digest"))
+    files = _files(spark, d).select("path", "content").dropDuplicates(["path"])
+    rows = spans.read(_units(spark, d, "path", "start_byte", "end_byte"), files, "unit_id")
+    return rows.select("unit_id", "starts_whole", "ends_whole", F.sha2("text", 256).alias("digest"))
 
 
 @REGISTRY.query(rf"WITH {FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM files WHERE content IS NOT NULL), i AS (SELECT path, k, left(text, 1024) AS text, row_number() OVER (PARTITION BY path ORDER BY k) AS n FROM l WHERE regexp_matches(left(text, 1024), '^\s*(?:import |from \S+ import |use |require |export .* from )')) SELECT path, k::INT AS line_no, text FROM i WHERE n <= 32")
@@ -44,7 +43,7 @@ def import_lines(spark, d):
 
 @REGISTRY.query(rf"""WITH {UNITS}, {FILES}, m AS (SELECT unit_id, parent_id, path, name, body_start_byte AS s, body_end_byte AS e FROM valid WHERE parent_id IS NOT NULL AND body_start_byte >= 0 AND body_end_byte > body_start_byte),
 b AS (SELECT m.*, decode(unhex(substr(hex(encode(f.content)), s * 2 + 1, (e - s) * 2))) AS body FROM m JOIN files f USING (path) WHERE f.content IS NOT NULL AND e <= strlen(f.content)),
-c AS (SELECT parent_id, unit_id AS caller, unnest(list_distinct(regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS name FROM b)
+c AS (SELECT parent_id, unit_id AS caller, unnest(list_distinct(regexp_extract_all({STRIP.format('body', 'path')}, '([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS name FROM b)
 SELECT c.parent_id, c.caller, m.unit_id AS callee FROM c JOIN m USING (parent_id, name) WHERE c.caller <> m.unit_id""")
 def helper_relationship(spark, d):
     units = _units(spark, d, "parent_id", "path", "name", "body_start_byte", "body_end_byte")
@@ -80,10 +79,12 @@ def mass_vs_expected_score(spark, d):
     return rows.groupBy("rule_id", F.coalesce("severity", F.lit("none")).alias("by_score"), mass.alias("by_mass")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@REGISTRY.query("SELECT case_id, count(DISTINCT adjudication_id)::BIGINT AS n, count(DISTINCT label)::BIGINT AS n_labels, min(adjudicator) AS first_adjudicator FROM adjudications GROUP BY case_id HAVING count(DISTINCT adjudication_id) > 1")
+@REGISTRY.query("WITH a AS (SELECT DISTINCT adjudication_id, case_id, label, adjudicator, supporting_source, adjudicated_at FROM adjudications) SELECT coalesce(case_id, supporting_source || chr(10) || adjudicator) AS key, count(*)::BIGINT AS n, count(DISTINCT label)::BIGINT AS n_labels, count(*) = 1 AS unambiguous, arg_max(label, struct_pack(a := adjudicated_at, b := adjudication_id)) AS last_label FROM a GROUP BY ALL")
 def adjudication_index(spark, d):
-    rows = table(spark, d, "adjudications", "case_id", "adjudication_id", "label", "adjudicator").groupBy("case_id").agg(F.countDistinct("adjudication_id").alias("n"), F.countDistinct("label").alias("n_labels"), F.min("adjudicator").alias("first_adjudicator"))
-    return rows.filter("n > 1")
+    rows = table(spark, d, "adjudications", "adjudication_id", "case_id", "label", "adjudicator", "supporting_source", "adjudicated_at").distinct()
+    key = F.coalesce("case_id", F.concat("supporting_source", F.lit("\n"), "adjudicator"))
+    out = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("n_labels"), F.max_by("label", F.struct("adjudicated_at", "adjudication_id")).alias("last_label"))
+    return out.withColumn("unambiguous", F.col("n") == 1)
 
 
 @REGISTRY.query("WITH a AS (SELECT DISTINCT adjudication_id, case_id, unnest(decisive_lines) AS line FROM adjudications) SELECT case_id, count(*)::BIGINT AS n_lines, min(line) AS first_line, max(line) AS last_line FROM a GROUP BY case_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from millrace.functions import spans
 from millrace.functions.assessment import DEFAULTS, assess, policies
 from millrace.operators import discovery, packing, replay, retrieval, services
+from millrace.operators.folds import running
 from millrace.sources.frontend import python_units
 from millrace.sources.tables import table
 from millrace.streaming import answers
 
+from .lineage import cut, keep
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -216,12 +219,10 @@ def span_coverage_gaps(spark, d):
 
 
 @REGISTRY.query(f"""WITH {UNITS}, {FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM files WHERE content IS NOT NULL), b AS (SELECT path, k, sum(strlen(t) + 1) OVER (PARTITION BY path ORDER BY k) - strlen(t) - 1 AS at FROM l)
-SELECT v.unit_id, count(*) FILTER (b.at <= v.start_byte)::INT AS first_line, count(*) FILTER (b.at <= greatest(v.start_byte, v.end_byte - 1))::INT AS last_line FROM valid v JOIN b USING (path) WHERE v.start_byte >= 0 AND v.end_byte > v.start_byte GROUP BY v.unit_id""")
+SELECT v.unit_id, count(*) FILTER (b.at <= v.start_byte)::INT AS first_line, count(*) FILTER (b.at <= greatest(v.start_byte, v.end_byte - 1))::INT AS last_line FROM valid v JOIN b USING (path) JOIN files f USING (path) WHERE v.start_byte >= 0 AND v.end_byte > v.start_byte AND v.end_byte <= strlen(f.content) GROUP BY v.unit_id""")
 def line_locations(spark, d):
-    starts = table(spark, d, "source_files", "path", "content").filter("content IS NOT NULL").dropDuplicates(["path"]).select("path", spans.line_starts(F.col("content")).alias("starts"))
-    units = _units(spark, d, "path", "start_byte", "end_byte").filter("start_byte >= 0 AND end_byte > start_byte")
-    rows = units.join(starts, "path")
-    return rows.select("unit_id", spans.line_of(F.col("starts"), F.col("start_byte")).alias("first_line"), spans.line_of(F.col("starts"), F.greatest("start_byte", F.col("end_byte") - 1)).alias("last_line"))
+    files = table(spark, d, "source_files", "path", "content").dropDuplicates(["path"])
+    return spans.read(_units(spark, d, "path", "start_byte", "end_byte"), files, "unit_id").select("unit_id", "first_line", "last_line")
 
 
 @REGISTRY.query(f"""WITH {UNITS}, p AS (SELECT DISTINCT diag_id, path, line FROM diagnostics WHERE line IS NOT NULL) SELECT p.diag_id, p.path, p.line, u.unit_id FROM p LEFT JOIN (SELECT p.diag_id, v.unit_id FROM p JOIN valid v ON v.path = p.path AND v.start_line <= p.line AND p.line <= v.end_line QUALIFY row_number() OVER (PARTITION BY p.diag_id ORDER BY v.end_line - v.start_line, v.start_line, v.unit_id) = 1) u USING (diag_id)""")
@@ -232,10 +233,8 @@ def innermost_owner(spark, d):
 
 @REGISTRY.query(f"WITH {UNITS} SELECT a.unit_id, count(*)::BIGINT AS n_inside FROM valid a JOIN valid b ON a.path = b.path AND b.start_byte >= a.start_byte AND b.end_byte <= a.end_byte AND b.unit_id <> a.unit_id WHERE a.start_byte < a.end_byte AND b.start_byte < b.end_byte GROUP BY a.unit_id")
 def span_contains(spark, d):
-    rows = _units(spark, d, "path", "start_byte", "end_byte").filter("start_byte < end_byte")
-    inner = rows.toDF("_u", "path", "_s", "_e")
-    held = rows.join(inner, "path").filter("_s >= start_byte AND _e <= end_byte AND _u <> unit_id")
-    return held.groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_inside"))
+    rows = spans.n_inside(_units(spark, d, "path", "start_byte", "end_byte"), "path")
+    return rows.filter("n_inside > 0").select("unit_id", "n_inside")
 
 
 @REGISTRY.query(f"WITH {UNITS}, s AS (SELECT *, max(end_byte) OVER (PARTITION BY path ORDER BY start_byte, end_byte, unit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM valid WHERE start_byte < end_byte) SELECT path, count(*)::BIGINT AS n_overlaps FROM s WHERE start_byte < ahead AND end_byte > ahead GROUP BY path")
@@ -255,12 +254,20 @@ def member_counts(spark, d):
 
 @REGISTRY.query(f"WITH RECURSIVE {UNITS}, up AS (SELECT unit_id, parent_id, 0 AS depth FROM valid UNION ALL SELECT up.unit_id, v.parent_id, up.depth + 1 FROM up JOIN valid v ON up.parent_id = v.unit_id) SELECT unit_id, max(depth)::INT AS depth FROM up GROUP BY unit_id")
 def parent_chain(spark, d):
-    units = _units(spark, d, "parent_id")
-    parents = units.select(F.col("unit_id").alias("_id"), F.col("parent_id").alias("_next"))
-    rows = units.select("unit_id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"))
-    for _ in range(6):  # nesting of declarations: deeper chains don't occur in source
-        rows = rows.join(parents, F.col("up") == F.col("_id"), "left").select("unit_id", F.col("_next").alias("up"), (F.col("depth") + F.when(F.col("_id").isNotNull(), 1).otherwise(0)).alias("depth"))
-    return rows.select("unit_id", "depth")
+    units = keep(_units(spark, d, "parent_id").filter("parent_id IS NOT NULL"))
+    every = _units(spark, d, "parent_id").select("unit_id")
+    # paths of doubled length each round, until none goes on; a parent that is no unit ends a path
+    known = units.join(every.select(F.col("unit_id").alias("parent_id")), "parent_id", "left_semi")
+    jumps = cut(known.select("unit_id", F.col("parent_id").alias("up"), F.lit(1).alias("n")))
+    while True:
+        ahead = jumps.select(F.col("unit_id").alias("up"), F.col("up").alias("over"), F.col("n").alias("more"))
+        longer = cut(jumps.join(ahead, "up", "left").select("unit_id", F.coalesce("over", "up").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.col("over").isNotNull().alias("moved")))
+        jumps = longer.drop("moved")
+        if longer.filter("moved").isEmpty():
+            break
+    top = jumps.join(units.select(F.col("unit_id").alias("up"), F.lit(1).alias("last")), "up", "left").select("unit_id", (F.col("n") + F.coalesce("last", F.lit(0))).alias("n"))
+    lost = units.join(known.select("unit_id"), "unit_id", "left_anti").select("unit_id", F.lit(1).alias("n")).limit(0)
+    return every.join(top.unionByName(lost), "unit_id", "left").select("unit_id", F.coalesce("n", F.lit(0)).alias("depth"))
 
 
 @REGISTRY.query(f"WITH {UNITS} SELECT c.unit_id, CASE WHEN c.kind = 'function' AND p.kind IN ('class', 'impl', 'trait', 'interface') THEN 'method' ELSE c.kind END AS kind, coalesce(p.qualified_name || CASE WHEN ends_with(c.path, '.rs') OR regexp_matches(c.path, '\\.(pl|pm|t)$') THEN '::' ELSE '.' END, '') || c.name AS built, c.qualified_name FROM valid c LEFT JOIN valid p ON c.parent_id = p.unit_id")
@@ -272,11 +279,14 @@ def qualified_names(spark, d):
     return units.join(parents, "parent_id", "left").select("unit_id", kind.alias("kind"), F.concat(F.coalesce(F.concat("_q", joint), F.lit("")), "name").alias("built"), "qualified_name")
 
 
-@REGISTRY.query(f"WITH {UNITS} SELECT path, signature, unit_id, lead(unit_id) OVER (PARTITION BY path, signature ORDER BY start_byte, unit_id) AS next_id, lead(start_byte) OVER (PARTITION BY path, signature ORDER BY start_byte, unit_id) - end_byte AS gap FROM valid WHERE signature IS NOT NULL QUALIFY next_id IS NOT NULL")
-def repeated_signature_pairs(spark, d):
-    w = Window.partitionBy("path", "signature").orderBy("start_byte", "unit_id")
-    rows = _units(spark, d, "path", "signature", "start_byte", "end_byte").filter("signature IS NOT NULL")
-    return rows.select("path", "signature", "unit_id", F.lead("unit_id").over(w).alias("next_id"), (F.lead("start_byte").over(w) - F.col("end_byte")).alias("gap")).filter("next_id IS NOT NULL")
+@REGISTRY.query(f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM files WHERE content IS NOT NULL), p AS (SELECT path, k, sha256(trim(t)) AS digest FROM l WHERE regexp_matches(trim(t), '^(if|unless|elif|elsif|for|foreach|while|return|let|const|my) [^ ]'))
+SELECT path, digest, k::INT AS line, lead(k) OVER w::INT AS next_line, (lead(k) OVER w - k - 1)::INT AS gap, count(*) OVER (PARTITION BY path, digest)::BIGINT AS n FROM p WINDOW w AS (PARTITION BY path, digest ORDER BY k) QUALIFY next_line IS NOT NULL""")
+def repeated_statements(spark, d):
+    lines = table(spark, d, "source_files", "file_id", "path", "content").filter("content IS NOT NULL").dropDuplicates(["file_id"]).select("path", F.posexplode(F.split("content", "\n")).alias("k", "t"))
+    rows = lines.filter(F.trim("t").rlike("^(if|unless|elif|elsif|for|foreach|while|return|let|const|my) [^ ]")).select("path", F.sha2(F.trim("t"), 256).alias("digest"), (F.col("k") + 1).alias("line"))
+    w = Window.partitionBy("path", "digest").orderBy("line")
+    rows = rows.withColumn("next_line", F.lead("line").over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path", "digest")))
+    return rows.filter("next_line IS NOT NULL").withColumn("gap", F.col("next_line") - F.col("line") - 1)
 
 
 # --- planning: checks, facts, budgets, packing
@@ -333,7 +343,9 @@ def token_calibration_running_min(spark, d):
 
 
 DEFS = rf"defs AS (SELECT unit_id, path, regexp_extract(qualified_name, '([^.:]*)$', 1) AS name FROM valid WHERE kind IN ('function', 'method'))"
-CALLS = rf"calls AS (SELECT path, name, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM (SELECT path, any_value(content) AS content FROM source_files WHERE content IS NOT NULL GROUP BY path)) GROUP BY ALL)"
+LANGUAGE_SQL = r"CASE WHEN regexp_matches(lower({0}), '\.(py|pyi)$') THEN 'python' WHEN regexp_matches(lower({0}), '\.(js|jsx|mjs|cjs)$') THEN 'javascript' WHEN regexp_matches(lower({0}), '\.(ts|tsx|mts|cts)$') THEN 'typescript' WHEN regexp_matches(lower({0}), '\.rs$') THEN 'rust' WHEN regexp_matches(lower({0}), '\.(pl|pm|t)$') THEN 'perl' END"
+STRIP = "regexp_replace({0}, CASE WHEN regexp_matches(lower({1}), '\\.(pyi?|p[lm]|t)$') THEN '" + spans.STRIPPED["#"].replace("'", "''") + "' ELSE '" + spans.STRIPPED["//"].replace("'", "''") + "' END, ' ', 'g')"
+CALLS = rf"calls AS (SELECT path, name, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all({STRIP.format('content', 'path')}, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM (SELECT path, any_value(content) AS content FROM source_files WHERE content IS NOT NULL GROUP BY path)) GROUP BY ALL)"
 FOUND = f"{UNITS}, {DEFS}, {CALLS}, found AS (SELECT d.unit_id, d.path, c.path AS caller, c.n FROM defs d JOIN calls c USING (name) WHERE d.path <> c.path)"
 SAME_REPO = "(split_part(path, '/', 1) || '/' || split_part(path, '/', 2) <> split_part(caller, '/', 1) || '/' || split_part(caller, '/', 2))"
 
@@ -365,11 +377,12 @@ def fair_union_pool(spark, d):
     return retrieval.fair_union(found, "unit_id", "family", "caller", [F.desc("n"), F.asc("caller")]).filter("place <= 6")
 
 
-@REGISTRY.query(f"WITH {FILES}, r AS (SELECT path, repo, strlen(content) AS size, sum(strlen(content)) OVER (PARTITION BY repo ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM files WHERE content IS NOT NULL) SELECT repo, count(*) FILTER (total <= 50000)::BIGINT AS n_in, count(*) FILTER (total > 50000)::BIGINT AS n_out FROM r GROUP BY repo")
+@REGISTRY.query(f"WITH {FILES}, r AS (SELECT path, repo, content IS NULL AS unreadable, coalesce(sum(strlen(content)) OVER (PARTITION BY repo ORDER BY path ROWS UNBOUNDED PRECEDING), 0) AS total, row_number() OVER (PARTITION BY repo ORDER BY path) AS k FROM files) SELECT repo, count(*) FILTER (total <= 50000 AND k <= 20 AND NOT unreadable)::BIGINT AS n_in, count(*) FILTER (k > 20)::BIGINT AS n_over_files, count(*) FILTER (k <= 20 AND total > 50000)::BIGINT AS n_over_bytes, count(*) FILTER (unreadable AND k <= 20 AND total <= 50000)::BIGINT AS n_unreadable, count(*) FILTER (k > 20 OR total > 50000 OR unreadable) = 0 AS complete FROM r GROUP BY repo")
 def catalogue_budget_scan(spark, d):
-    rows = table(spark, d, "source_files", "path", "repo", "content").filter("content IS NOT NULL").select("repo", "path", F.octet_length("content").alias("size")).dropDuplicates(["path"])
-    total = F.sum("size").over(Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("total", total).groupBy("repo").agg(F.count_if(F.col("total") <= 50_000).alias("n_in"), F.count_if(F.col("total") > 50_000).alias("n_out"))
+    rows = table(spark, d, "source_files", "path", "repo", "content").select("repo", "path", F.octet_length("content").cast("bigint").alias("size")).dropDuplicates(["path"])
+    rows = running(running(rows, "repo", ["path"], F.coalesce("size", F.lit(0)), "total"), "repo", ["path"], F.lit(1), "k")
+    unreadable, late, large = F.col("size").isNull(), F.col("k") > 20, F.col("total") > 50_000
+    return rows.groupBy("repo").agg(F.count_if(~late & ~large & ~unreadable).alias("n_in"), F.count_if(late).alias("n_over_files"), F.count_if(~late & large).alias("n_over_bytes"), F.count_if(~late & ~large & unreadable).alias("n_unreadable"), (F.count_if(late | large | unreadable) == 0).alias("complete"))
 
 
 # --- discovery and diagnostics
@@ -398,7 +411,7 @@ def normalize_targets(spark, d):
     return discovery.uncovered(rows.select(F.when(F.col("line").isNull(), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")).alias("path")).distinct())
 
 
-@REGISTRY.query(rf"WITH {FILES} SELECT repo, count(*)::BIGINT AS n, count(*) FILTER (regexp_matches(path, '(^|/)(tests?|__tests__|spec)/') OR regexp_matches(path, '(^|/)(test_[^/]*|[^/]*(_test|\.test|\.spec)\.[a-z]+|[^/]*\.t)$'))::BIGINT AS n_tests FROM files GROUP BY repo")
+@REGISTRY.query(rf"WITH {FILES} SELECT repo, count(*)::BIGINT AS n, count(*) FILTER (list_has_any(string_split(path, '/'), ['test', 'tests', '__tests__']) OR regexp_matches(path, '(^|/)test_[^/]*$|_test\.py$|\.t$|\.(test|spec)\.[^/]*$'))::BIGINT AS n_tests FROM files GROUP BY repo")
 def test_paths(spark, d):
     rows = table(spark, d, "source_files", "file_id", "repo", "path").dropDuplicates(["file_id"])
     return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(discovery.is_test(F.col("path"))).alias("n_tests"))
@@ -429,10 +442,14 @@ def coverage_by_file(spark, d):
     return files.join(units, "path", "left").select("file_id", F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("n_implemented", F.lit(0)).alias("n_implemented"))
 
 
-@REGISTRY.query(r"SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B-\x1F\x7F]', '?', 'g') AS safe FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[\x00-\x08\x0B-\x1F\x7F]')")
+CONTROLS = [c for c in (*range(32), *range(127, 160), *range(0x202A, 0x202F), *range(0x2066, 0x206A)) if c != 10]
+UNSAFE = r"[\x00-\x09\x0B-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
+
+
+@REGISTRY.query("SELECT doc_id, " + reduce(lambda text, c: f"replace({text}, chr({c}), '\\u{c:04x}')", CONTROLS, "text") + f" AS safe FROM documents WHERE regexp_matches(text, '{UNSAFE}')")
 def safe_text(spark, d):
-    rows = table(spark, d, "documents", "doc_id", "text").filter(F.col("text").rlike(r"[\x00-\x08\x0B-\x1F\x7F]"))
-    return rows.select("doc_id", F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F\x7F]", "?").alias("safe"))
+    rows = table(spark, d, "documents", "doc_id", "text").filter(F.col("text").rlike(UNSAFE))
+    return rows.select("doc_id", reduce(lambda text, c: F.replace(text, F.lit(chr(c)), F.lit(f"\\u{c:04x}")), CONTROLS, F.col("text")).alias("safe"))
 
 
 # --- caches, ledgers and breakers over the event table
@@ -506,10 +523,71 @@ def label_conflicts(spark, d):
     return rows.filter("n_labels > 1")
 
 
-@REGISTRY.query(f"WITH {FOUND}, spans AS (SELECT path, min(start_byte) AS s, max(end_byte) AS e FROM valid WHERE start_byte < end_byte GROUP BY path) SELECT f.unit_id, count(*)::BIGINT AS n_new FROM found f WHERE NOT EXISTS (SELECT 1 FROM calls c JOIN defs d USING (name) WHERE d.unit_id = f.unit_id AND c.path = f.path) GROUP BY f.unit_id")
+CANDIDATES = f"""{UNITS}, {CALLS}, spanned AS (SELECT * FROM valid WHERE start_byte >= 0 AND start_byte < end_byte), owners AS (SELECT path, start_byte AS s, end_byte AS e FROM spanned WHERE kind IN ('class', 'impl', 'package')),
+d AS (SELECT unit_id, path AS loc, start_byte, end_byte - start_byte AS size, regexp_extract(qualified_name, '([^.:]*)$', 1) AS name, {LANGUAGE_SQL.format('path')} AS language FROM spanned WHERE kind IN ('function', 'method')),
+pool AS (SELECT DISTINCT c.path, d.* EXCLUDE (name, language) FROM calls c JOIN d ON d.name = c.name AND d.language = {LANGUAGE_SQL.format('c.path')} WHERE NOT (d.loc = c.path AND EXISTS (SELECT 1 FROM owners o WHERE o.path = d.loc AND o.s <= d.start_byte AND d.start_byte + d.size <= o.e))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY loc <> path, regexp_replace(loc, '/[^/]*$', '') <> regexp_replace(path, '/[^/]*$', ''), size, loc, start_byte, unit_id) AS rank, count(*) OVER (PARTITION BY path) AS n FROM pool)"""
+
+
+@REGISTRY.query(f"WITH {CANDIDATES} SELECT path, unit_id, rank::INT AS rank, greatest(0, n - 8)::BIGINT AS n_omitted FROM placed WHERE rank <= 8")
+def definition_candidates(spark, d):
+    return retrieval.definition_candidates(table(spark, d, "units"), table(spark, d, "source_files", "path", "content"), 8)
+
+
+@REGISTRY.query(f"WITH {CANDIDATES}, every AS (SELECT c.path, d.loc, d.unit_id, EXISTS (SELECT 1 FROM owners o WHERE o.path = d.loc AND o.s <= d.start_byte AND d.start_byte + d.size <= o.e) AS held FROM calls c JOIN d ON d.name = c.name AND d.loc = c.path) SELECT path, count(*)::BIGINT AS n_own, count(*) FILTER (held)::BIGINT AS n_present FROM every GROUP BY path")
 def already_present_anti(spark, d):
-    n = retrieval.caller_counts(table(spark, d, "units"), table(spark, d, "source_files")).filter("NOT own")
-    return n.select("unit_id", (F.col("near") + F.col("far")).alias("n_new")).filter("n_new > 0")
+    rows = _units(spark, d, "path", "kind", "qualified_name", "start_byte", "end_byte").filter("start_byte >= 0 AND start_byte < end_byte")
+    defs = rows.filter("kind IN ('function', 'method')").select("unit_id", "path", "start_byte", "end_byte", retrieval.short_name(F.col("qualified_name")).alias("name"))
+    own = retrieval.references(table(spark, d, "source_files", "path", "content")).select("path", "name").join(defs, ["path", "name"])
+    owners = rows.filter("kind IN ('class', 'impl', 'package')").select("path", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
+    present = own.join(owners, "path").filter("s <= start_byte AND end_byte <= e").select("unit_id").distinct().withColumn("held", F.lit(True))
+    return own.join(present, "unit_id", "left").groupBy("path").agg(F.count(F.lit(1)).alias("n_own"), F.count("held").alias("n_present"))
+
+
+@REGISTRY.query(rf"""WITH {UNITS}, {FILES}, c AS (SELECT v.unit_id, v.path, v.start_byte, v.end_byte, regexp_extract(v.qualified_name, '([^.:]*)$', 1) AS name, list_distinct(regexp_extract_all({STRIP.format("decode(unhex(substr(hex(encode(f.content)), v.start_byte * 2 + 1, (v.end_byte - v.start_byte) * 2)))", 'v.path')}, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS calls
+  FROM valid v JOIN files f USING (path) WHERE f.content IS NOT NULL AND v.kind IN ('function', 'method') AND v.start_byte >= 0 AND v.start_byte < v.end_byte AND v.end_byte <= strlen(f.content)),
+defs AS (SELECT unit_id AS dep_id, path, regexp_extract(qualified_name, '([^.:]*)$', 1) AS name, start_byte AS s, end_byte AS e FROM valid WHERE kind IN ('function', 'method')),
+one AS (SELECT DISTINCT c.unit_id, c.path, c.start_byte, c.end_byte, c.calls, d.dep_id FROM c JOIN defs d ON d.path = c.path AND list_contains(c.calls, d.name) WHERE NOT (s <= start_byte AND e >= end_byte) AND NOT (start_byte <= s AND e <= end_byte)),
+two AS (SELECT DISTINCT one.unit_id, d.dep_id FROM one JOIN c ON c.unit_id = one.dep_id JOIN defs d ON d.path = one.path AND list_contains(c.calls, d.name) AND NOT list_contains(one.calls, d.name) WHERE NOT (d.s <= one.start_byte AND d.e >= one.end_byte) AND NOT (one.start_byte <= d.s AND d.e <= one.end_byte))
+SELECT unit_id, dep_id, min(hop)::INT AS hop FROM (SELECT unit_id, dep_id, 1 AS hop FROM one UNION ALL SELECT unit_id, dep_id, 2 FROM two) GROUP BY ALL""")
+def local_dependencies(spark, d):
+    return retrieval.local_dependencies(table(spark, d, "units"), table(spark, d, "source_files", "path", "content"))
+
+
+@REGISTRY.query(f"WITH {UNITS} SELECT unit_id, split_part(split_part(regexp_replace(string_split(display_name, ' for ')[-1], '^impl ', ''), '<', 1), '::', -1) AS type_hint FROM valid WHERE kind = 'impl'")
+def impl_type_hints(spark, d):
+    return _units(spark, d, "kind", "display_name").filter("kind = 'impl'").select("unit_id", retrieval.impl_type(F.col("display_name")).alias("type_hint"))
+
+
+@REGISTRY.query(f"WITH {UNITS} SELECT v.unit_id, unnest([CASE WHEN v.kind NOT IN ('function', 'method') THEN v.unit_id ELSE coalesce(p.unit_id, v.path) END, v.path]) AS candidate, unnest(['enclosing_owner', 'containing_file']) AS relation FROM valid v LEFT JOIN valid p ON p.unit_id = v.parent_id")
+def enclosing_candidates(spark, d):
+    units = _units(spark, d, "path", "kind", "parent_id")
+    owners = units.select(F.col("unit_id").alias("parent_id"), F.lit(True).alias("_known"))
+    owner = F.when(~F.col("kind").isin("function", "method"), F.col("unit_id")).when(F.col("_known"), F.col("parent_id")).otherwise(F.col("path"))
+    pair = F.array(F.struct(owner.alias("candidate"), F.lit("enclosing_owner").alias("relation")), F.struct(F.col("path").alias("candidate"), F.lit("containing_file").alias("relation")))
+    return units.join(owners, "parent_id", "left").select("unit_id", F.explode(pair).alias("x")).select("unit_id", "x.*")
+
+
+@REGISTRY.query(f"WITH {UNITS}, m AS (SELECT parent_id, display_name, row_number() OVER (PARTITION BY parent_id ORDER BY start_byte, end_byte DESC, unit_id) AS k FROM valid WHERE parent_id IS NOT NULL) SELECT p.unit_id, m.k::INT AS place, m.display_name AS name FROM valid p JOIN m ON m.parent_id = p.unit_id WHERE p.kind NOT IN ('function', 'method') AND m.k <= 23")
+def owner_outline(spark, d):
+    units = _units(spark, d, "path", "kind", "parent_id", "display_name", "start_byte", "end_byte")
+    k = F.row_number().over(Window.partitionBy("parent_id").orderBy(F.asc_nulls_last("start_byte"), F.desc_nulls_first("end_byte"), "unit_id"))
+    members = units.filter("parent_id IS NOT NULL").select("parent_id", "display_name", k.alias("place")).filter("place <= 23")
+    owners = units.filter("kind NOT IN ('function', 'method')").select(F.col("unit_id").alias("parent_id"))
+    return members.join(owners, "parent_id", "left_semi").select(F.col("parent_id").alias("unit_id"), "place", F.col("display_name").alias("name"))
+
+
+@REGISTRY.query(f"""WITH {UNITS}, {FILES}, s AS (SELECT v.unit_id, hex(encode(f.content)) AS h, v.start_byte AS s, v.end_byte AS e, greatest(v.start_byte, v.body_start_byte - 200) AS b FROM valid v JOIN files f USING (path) WHERE f.content IS NOT NULL AND v.start_byte >= 0 AND v.start_byte < v.end_byte AND v.end_byte <= strlen(f.content) AND v.body_start_byte >= v.start_byte AND v.body_start_byte <= v.end_byte),
+t AS (SELECT unit_id, s, e, h, b + CASE WHEN substr(h, b * 2 + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 0 WHEN substr(h, b * 2 + 3, 1) NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN substr(h, b * 2 + 5, 1) NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END AS b FROM s), x AS (SELECT unit_id, s, b, decode(unhex(substr(h, b * 2 + 1, (e - b) * 2))) AS text FROM t WHERE b < e)
+SELECT unit_id, sha256(left(text, 1200)) AS digest, b = s AND length(text) <= 1200 AS complete FROM x""")
+def candidate_previews(spark, d):
+    units = _units(spark, d, "path", "start_byte", "end_byte", "body_start_byte").filter("body_start_byte >= start_byte AND body_start_byte <= end_byte AND start_byte >= 0 AND start_byte < end_byte")
+    files = table(spark, d, "source_files", "path", "content").dropDuplicates(["path"])
+    begun = units.select("unit_id", "path", "start_byte", "end_byte", F.greatest("start_byte", F.col("body_start_byte") - 200).alias("from_byte"))
+    # a slice that begins inside a character begins with replacement signs, one for each of its bytes
+    rows = spans.read(begun, files, "unit_id", "from_byte", "end_byte").select("unit_id", F.when(F.col("starts_whole"), F.col("text")).otherwise(F.regexp_replace("text", "^\ufffd+", "")).alias("text"), "starts_whole")
+    rows = rows.join(begun.select("unit_id", (F.col("from_byte") == F.col("start_byte")).alias("from_start")), "unit_id")
+    return rows.filter("text <> ''").select("unit_id", F.sha2(F.left("text", F.lit(1200)), 256).alias("digest"), (F.col("from_start") & F.col("starts_whole") & (F.length("text") <= 1200)).alias("complete"))
 
 
 @REGISTRY.query(f"WITH {FOUND} SELECT unit_id, string_agg(DISTINCT CASE WHEN {SAME_REPO} THEN 'far' ELSE 'near' END, ',' ORDER BY CASE WHEN {SAME_REPO} THEN 'far' ELSE 'near' END) AS families, count(*)::BIGINT AS n FROM found GROUP BY unit_id")
@@ -519,10 +597,10 @@ def family_membership(spark, d):
     return n.select("unit_id", F.array_join(families, ",").alias("families"), (F.col("near") + F.col("far")).alias("n"))
 
 
-@REGISTRY.query(f"WITH {UNITS}, s AS (SELECT parent_id, unit_id, name FROM valid WHERE parent_id IS NOT NULL AND has_implementation) SELECT a.parent_id, count(*)::BIGINT AS n_pairs FROM s a JOIN s b ON a.parent_id = b.parent_id AND a.name = b.name AND a.unit_id < b.unit_id GROUP BY a.parent_id")
+@REGISTRY.query(f"WITH {UNITS} SELECT parent_id, count(*)::BIGINT AS n_members, count(DISTINCT name)::BIGINT AS n_names FROM valid WHERE parent_id IS NOT NULL AND has_implementation GROUP BY parent_id")
 def sibling_names(spark, d):
-    rows = _units(spark, d, "parent_id", "name", "has_implementation").filter("parent_id IS NOT NULL AND has_implementation").groupBy("parent_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    return rows.filter("n > 1").groupBy("parent_id").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("n_pairs"))
+    rows = _units(spark, d, "parent_id", "name", "has_implementation").filter("parent_id IS NOT NULL AND has_implementation")
+    return rows.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_members"), F.countDistinct("name").alias("n_names"))
 
 
 @REGISTRY.query(f"WITH {ASSESSED}, s AS (SELECT count(*) AS n, count(*) FILTER (status = 'error') AS e, count(*) FILTER (status = 'warning') AS w, count(*) FILTER (status = 'unknown') AS u FROM replayed) SELECT n::BIGINT AS n, e::BIGINT AS errors, w::BIGINT AS warnings, u::BIGINT AS unknown, CASE WHEN e > 0 THEN 1 ELSE 0 END AS exit_code FROM s")
