@@ -57,7 +57,7 @@ def branch_counts(spark, d):
     return units.filter("kind IN ('class', 'impl', 'package')").join(inner, "unit_id", "left").select("unit_id", "branch_nodes", F.coalesce("n", F.lit(0)).alias("in_members"))
 
 
-@REGISTRY.query("WITH signed AS (SELECT * FROM units WHERE signature IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY scanned_at DESC NULLS LAST, ingested_at DESC NULLS LAST, start_byte DESC NULLS LAST, end_byte DESC NULLS LAST) = 1) SELECT unit_id, CASE WHEN len(signature) > 60 THEN left(signature, 60) || ' [signature abbreviated]' ELSE signature END AS signature FROM signed")
+@REGISTRY.query("WITH signed AS (SELECT * FROM units WHERE signature IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY scanned_at DESC NULLS LAST, ingested_at DESC NULLS LAST, start_byte DESC NULLS LAST, end_byte DESC NULLS LAST) = 1) SELECT unit_id, CASE WHEN len(signature) > 1024 THEN left(signature, 1024) || ' [signature abbreviated]' ELSE signature END AS signature FROM signed")
 def abbreviated_signatures(spark, d):
     rows = retrieval.latest_units(table(spark, d, "units").filter("signature IS NOT NULL"), "signature")
     return rows.select("unit_id", evidence.abbreviated(F.col("signature")).alias("signature"))
@@ -128,11 +128,6 @@ def usage_metrics(spark, d):
     return rows.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"), F.max(F.get_json_object("props", "$.k").cast("int")).alias("top"))
 
 
-@REGISTRY.query(f"WITH {REQUESTS} SELECT model, scope, count(*)::BIGINT AS n, sum(total_tokens + ceil(total_tokens * 0.25)::BIGINT)::BIGINT AS reserved FROM requests GROUP BY ALL")
-def capture_reservations(spark, d):
-    return _requests(spark, d).groupBy("model", "scope").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("total_tokens") + F.ceil(F.col("total_tokens") * F.lit(0.25).cast("double"))).alias("reserved"))
-
-
 @REGISTRY.query(f"WITH {UNITS} SELECT u.unit_id, coalesce(p.unit_id, u.path) AS owner, coalesce(p.kind, 'file') AS owner_kind FROM valid u LEFT JOIN valid p ON u.parent_id = p.unit_id WHERE u.kind IN ('function', 'method')")
 def owner_resolution(spark, d):
     units = _units(spark, d, "path", "kind", "parent_id")

@@ -162,13 +162,6 @@ def target_event_rollup(spark, d):
     return one.groupBy("path").agg(F.count(F.lit(1)).alias("n_rules"), F.array_join(F.array_sort(F.collect_list(F.concat("rule_id", F.lit("="), "status"))), ",").alias("statuses"), F.sum("signal").alias("n_signal"))
 
 
-@REGISTRY.query(f"WITH {ASSESSED} SELECT target.path AS path, min(p) AS least, CASE WHEN min(p) >= 0.9 THEN 'error' WHEN min(p) >= 0.71 THEN 'warning' ELSE 'ok' END AS composed FROM replayed WHERE t = 'boolean' GROUP BY ALL")
-def compose_all_of(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "target", "answer").filter("answer.type = 'boolean'")
-    least = rows.groupBy(F.col("target.path").alias("path")).agg(F.min("answer.noul").alias("least"))
-    return least.withColumn("composed", F.when(F.col("least") >= 0.9, "error").when(F.col("least") >= 0.71, "warning").otherwise("ok"))
-
-
 @REGISTRY.query(f"""WITH {CASES}, adj AS (SELECT DISTINCT case_id, label, adjudicated_at, adjudication_id FROM adjudications), last AS (SELECT case_id, label FROM adj QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY adjudicated_at DESC, adjudication_id DESC) = 1)
 SELECT c.case_id, coalesce(l.label, c.label) AS label, l.label IS NOT NULL AND l.label <> c.label AS overridden FROM cases c LEFT JOIN last l USING (case_id)""")
 def reassess_coalesce(spark, d):
@@ -194,12 +187,6 @@ def identity_hashes(spark, d):
     return rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_documents"), replay.count(same).alias("n_matching"))
 
 
-@REGISTRY.query(f"WITH {CASES} SELECT rule_id, count(DISTINCT sha256(question_wire))::BIGINT AS n_requests, sum(strlen(question_wire))::BIGINT AS n_bytes, count(*)::BIGINT AS n FROM cases GROUP BY rule_id")
-def usage_dedup(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "rule_id", "question_wire")
-    return rows.groupBy("rule_id").agg(F.countDistinct(F.sha2("question_wire", 256)).alias("n_requests"), F.sum(F.octet_length("question_wire")).alias("n_bytes"), F.count(F.lit(1)).alias("n"))
-
-
 # --- intervals, lines and ownership
 
 
@@ -487,7 +474,7 @@ def frontend_units(spark, d):
     return python_units(table(spark, d, "source_files", "path", "content"))
 
 
-@REGISTRY.query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS since, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL")
+@REGISTRY.query("WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS since, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL) SELECT * FROM w WHERE since + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def stream_summary(spark, d):
     schema = table(spark, d, "events").schema
     return answers.run_once(answers.windowed_counts(answers.read_events(spark, d, schema)), f"summary_{uuid.uuid4().hex}")
@@ -510,13 +497,6 @@ def rubric_references(spark, d):
     return rows.select("case_id", F.left(F.sha2("question_wire", 256), F.lit(16)).alias("rubric"), F.concat(F.lit("final-"), F.left(F.sha2(F.concat_ws("\n", "case_id", "question_wire"), 256), F.lit(24))).alias("stable_id"))
 
 
-@REGISTRY.query(f"WITH {CASES} SELECT case_id, list_contains(map_keys(answer.probabilities), answer.choice) AS known, round(list_sum(map_values(answer.probabilities)), 4) AS mass, answer.confidence BETWEEN 0 AND 1 AS confident FROM cases WHERE answer.type = 'choice'")
-def answer_validation(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "answer").filter("answer.type = 'choice'")
-    mass = F.aggregate(F.map_values("answer.probabilities"), F.lit(0.0), lambda a, b: a + b)
-    return rows.select("case_id", F.map_contains_key("answer.probabilities", F.col("answer.choice")).alias("known"), F.round(mass, 4).alias("mass"), F.col("answer.confidence").between(0, 1).alias("confident"))
-
-
 @REGISTRY.query(f"WITH {ASSESSED} SELECT rule_id, support, count(*)::BIGINT AS n, count(DISTINCT label)::BIGINT AS n_labels, min(case_id) AS first_case FROM replayed WHERE support IS NOT NULL GROUP BY ALL HAVING count(DISTINCT label) > 1")
 def label_conflicts(spark, d):
     rows = _records(spark, d).filter("support IS NOT NULL").groupBy("rule_id", "support").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("n_labels"), F.min("case_id").alias("first_case"))
