@@ -12,7 +12,7 @@ from millrace.functions import spans
 from millrace.functions.assessment import DEFAULTS, assess, policies
 from millrace.operators import discovery, packing, replay, retrieval, services
 from millrace.operators.folds import running
-from millrace.sources.frontend import python_units
+from millrace.sources.frontend import parsed
 from millrace.sources.tables import table
 from millrace.streaming import answers
 
@@ -469,9 +469,32 @@ def circuit_breaker(spark, d):
 # --- sources and streams
 
 
+def _parsed(spark, d):
+    return parsed(table(spark, d, "source_files", "path", "content"), max_bytes=1 << 20)
+
+
 @REGISTRY.query()
 def frontend_units(spark, d):
-    return python_units(table(spark, d, "source_files", "path", "content"))
+    return _parsed(spark, d).filter("record = 'unit'").drop("record")
+
+
+@REGISTRY.query()
+def frontend_references(spark, d):
+    return _parsed(spark, d).filter("record = 'reference'").groupBy("path", F.col("parent_id").alias("unit_id"), "name").agg(F.count(F.lit(1)).alias("n"), F.min("start_byte").alias("first_byte"))
+
+
+@REGISTRY.query()
+def frontend_diagnostics(spark, d):
+    return _parsed(spark, d).filter("record IN ('diagnostic', 'import')").groupBy("language", "record", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
+
+
+@REGISTRY.query()
+def frontend_agreement(spark, d):
+    """How many of the table's units the frontend finds with the same kind, name and span, by language and kind."""
+    own = _parsed(spark, d).filter("record = 'unit'").select("path", "language", "kind", "name", "start_byte", "end_byte").withColumn("found", F.lit(True))
+    listed = _units(spark, d, "path", "kind", "name", "start_byte", "end_byte").drop("unit_id").withColumn("language", discovery.language(F.col("path"))).withColumn("listed", F.lit(True))
+    both = listed.join(own, ["path", "language", "kind", "name", "start_byte", "end_byte"], "full")
+    return both.groupBy("language", "kind").agg(F.count("listed").alias("n_listed"), F.count("found").alias("n_found"), F.count_if(F.col("listed") & F.col("found")).alias("n_both"))
 
 
 @REGISTRY.query("WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2000-01-01') AS since, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL) SELECT * FROM w WHERE since + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
