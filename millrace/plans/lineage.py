@@ -18,12 +18,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder, so a lost executor costs a read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written once as a table under the checkpoint folder and read back, so later scans read only their columns.
 
@@ -36,3 +30,12 @@ def keep(df: DataFrame) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut off from how it was computed, so a lost executor costs a read and loops plan from true sizes.
+
+    A table is written instead of a checkpoint, as a checkpoint keeps the size the planner once guessed; over a loop of joins these guesses
+    multiply, and planning alone comes to take seconds.
+    """
+    return keep(df)
