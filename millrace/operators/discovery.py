@@ -16,9 +16,9 @@ LANGUAGES = {
 
 
 def language(path: Column) -> Column:
-    """The language of a path's suffix; null for others."""
+    """The language of a path's suffix, in either case; null for others and for names without a dot."""
     table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return F.try_element_at(table, F.lower(F.substring_index(path, ".", -1)))
+    return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
 
 
 def glob_regex(pattern: str) -> str:

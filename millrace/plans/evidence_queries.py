@@ -65,9 +65,9 @@ def abbreviated_signatures(spark, d):
 
 @REGISTRY.query(f"WITH {CASES} SELECT case_id, list_sort(list_transform(json_extract_string(evidence.state, '$.documents[*].path'), lambda x: x)) = list_sort(map_keys(evidence.source_documents)) AS same_paths FROM cases")
 def evidence_documents(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "evidence")
     state = F.from_json("evidence.state", "documents ARRAY<STRUCT<path: STRING>>")
-    return rows.select("case_id", (F.array_sort(state["documents"]["path"]) == F.array_sort(F.map_keys("evidence.source_documents"))).alias("same_paths"))
+    same = F.array_sort(state["documents"]["path"]) == F.array_sort(F.map_keys("evidence.source_documents"))
+    return table(spark, d, "calibration_cases").select("case_id", same.alias("same_paths")).dropDuplicates(["case_id"])
 
 
 @REGISTRY.query(f"""WITH {ASSESSED}, e AS (SELECT rule_id, case_id, coalesce(severity, 'none') AS by_score, CASE WHEN map_extract_value(answer.probabilities, '2') >= 0.5 THEN 'error' WHEN round(map_extract_value(answer.probabilities, '1') + map_extract_value(answer.probabilities, '2'), 9) >= 0.7 THEN 'warning' ELSE 'none' END AS by_mass FROM replayed WHERE t = 'score')

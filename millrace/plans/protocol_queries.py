@@ -19,6 +19,15 @@ def _cases(spark, d, *columns):
     return replay.known_cases(table(spark, d, "calibration_cases"), *columns)
 
 
+def _reduced(spark, d, *columns):
+    """Case rows as delivered: where texts or maps are read, they are reduced to digests and counts first and made unique after (``_once``)."""
+    return table(spark, d, "calibration_cases").select("case_id", *columns)
+
+
+def _once(rows):
+    return rows.dropDuplicates(["case_id"])
+
+
 def _labels(kind):
     of = lambda *x: F.array(*map(F.lit, x))
     return F.when(kind == "choice", of("kept", "lost", "unclear")).when(kind == "score", of("0", "1", "2")).otherwise(F.array().cast("array<string>"))
@@ -29,11 +38,11 @@ def _labels(kind):
 
 @REGISTRY.query(f"WITH {CASES} SELECT case_id, sha256(concat_ws(chr(10), 'judgment:' || prompt.version::VARCHAR, endpoint, coalesce(returned_model, ''), evidence.state, question_wire)) AS judgment_key, sha256(concat_ws(chr(10), 'request', endpoint, '{{\"question\":' || question_wire || ',\"state\":' || evidence.state || '}}')) AS request_key FROM cases")
 def cache_keys(spark, d):
-    rows = _cases(spark, d, "prompt", "endpoint", "returned_model", "evidence", "question_wire")
+    rows = _reduced(spark, d, "prompt", "endpoint", "returned_model", "evidence", "question_wire")
     prefix = F.concat(F.lit("judgment:"), F.col("prompt.version").cast("string"))
     body = F.concat(F.lit('{"question":'), "question_wire", F.lit(',"state":'), "evidence.state", F.lit("}"))
     judgment = F.sha2(F.concat_ws("\n", prefix, "endpoint", F.coalesce("returned_model", F.lit("")), "evidence.state", "question_wire"), 256)
-    return rows.select("case_id", judgment.alias("judgment_key"), routing.key("request", F.col("endpoint"), body).alias("request_key"))
+    return _once(rows.select("case_id", judgment.alias("judgment_key"), routing.key("request", F.col("endpoint"), body).alias("request_key")))
 
 
 @REGISTRY.query(f"""WITH {CASES}, a AS (SELECT case_id, answer, {LABELS} AS labels FROM cases)
@@ -62,36 +71,36 @@ def offline_judge(spark, d):
 
 @REGISTRY.query(f"WITH {CASES} SELECT case_id, left(sha256(question_wire), 16) AS reference, left(hashes.question, 16) AS declared, coalesce(lower(trim(hashes.question)) = sha256(question_wire), false) AS sound FROM cases")
 def registry_check(spark, d):
-    rows = _cases(spark, d, "question_wire", "hashes")
-    return rows.select("case_id", F.left(F.sha2("question_wire", 256), F.lit(16)).alias("reference"), F.left("hashes.question", F.lit(16)).alias("declared"), F.coalesce(F.lower(F.trim("hashes.question")) == F.sha2("question_wire", 256), F.lit(False)).alias("sound"))
+    rows = _reduced(spark, d, "question_wire", "hashes")
+    return _once(rows.select("case_id", F.left(F.sha2("question_wire", 256), F.lit(16)).alias("reference"), F.left("hashes.question", F.lit(16)).alias("declared"), F.coalesce(F.lower(F.trim("hashes.question")) == F.sha2("question_wire", 256), F.lit(False)).alias("sound")))
 
 
 @REGISTRY.query(f"""WITH {CASES} SELECT case_id, array_to_string(list_filter([CASE WHEN hashes.question IS NULL THEN 'question_missing' WHEN lower(trim(hashes.question)) <> sha256(question_wire) THEN 'question' END, CASE WHEN hashes.evidence IS NULL THEN 'evidence_missing' WHEN lower(trim(hashes.evidence)) <> sha256(evidence.state) THEN 'evidence' END,
   CASE WHEN len(list_filter(map_entries(evidence.source_documents), lambda e: lower(trim(map_extract_value(hashes.source_documents, e.key))) <> sha256(e.value))) > 0 THEN 'source_documents' END, CASE WHEN list_sort(map_keys(evidence.source_documents)) <> list_sort(map_keys(hashes.source_documents)) THEN 'paths' END], lambda x: x IS NOT NULL), ',') AS mismatches FROM cases""")
 def identity_mismatches(spark, d):
-    rows = _cases(spark, d, "question_wire", "evidence", "hashes")
+    rows = _reduced(spark, d, "question_wire", "evidence", "hashes")
     clean = lambda c: F.lower(F.trim(c))
     documents = F.exists(F.map_entries("evidence.source_documents"), lambda e: F.coalesce(clean(F.try_element_at("hashes.source_documents", e.key)) != F.sha2(e.value, 256), F.lit(False)))
     paths = F.array_sort(F.map_keys("evidence.source_documents")) != F.array_sort(F.map_keys("hashes.source_documents"))
     own = lambda name, text: F.when(F.col(f"hashes.{name}").isNull(), f"{name}_missing").when(clean(F.col(f"hashes.{name}")) != F.sha2(text, 256), name)
     faults = F.array_compact(F.array(own("question", "question_wire"), own("evidence", "evidence.state"), F.when(documents, "source_documents"), F.when(paths, "paths")))
-    return rows.select("case_id", F.array_join(faults, ",").alias("mismatches"))
+    return _once(rows.select("case_id", F.array_join(faults, ",").alias("mismatches")))
 
 
 @REGISTRY.query(f"WITH {CASES}, x AS (SELECT case_id, target_complete, target.start_byte AS s, target.end_byte AS e, from_json(json_extract(evidence.state, '$.documents'), '[{{\"path\":\"VARCHAR\",\"start_byte\":\"BIGINT\",\"end_byte\":\"BIGINT\"}}]') AS docs, target.path AS path FROM cases) SELECT case_id, target_complete, coalesce(len(list_filter(docs, lambda q: q.path = path AND q.start_byte <= s AND q.end_byte >= e)) > 0, false) AS covered FROM x")
 def target_material(spark, d):
-    rows = _cases(spark, d, "target", "target_complete", "evidence")
+    rows = _reduced(spark, d, "target", "target_complete", "evidence")
     state = F.from_json("evidence.state", "documents ARRAY<STRUCT<path: STRING, start_byte: BIGINT, end_byte: BIGINT>>")
     covers = F.exists(state["documents"], lambda q: (q.path == F.col("target.path")) & (q.start_byte <= F.col("target.start_byte")) & (q.end_byte >= F.col("target.end_byte")))
-    return rows.select("case_id", "target_complete", F.coalesce(covers, F.lit(False)).alias("covered"))
+    return _once(rows.select("case_id", "target_complete", F.coalesce(covers, F.lit(False)).alias("covered")))
 
 
 @REGISTRY.query(f"WITH {CASES}, x AS (SELECT case_id, evidence.source_documents AS docs, from_json(json_extract(evidence.state, '$.documents'), '[{{\"path\":\"VARCHAR\"}}]') AS listed FROM cases) SELECT case_id, len(listed)::INT AS documents, len(list_distinct(list_transform(listed, lambda q: q.path)))::INT AS files, coalesce(list_sum(list_transform(map_values(docs), lambda t: strlen(t))), 0)::BIGINT AS source_bytes, round(len(listed) / greatest(1, len(list_distinct(list_transform(listed, lambda q: q.path))))::DOUBLE, 3) AS density FROM x")
 def evidence_metrics(spark, d):
-    rows = _cases(spark, d, "evidence").withColumn("listed", F.from_json("evidence.state", "documents ARRAY<STRUCT<path: STRING>>")["documents"])
+    rows = _reduced(spark, d, "evidence").withColumn("listed", F.from_json("evidence.state", "documents ARRAY<STRUCT<path: STRING>>")["documents"])
     files = F.size(F.array_distinct("listed.path"))
     total = F.aggregate(F.map_values("evidence.source_documents"), F.lit(0).cast("bigint"), lambda acc, t: acc + F.octet_length(t))
-    return rows.select("case_id", F.size("listed").alias("documents"), files.alias("files"), F.coalesce(total, F.lit(0)).alias("source_bytes"), F.round(F.size("listed") / F.greatest(F.lit(1), files), 3).alias("density"))
+    return _once(rows.select("case_id", F.size("listed").alias("documents"), files.alias("files"), F.coalesce(total, F.lit(0)).alias("source_bytes"), F.round(F.size("listed") / F.greatest(F.lit(1), files), 3).alias("density")))
 
 
 @REGISTRY.query("WITH r AS (SELECT DISTINCT case_id, rule_id, hashes.evidence AS sha, strlen(question_wire) AS n FROM calibration_cases), one AS (SELECT rule_id, sha, min(n) AS n FROM r WHERE sha IS NOT NULL GROUP BY ALL UNION ALL SELECT rule_id, sha, n FROM r WHERE sha IS NULL) SELECT rule_id, count(*)::BIGINT AS n_requests, count(*) FILTER (sha IS NULL)::BIGINT AS n_without_hash, sum(n)::BIGINT AS n_bytes FROM one GROUP BY rule_id")
@@ -209,9 +218,9 @@ def source_leakage(spark, d):
 @REGISTRY.query(f"WITH {CASES}, a AS (SELECT case_id, arg_max(label, struct_pack(a := adjudicated_at, b := adjudication_id)) AS label FROM (SELECT DISTINCT case_id, label, adjudicated_at, adjudication_id FROM adjudications) GROUP BY case_id) SELECT c.case_id, c.rule_id, coalesce(a.label, c.label) AS label, CASE WHEN a.case_id IS NULL THEN 'recorded' ELSE 'adjudicated' END AS source, to_json(struct_pack(choice := c.answer.choice, noul := c.answer.noul, score := c.answer.score)) IS NOT NULL AS has_answer, 'final-' || left(sha256(concat_ws(chr(10), c.rule_id, c.target.id, c.question_wire, c.evidence.state)), 24) AS stable_id FROM cases c LEFT JOIN a USING (case_id)")
 def imported_cases(spark, d):
     last = table(spark, d, "adjudications").groupBy("case_id").agg(F.max_by("label", F.struct("adjudicated_at", "adjudication_id")).alias("new")).withColumn("is_adjudicated", F.lit(True))
-    rows = _cases(spark, d, "rule_id", "label", "answer", "target", "question_wire", "evidence").join(last, "case_id", "left")
     stable = F.concat(F.lit("final-"), F.left(F.sha2(F.concat_ws("\n", "rule_id", "target.id", "question_wire", "evidence.state"), 256), F.lit(24)))
-    return rows.select("case_id", "rule_id", F.coalesce("new", "label").alias("label"), F.when(F.col("is_adjudicated"), "adjudicated").otherwise("recorded").alias("source"), F.col("answer").isNotNull().alias("has_answer"), stable.alias("stable_id"))
+    rows = _once(_reduced(spark, d, "rule_id", "label", F.col("answer").isNotNull().alias("has_answer"), stable.alias("stable_id"))).join(last, "case_id", "left")
+    return rows.select("case_id", "rule_id", F.coalesce("new", "label").alias("label"), F.when(F.col("is_adjudicated"), "adjudicated").otherwise("recorded").alias("source"), "has_answer", "stable_id")
 
 
 @REGISTRY.query(f"WITH {RULED} SELECT rule_id, case_id, abs(round(coalesce(answer.noul, answer.score, 0), 3) - coalesce(answer.noul, answer.score, 0)) <= 0.0006 AS matches FROM replayed")

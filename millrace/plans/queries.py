@@ -182,9 +182,11 @@ def import_label_join(spark, d):
 @REGISTRY.query(f"""WITH {CASES}, x AS (SELECT rule_id, case_id, unnest(map_entries(evidence.source_documents)) AS e, hashes FROM cases)
 SELECT rule_id, count(*)::BIGINT AS n_documents, count(*) FILTER (lower(map_extract_value(hashes.source_documents, e.key)) = sha256(e.value))::BIGINT AS n_matching FROM x GROUP BY rule_id""")
 def identity_hashes(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "rule_id", "evidence", "hashes").select("rule_id", "hashes", F.explode("evidence.source_documents").alias("path", "text"))
-    same = F.lower(F.try_element_at("hashes.source_documents", F.col("path"))) == F.sha2("text", 256)
-    return rows.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_documents"), replay.count(same).alias("n_matching"))
+    # a case's documents are reduced to two counts where they lie, and cases made unique after
+    documents = F.map_entries("evidence.source_documents")
+    same = F.filter(documents, lambda x: F.coalesce(F.lower(F.try_element_at("hashes.source_documents", x.key)) == F.sha2(x.value, 256), F.lit(False)))
+    rows = table(spark, d, "calibration_cases").select("case_id", "rule_id", F.size(documents).alias("n"), F.size(same).alias("m")).dropDuplicates(["case_id"]).filter("n > 0")
+    return rows.groupBy("rule_id").agg(F.sum("n").alias("n_documents"), F.sum("m").alias("n_matching"))
 
 
 # --- intervals, lines and ownership
@@ -516,8 +518,9 @@ def evidence_spans(spark, d):
 
 @REGISTRY.query(f"WITH {CASES} SELECT case_id, left(sha256(question_wire), 16) AS rubric, 'final-' || left(sha256(case_id || chr(10) || question_wire), 24) AS stable_id FROM cases")
 def rubric_references(spark, d):
-    rows = replay.known_cases(table(spark, d, "calibration_cases"), "question_wire")
-    return rows.select("case_id", F.left(F.sha2("question_wire", 256), F.lit(16)).alias("rubric"), F.concat(F.lit("final-"), F.left(F.sha2(F.concat_ws("\n", "case_id", "question_wire"), 256), F.lit(24))).alias("stable_id"))
+    rows = table(spark, d, "calibration_cases", "case_id", "question_wire")
+    stable = F.concat(F.lit("final-"), F.left(F.sha2(F.concat_ws("\n", "case_id", "question_wire"), 256), F.lit(24)))
+    return rows.select("case_id", F.left(F.sha2("question_wire", 256), F.lit(16)).alias("rubric"), stable.alias("stable_id")).dropDuplicates(["case_id"])
 
 
 @REGISTRY.query(f"WITH {ASSESSED} SELECT rule_id, support, count(*)::BIGINT AS n, count(DISTINCT label)::BIGINT AS n_labels, min(case_id) AS first_case FROM replayed WHERE support IS NOT NULL GROUP BY ALL HAVING count(DISTINCT label) > 1")
