@@ -3,22 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-# Suffixes of the five languages.
-SUFFIXES = {
-    ".py": "python", ".pyi": "python",
-    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
-    ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript",
-    ".rs": "rust",
-    ".pl": "perl", ".pm": "perl", ".t": "perl",
-}
-
-
-def suffix(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
+from millrace.operators.discovery import language
 
 
 def language_of(path: Column) -> Column:
     """The language of the path's suffix; null for others."""
-    return F.element_at(F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair)), suffix(path))
+    return language(path)
