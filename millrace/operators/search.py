@@ -109,7 +109,9 @@ def metrics(records: DataFrame, policies: DataFrame, tried: DataFrame) -> DataFr
     where they are and only sums by candidate, and by candidate and group, are shuffled.
     """
     sizes = records.filter("support IS NOT NULL").groupBy("rule_id", "support").agg(F.count(F.lit(1)).alias("size"))
-    rows = with_policy(records, policies).join(sizes, ["rule_id", "support"], "left").join(F.broadcast(tried.select("rule_id", "place", *SEARCHED)), "rule_id")
+    rows = with_policy(records, policies).join(sizes, ["rule_id", "support"], "left")
+    # a case becomes thousands of rows, so few cases are worth many tasks: their number is fixed, or adaptive execution would join small parts again
+    rows = rows.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id").join(F.broadcast(tried.select("rule_id", "place", *SEARCHED)), "rule_id")
     rows = rows.withColumn("policy", F.struct(*(F.col(c) if c in SEARCHED else F.col(f"policy.{c}").alias(c) for c in POLICY_FIELDS)))
     rows = assessed(rows, "place", "size")
     tentative = F.col("signal") & ~F.col("confirmed")
