@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.assessment import assess
-from millrace.operators import accounting, planning, replay, retrieval
+from millrace.operators import accounting, planning, recovery, replay, retrieval
 from millrace.sources.tables import table
 
 from .catalogue import IGNORE, POLICIES, POLICY_SQL, RULES_SQL, RULESETS_SQL, SELECT, assessed_sql, rule_policies, rules, rulesets, values_sql
@@ -326,3 +326,42 @@ def visible_rows(spark, d):
     seen = F.col("status").isin("warning", "error") | F.col("tentative").isNotNull()
     out = _judged(spark, d).groupBy("path", "target_id").agg(F.array_sort(F.collect_list(F.when(seen, F.col("rule")))).alias("r"), F.count_if(~seen).alias("n_hidden"))
     return out.filter(F.size("r") > 0).select("path", "target_id", F.array_join("r", ",").alias("shown"), "n_hidden")
+
+
+# --- what becomes of requests that don't fit
+
+
+@REGISTRY.query(f"""WITH {GROUPED}, v AS (SELECT evidence, scope, n, list_filter([CASE WHEN n > {TIGHT['questions']} THEN 'questions' END, CASE WHEN context > {TIGHT['context']} THEN 'context' END, CASE WHEN total > {TIGHT['total']} THEN 'total' END, CASE WHEN body > {TIGHT['bytes']} THEN 'bytes' END], lambda x: x IS NOT NULL) AS over FROM estimated)
+SELECT evidence, scope, CASE WHEN list_contains(over, 'context') THEN 'model_context_preflight' WHEN len(over) > 0 THEN 'request_limit_preflight' END AS reason, CASE WHEN len(over) = 0 THEN 'send' WHEN list_contains(over, 'context') OR n = 1 THEN 'recover' ELSE 'halves' END AS action FROM v""")
+def preflight_outcomes(spark, d):
+    e, n = F.col("e"), F.col("n")
+    passed = [(n > TIGHT["questions"], "questions"), (e.context > TIGHT["context"], "context"), (e.total > TIGHT["total"], "total"), (e.bytes > TIGHT["bytes"], "bytes")]
+    over = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in passed)))
+    return _estimated(spark, d).select("evidence", "scope", recovery.preflight(over, n).alias("p")).select("evidence", "scope", "p.*")
+
+
+@REGISTRY.query(f"""WITH {ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY evidence, scope ORDER BY bytes, check_id) = 1 AS probe FROM sized_q), k AS (SELECT *, row_number() OVER (PARTITION BY evidence, scope, probe ORDER BY check_id) AS nth, count(*) OVER (PARTITION BY evidence, scope, probe) AS n FROM r)
+SELECT evidence, scope, check_id, CASE WHEN probe THEN 0 WHEN nth <= (n + 1) // 2 THEN 1 ELSE 2 END AS part FROM k""")
+def provider_split(spark, d):
+    return recovery.provider_split(_asked(spark, d).select("evidence", "scope", "check_id", "bytes"), ["evidence", "scope"], "check_id", "bytes").select("evidence", "scope", "check_id", "part")
+
+
+@REGISTRY.query(f"WITH {ASKED}, bad AS (SELECT evidence, min(bytes) AS least FROM sized_q WHERE {PROBABILITY} < 0.2 GROUP BY evidence), own AS (SELECT evidence, scope, min(bytes) AS smallest FROM sized_q GROUP BY ALL) SELECT o.evidence, o.scope, b.least::INT AS least, coalesce(o.smallest >= b.least, false) AS blocked FROM own o LEFT JOIN bad b USING (evidence)")
+def known_rejections(spark, d):
+    rows = _asked(spark, d).select("evidence", "scope", "rule", "target_id", "bytes", "wanted", "start_byte")
+    rejected = accounting.judge(rows).filter("answer.noul < 0.2")
+    return recovery.blocked(rows, rejected, ["evidence", "scope"], "bytes")
+
+
+@REGISTRY.query()
+def recovery_outcomes(spark, d):
+    rows = _asked(spark, d).withColumn("bare", F.col("end_byte") - F.col("start_byte"))
+    done = recovery.recover(rows, FIXED, TIGHT["context"], TIGHT["total"], TIGHT["bytes"], TIGHT["questions"], 1_500)
+    return done.select("path", "check_id", "outcome", "rounds", "state")
+
+
+# every check comes to exactly one outcome
+@REGISTRY.query(f"WITH {ASKED} SELECT path, count(*)::BIGINT AS n_checks, count(*)::BIGINT AS n_outcomes, 1::BIGINT AS most FROM asked GROUP BY path")
+def recovery_complete(spark, d):
+    done = recovery_outcomes(spark, d).groupBy("path", "check_id").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("n_outcomes"), F.max("n").alias("most"))
+    return _asked(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n_checks")).join(done, "path", "left")

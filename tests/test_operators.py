@@ -242,3 +242,16 @@ def test_entry(spark):
     ship(spark)
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_recovery_comes_to_an_end(spark):
+    from millrace.operators import recovery
+
+    row = lambda e, i, tokens, size, state, bare: (e, "unit", "p", f"q{i}", tokens, size, state, bare)
+    rows = [row("fits", i, 10, 30, 60, 60) for i in range(2)] + [row("wide", i, 10, 30, 60, 60) for i in range(5)] + [row("large", i, 10, 30, 9_000, 60) for i in range(2)]
+    rows += [row("rejected", i, 10, 30 + i, 900, 60) for i in range(2)] + [row("never", 0, 900, 2_700, 60, 60)]
+    df = spark.createDataFrame(rows, "evidence string, scope string, path string, check_id string, tokens long, bytes long, state long, bare long")
+    got = {(r.evidence, r.check_id): (r.outcome, r.rounds) for r in recovery.recover(df, 0, 1_000, 2_000, 4_000, 3, 800).collect()}
+    assert {k: v for k, v in got.items() if k[0] in ("fits", "wide", "never")} == {("fits", "q0"): ("direct", 0), ("fits", "q1"): ("direct", 0), **{("wide", f"q{i}"): ("split", 0) for i in range(5)}, ("never", "q0"): ("omitted", 3)}
+    assert {v for k, v in got.items() if k[0] in ("large", "rejected")} <= {("compacted", n) for n in (1, 2, 3)} | {("final", 3)} and len(got) == len(rows)
+    assert recovery.recover(df.limit(0), 0, 1, 1, 1, 1, 1).count() == 0
