@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.spans import read
+from millrace.functions.spans import merge_spans, read
 
 from .folds import fold
 
 IMPORT = r"^\s*(?:import |from \S+ import |use |require |export .* from )"
+_IMPORT = re.compile(IMPORT)
 
 
 def abbreviated(signature: Column, most: int = 1024) -> Column:
@@ -58,3 +63,48 @@ def paced(df: DataFrame, key: str, order: list[str], ready: str, interval: int)
     n = (F.row_number().over(w) - 1).cast("bigint")
     rows = df.withColumn("_n", n)
     return rows.withColumn("starts", F.max(F.col(ready) - F.col("_n") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n") * interval).drop("_n")
+
+
+def import_spans(files: DataFrame, most: int = 32) -> DataFrame:
+    """(path, start_byte, end_byte) of the first ``most`` import lines of each file, without their line ends. ``files`` has one row a path."""
+    rows = files.filter("content IS NOT NULL").select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                at, n = 0, 0
+                for line in text.split("\n"):
+                    size = len(line.encode("utf-8", "replace"))
+                    if n < most and size and _IMPORT.match(line[:1024]):
+                        out.append((path, at, at + size))
+                        n += 1
+                    at += size + 1
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["path", "start_byte", "end_byte"])
+
+    return rows.mapInArrow(run, "path STRING, start_byte BIGINT, end_byte BIGINT")
+
+
+def compose(wanted: DataFrame, imports: DataFrame, key: str) -> DataFrame:
+    """(``key``, start_byte, end_byte): the documents of each wanted span, which are it and its file's imports, merged where they touch.
+
+    ``wanted`` has key, path, from_byte and to_byte; a span is joined to the few imports of its file by path.
+    """
+    own = wanted.select(key, F.col("from_byte").alias("start_byte"), F.col("to_byte").alias("end_byte"))
+    return merge_spans(own.unionByName(wanted.select(key, "path").join(imports, "path").select(key, "start_byte", "end_byte")), key)
+
+
+def describe(wanted: DataFrame, documents: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """(``key``, n_documents, n_bytes, context_complete, target_complete): whether one document covers what was wanted, and the target itself."""
+    both = documents.join(wanted.select(key, "from_byte", "to_byte"), key).join(targets.select(key, F.col("start_byte").alias("_s"), F.col("end_byte").alias("_e")), key)
+    covers = lambda a, b: F.max((F.col("start_byte") <= F.col(a)) & (F.col("end_byte") >= F.col(b)))
+    return both.groupBy(key).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("n_bytes"), covers("from_byte", "to_byte").alias("context_complete"), covers("_s", "_e").alias("target_complete"))
+
+
+def augment(documents: DataFrame, candidates: DataFrame, digests: DataFrame, key: str) -> DataFrame:
+    """(``key``, path, start_byte, end_byte, file_sha): documents and candidate spans of an evidence united by path and merged, with their file's digest."""
+    every = documents.select(key, "path", "start_byte", "end_byte").unionByName(candidates.select(key, "path", "start_byte", "end_byte"))
+    named = every.withColumn("_group", F.concat_ws("\n", key, "path"))
+    merged = merge_spans(named, "_group").join(named.select("_group", key, "path").distinct(), "_group")
+    return merged.join(digests, "path").select(key, "path", "start_byte", "end_byte", "file_sha")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.assessment import assess
-from millrace.operators import accounting, planning, recovery, replay, retrieval
+from millrace.operators import accounting, evidence, planning, recovery, replay, retrieval
 from millrace.sources.tables import table
 
 from .catalogue import IGNORE, POLICIES, POLICY_SQL, RULES_SQL, RULESETS_SQL, SELECT, assessed_sql, rule_policies, rules, rulesets, values_sql
@@ -365,3 +365,37 @@ def recovery_outcomes(spark, d):
 def recovery_complete(spark, d):
     done = recovery_outcomes(spark, d).groupBy("path", "check_id").agg(F.count(F.lit(1)).alias("n")).groupBy("path").agg(F.sum("n").alias("n_outcomes"), F.max("n").alias("most"))
     return _asked(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n_checks")).join(done, "path", "left")
+
+
+# --- the documents of an evidence
+
+IMPORTS = rf"""lined AS (SELECT path, k, strlen(t) AS n, t, sum(strlen(t) + 1) OVER (PARTITION BY path ORDER BY k) - strlen(t) - 1 AS s FROM (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM files WHERE content IS NOT NULL)),
+imports AS (SELECT path, s, s + n AS e FROM lined WHERE n > 0 AND regexp_matches(left(t, 1024), '{evidence.IMPORT}') QUALIFY row_number() OVER (PARTITION BY path ORDER BY k) <= 32)"""
+MERGED = "{0} AS (SELECT {2}, min(s) AS s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY {2} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY {2} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM {1} WHERE s < e)) GROUP BY {2}, i)"
+COMPOSED = f"{CHECKS}, {IMPORTS}, wanted AS (SELECT path || ':' || check_id AS key, path, from_byte AS s, to_byte AS e, start_byte, end_byte FROM checks WHERE NOT omitted), parts AS (SELECT key, s, e FROM wanted UNION ALL SELECT w.key, i.s, i.e FROM wanted w JOIN imports i USING (path)), {MERGED.format('documents', 'parts', 'key')}"
+
+
+def _wanted(spark, d):
+    return _checks(spark, d).filter("NOT omitted").withColumn("key", F.concat_ws(":", "path", "check_id"))
+
+
+def _documents(spark, d):
+    files = table(spark, d, "source_files", "path", "content").dropDuplicates(["path"])
+    return evidence.compose(_wanted(spark, d).select("key", "path", "from_byte", "to_byte"), evidence.import_spans(files), "key")
+
+
+@REGISTRY.query(f"WITH {COMPOSED} SELECT d.key, count(*)::BIGINT AS n_documents, sum(d.e - d.s)::BIGINT AS n_bytes, bool_or(d.s <= w.s AND d.e >= w.e) AS context_complete, bool_or(d.s <= w.start_byte AND d.e >= w.end_byte) AS target_complete FROM documents d JOIN wanted w USING (key) GROUP BY d.key")
+def composed_evidence(spark, d):
+    wanted = _wanted(spark, d)
+    return evidence.describe(wanted, _documents(spark, d), wanted, "key")
+
+
+@REGISTRY.query(f"""WITH {COMPOSED}, kin AS (SELECT w.key, t.path, t.start_byte AS s, t.end_byte AS e FROM checks c JOIN wanted w ON w.key = c.path || ':' || c.check_id JOIN targets t ON t.scope = 'unit' AND t.parent_id = c.parent_id AND t.target_id <> c.target_id), docs AS (SELECT key, w.path, d.s, d.e FROM documents d JOIN wanted w USING (key)),
+every AS (SELECT key || chr(10) || path AS gid, s, e FROM docs UNION ALL SELECT key || chr(10) || path, s, e FROM kin), {MERGED.format('joined', 'every', 'gid')} SELECT split_part(gid, chr(10), 1) AS key, count(*)::BIGINT AS n_documents, sum(e - s)::BIGINT AS n_bytes FROM joined GROUP BY ALL""")
+def augmented_evidence(spark, d):
+    wanted = _wanted(spark, d)
+    kin = _targets(spark, d).filter("scope = 'unit' AND parent_id IS NOT NULL").select("parent_id", F.col("target_id").alias("kin_id"), "start_byte", "end_byte", F.col("path").alias("kin_path"))
+    near = wanted.select("key", "parent_id", "target_id").join(kin, "parent_id").filter("kin_id <> target_id").select("key", F.col("kin_path").alias("path"), "start_byte", "end_byte")
+    digests = table(spark, d, "source_files", "path", "content").filter("content IS NOT NULL").select("path", F.sha2("content", 256).alias("file_sha")).dropDuplicates(["path"])
+    documents = _documents(spark, d).join(wanted.select("key", "path"), "key")
+    return evidence.augment(documents, near, digests, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("n_bytes"))

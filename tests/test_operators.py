@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import spans
 from millrace.functions.assessment import assess, policies
 from millrace.operators import accounting, compatibility, discovery, evidence, folds, packing, planning, retrieval, routing, search, services
-from millrace.plans import calibration_queries, planning_queries, protocol_queries  # noqa: F401  (each adds its queries)
+from millrace.plans import calibration_queries, discovery_queries, planning_queries, protocol_queries  # noqa: F401  (each adds its queries)
 from millrace.plans.catalogue import rule_policies, rules
 from millrace.plans.evidence_queries import abbreviated_signatures
 from millrace.plans.queries import REGISTRY
