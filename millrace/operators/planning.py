@@ -59,14 +59,14 @@ def rule_errors(policies: DataFrame) -> DataFrame:
 def targets(units: DataFrame, files: DataFrame) -> DataFrame:
     """Files with readable content and their declarations, as what a rule can look at: the file first, then units by start and falling end.
 
-    ``units`` has one row a unit, ``files`` one a path. A file has the facts of all its units; ``has_members`` marks owners of an
+    ``units`` has one row a unit; repeated files count once, and only their sizes are moved. A file has the facts of all its units; ``has_members`` marks owners of an
     implemented callable. Units of other paths are left out; the language is that of the path's suffix.
     """
     owners = units.filter(F.col("kind").isin(*CALLABLE) & F.col("has_implementation") & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("unit_id")).distinct().withColumn("has_members", F.lit(True))
     facts = units.select("path", F.explode("syntax_facts").alias("f")).groupBy("path").agg(F.array_sort(F.collect_set("f")).alias("facts"))
     breaks = F.size(F.split("content", "\n")) - 1
     n_lines = F.greatest(F.lit(1), breaks + F.when((F.col("content") == "") | F.endswith("content", F.lit("\n")), 0).otherwise(1))
-    sized = files.filter("content IS NOT NULL").select("path", language(F.col("path")).alias("language"), F.octet_length("content").cast("bigint").alias("size"), n_lines.alias("n_lines"))
+    sized = files.filter("content IS NOT NULL").select("path", language(F.col("path")).alias("language"), F.octet_length("content").cast("bigint").alias("size"), n_lines.alias("n_lines")).dropDuplicates(["path"])
     none = F.array().cast("array<string>")
     file = sized.join(facts, "path", "left").select(
         F.col("path").alias("target_id"), "path", "language", "size", "n_lines", F.lit("file").alias("scope"), F.lit(None).cast("string").alias("kind"), F.col("path").alias("name"), F.lit(None).cast("string").alias("parent_id"),

@@ -33,7 +33,7 @@ def definitions(units: DataFrame) -> DataFrame:
 
 def references(files: DataFrame) -> DataFrame:
     """(path, name, n) of names that are called in a file's code; null content has none. A narrow map: one batch of rows a batch of files."""
-    rows = files.filter("content IS NOT NULL").select("path", "content").dropDuplicates(["path"])
+    rows = files.filter("content IS NOT NULL").select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,7 +41,7 @@ def references(files: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["path", "name", "n"])
 
-    return rows.mapInArrow(run, "path STRING, name STRING, n BIGINT")
+    return rows.mapInArrow(run, "path STRING, name STRING, n BIGINT").dropDuplicates(["path", "name"])  # a repeated file gives the same rows again
 
 
 def repo_of(path: Column) -> Column:

@@ -17,15 +17,15 @@ def _files(spark, d, *columns):
 
 @REGISTRY.query(f"WITH {FILES} SELECT file_id, lower(source_sha256) = sha256(content) AS same_digest, n_bytes = strlen(content) AS same_size FROM files WHERE content IS NOT NULL")
 def source_identity(spark, d):
-    rows = _files(spark, d, "source_sha256", "n_bytes").filter("content IS NOT NULL")
-    return rows.select("file_id", (F.lower("source_sha256") == F.sha2("content", 256)).alias("same_digest"), (F.col("n_bytes") == F.octet_length("content")).alias("same_size"))
+    rows = table(spark, d, "source_files", "file_id", "content", "source_sha256", "n_bytes").filter("content IS NOT NULL")
+    return rows.select("file_id", (F.lower("source_sha256") == F.sha2("content", 256)).alias("same_digest"), (F.col("n_bytes") == F.octet_length("content")).alias("same_size")).dropDuplicates(["file_id"])
 
 
 @REGISTRY.query(f"WITH {FILES} SELECT file_id, greatest(1, len(content) - len(replace(content, chr(10), '')) + CASE WHEN content = '' OR ends_with(content, chr(10)) THEN 0 ELSE 1 END)::INT AS n_lines FROM files WHERE content IS NOT NULL")
 def file_lines(spark, d):
     breaks = F.size(F.split("content", "\n")) - 1
     last = F.when((F.col("content") == "") | F.endswith("content", F.lit("\n")), 0).otherwise(1)
-    return _files(spark, d).filter("content IS NOT NULL").select("file_id", F.greatest(F.lit(1), breaks + last).alias("n_lines"))
+    return table(spark, d, "source_files", "file_id", "content").filter("content IS NOT NULL").select("file_id", F.greatest(F.lit(1), breaks + last).alias("n_lines")).dropDuplicates(["file_id"])
 
 
 @REGISTRY.query(f"""WITH {UNITS}, {FILES}, s AS (SELECT v.unit_id, encode(f.content) AS b, v.start_byte AS s, v.end_byte AS e FROM valid v JOIN files f USING (path) WHERE f.content IS NOT NULL AND v.start_byte >= 0 AND v.start_byte < v.end_byte AND v.end_byte <= strlen(f.content))
@@ -38,7 +38,7 @@ def evidence_slices(spark, d):
 
 @REGISTRY.query(rf"WITH {FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM files WHERE content IS NOT NULL), i AS (SELECT path, k, left(text, 1024) AS text, row_number() OVER (PARTITION BY path ORDER BY k) AS n FROM l WHERE regexp_matches(left(text, 1024), '^\s*(?:import |from \S+ import |use |require |export .* from )')) SELECT path, k::INT AS line_no, text FROM i WHERE n <= 32")
 def import_lines(spark, d):
-    return evidence.imports(_files(spark, d))
+    return evidence.imports(table(spark, d, "source_files", "path", "content")).dropDuplicates(["path", "line_no"])
 
 
 @REGISTRY.query(rf"""WITH {UNITS}, {FILES}, m AS (SELECT unit_id, parent_id, path, name, body_start_byte AS s, body_end_byte AS e FROM valid WHERE parent_id IS NOT NULL AND body_start_byte >= 0 AND body_end_byte > body_start_byte),

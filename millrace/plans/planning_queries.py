@@ -43,8 +43,7 @@ CHECKS = f"""{MATCHES}, wanting AS (
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     units = retrieval.latest_units(table(spark, d, "units"), "path", "kind", "qualified_name", "parent_id", "start_byte", "end_byte", "start_line", "end_line", "has_body", "has_implementation", "syntax_facts")
-    files = table(spark, d, "source_files", "path", "content").dropDuplicates(["path"])
-    return planning.with_owner(planning.targets(units, files))
+    return planning.with_owner(planning.targets(units, table(spark, d, "source_files", "path", "content")))
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +151,7 @@ GROUPED = f"""{ASKED}, groups AS (
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    shas = table(spark, d, "source_files", "path", "content").filter("content IS NOT NULL").dropDuplicates(["path"]).select("path", F.sha2("content", 256).alias("sha"))
+    shas = table(spark, d, "source_files", "path", "content").filter("content IS NOT NULL").select("path", F.sha2("content", 256).alias("sha")).dropDuplicates(["path"])
     rows = _checks(spark, d).filter("NOT omitted").join(shas, "path")
     evidence = F.sha2(F.concat_ws(":", "path", F.col("from_byte").cast("string"), F.col("to_byte").cast("string"), "sha"), 256)
     return planning.question_sizes(rows.withColumn("evidence", evidence).withColumn("state", F.col("to_byte") - F.col("from_byte") + F.octet_length("path")))
@@ -380,8 +379,8 @@ def _wanted(spark, d):
 
 
 def _documents(spark, d):
-    files = table(spark, d, "source_files", "path", "content").dropDuplicates(["path"])
-    return evidence.compose(_wanted(spark, d).select("key", "path", "from_byte", "to_byte"), evidence.import_spans(files), "key")
+    imports = evidence.import_spans(table(spark, d, "source_files", "path", "content")).distinct()
+    return evidence.compose(_wanted(spark, d).select("key", "path", "from_byte", "to_byte"), imports, "key")
 
 
 @REGISTRY.query(f"WITH {COMPOSED} SELECT d.key, count(*)::BIGINT AS n_documents, sum(d.e - d.s)::BIGINT AS n_bytes, bool_or(d.s <= w.s AND d.e >= w.e) AS context_complete, bool_or(d.s <= w.start_byte AND d.e >= w.end_byte) AS target_complete FROM documents d JOIN wanted w USING (key) GROUP BY d.key")

@@ -271,8 +271,8 @@ def qualified_names(spark, d):
 @REGISTRY.query(f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM files WHERE content IS NOT NULL), p AS (SELECT path, k, sha256(trim(t)) AS digest FROM l WHERE regexp_matches(trim(t), '^(if|unless|elif|elsif|for|foreach|while|return|let|const|my) [^ ]'))
 SELECT path, digest, k::INT AS line, lead(k) OVER w::INT AS next_line, (lead(k) OVER w - k - 1)::INT AS gap, count(*) OVER (PARTITION BY path, digest)::BIGINT AS n FROM p WINDOW w AS (PARTITION BY path, digest ORDER BY k) QUALIFY next_line IS NOT NULL""")
 def repeated_statements(spark, d):
-    lines = table(spark, d, "source_files", "file_id", "path", "content").filter("content IS NOT NULL").dropDuplicates(["file_id"]).select("path", F.posexplode(F.split("content", "\n")).alias("k", "t"))
-    rows = lines.filter(F.trim("t").rlike("^(if|unless|elif|elsif|for|foreach|while|return|let|const|my) [^ ]")).select("path", F.sha2(F.trim("t"), 256).alias("digest"), (F.col("k") + 1).alias("line"))
+    lines = table(spark, d, "source_files", "file_id", "path", "content").filter("content IS NOT NULL").select("path", F.posexplode(F.split("content", "\n")).alias("k", "t"))
+    rows = lines.filter(F.trim("t").rlike("^(if|unless|elif|elsif|for|foreach|while|return|let|const|my) [^ ]")).select("path", F.sha2(F.trim("t"), 256).alias("digest"), (F.col("k") + 1).alias("line")).dropDuplicates(["path", "line"])
     w = Window.partitionBy("path", "digest").orderBy("line")
     rows = rows.withColumn("next_line", F.lead("line").over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path", "digest")))
     return rows.filter("next_line IS NOT NULL").withColumn("gap", F.col("next_line") - F.col("line") - 1)
@@ -471,29 +471,29 @@ def circuit_breaker(spark, d):
 # --- sources and streams
 
 
-def _parsed(spark, d):
-    return parsed(table(spark, d, "source_files", "path", "content"), max_bytes=1 << 20)
+def _parsed(spark, d, *records):
+    return parsed(table(spark, d, "source_files", "path", "content"), max_bytes=1 << 20, records=records)
 
 
 @REGISTRY.query()
 def frontend_units(spark, d):
-    return _parsed(spark, d).filter("record = 'unit'").drop("record")
+    return _parsed(spark, d, "unit").drop("record")
 
 
 @REGISTRY.query()
 def frontend_references(spark, d):
-    return _parsed(spark, d).filter("record = 'reference'").groupBy("path", F.col("parent_id").alias("unit_id"), "name").agg(F.count(F.lit(1)).alias("n"), F.min("start_byte").alias("first_byte"))
+    return _parsed(spark, d, "reference").groupBy("path", F.col("parent_id").alias("unit_id"), "name").agg(F.count(F.lit(1)).alias("n"), F.min("start_byte").alias("first_byte"))
 
 
 @REGISTRY.query()
 def frontend_diagnostics(spark, d):
-    return _parsed(spark, d).filter("record IN ('diagnostic', 'import')").groupBy("language", "record", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
+    return _parsed(spark, d, "diagnostic", "import").groupBy("language", "record", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first_line"))
 
 
 @REGISTRY.query()
 def frontend_agreement(spark, d):
     """How many of the table's units the frontend finds with the same kind, name and span, by language and kind."""
-    own = _parsed(spark, d).filter("record = 'unit'").select("path", "language", "kind", "name", "start_byte", "end_byte").withColumn("found", F.lit(True))
+    own = _parsed(spark, d, "unit").select("path", "language", "kind", "name", "start_byte", "end_byte").withColumn("found", F.lit(True))
     listed = _units(spark, d, "path", "kind", "name", "start_byte", "end_byte").drop("unit_id").withColumn("language", discovery.language(F.col("path"))).withColumn("listed", F.lit(True))
     both = listed.join(own, ["path", "language", "kind", "name", "start_byte", "end_byte"], "full")
     return both.groupBy("language", "kind").agg(F.count("listed").alias("n_listed"), F.count("found").alias("n_found"), F.count_if(F.col("listed") & F.col("found")).alias("n_both"))
@@ -510,7 +510,7 @@ def stream_summary(spark, d):
 
 @REGISTRY.query(f"WITH {UNITS}, {FILES} SELECT v.unit_id, (v.end_byte - v.start_byte)::INT AS n_bytes, coalesce(v.body_start_byte >= v.start_byte AND v.body_end_byte <= v.end_byte, false) AS body_inside FROM valid v JOIN files f USING (path) WHERE f.content IS NOT NULL AND v.start_byte >= 0 AND v.start_byte < v.end_byte AND v.end_byte <= strlen(f.content)")
 def evidence_spans(spark, d):
-    files = table(spark, d, "source_files", "path", "content").filter("content IS NOT NULL").dropDuplicates(["path"]).select("path", F.octet_length("content").alias("size"))
+    files = table(spark, d, "source_files", "path", "content").filter("content IS NOT NULL").select("path", F.octet_length("content").alias("size")).dropDuplicates(["path"])
     rows = _units(spark, d, "path", "start_byte", "end_byte", "body_start_byte", "body_end_byte").join(files, "path").filter("start_byte >= 0 AND start_byte < end_byte AND end_byte <= size")
     inside = F.coalesce((F.col("body_start_byte") >= F.col("start_byte")) & (F.col("body_end_byte") <= F.col("end_byte")), F.lit(False))
     return rows.select("unit_id", (F.col("end_byte") - F.col("start_byte")).cast("int").alias("n_bytes"), inside.alias("body_inside"))

@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators.discovery import LANGUAGES
+from millrace.operators.discovery import language as language_of
 
 ROWS = (
     "record STRING, path STRING, language STRING, unit_id STRING, kind STRING, name STRING, qualified_name STRING, parent_id STRING, signature STRING, start_byte BIGINT, end_byte BIGINT, body_start_byte BIGINT, body_end_byte BIGINT, "
@@ -199,7 +201,10 @@ def _python(text: str) -> tuple[list[Unit], list[tuple[str, int]]]:
     return units, calls
 
 
-def parse(path: str, text: str, max_units: int | None = None) -> Iterator[dict]:
+EVERY = ("unit", "reference", "import", "diagnostic")
+
+
+def parse(path: str, text: str, max_units: int | None = None, records: tuple[str, ...] = EVERY) -> Iterator[dict]:
     """The rows of one file: its units with their place, owner, facts and members, the calls in each, its first 32 imports; or one diagnostic.
 
     Units are nested by their spans: sorted by start and falling end, a stack gives each its owner. A function in a class, implementation, trait or
@@ -213,11 +218,16 @@ def parse(path: str, text: str, max_units: int | None = None) -> Iterator[dict]:
     try:
         if language == "python":
             units, calls = _python(text)
+            calls = calls if "reference" in records else []
         else:
             units, masked = _others(text, language)
+            calls = []
+        if language != "python" and "reference" in records:
             declared = {masked.find(u.name, u.start) for u in units if u.kind in CALLABLE}
             calls = [(m[1], m.start()) for m in _CALLS.finditer(masked) if m[1] not in _WORDS and m.start() not in declared]
     except Fault as fault:
+        if "diagnostic" not in records:
+            return
         yield base | {"record": "diagnostic", "kind": "syntax-error", "start_line": fault.line}
         return
     if max_units is not None and len(units) > max_units:
@@ -255,7 +265,8 @@ def parse(path: str, text: str, max_units: int | None = None) -> Iterator[dict]:
                 owner["facts"] = [*owner["facts"], "executable_behavior"]
         rows.append(row)
         stack.append(row)
-    yield from rows
+    if "unit" in records:
+        yield from rows
     opened: list[dict] = []
     following = iter([*rows, None])
     coming = next(following)
@@ -268,18 +279,18 @@ def parse(path: str, text: str, max_units: int | None = None) -> Iterator[dict]:
         while opened and opened[-1]["end_byte"] <= at:
             opened.pop()
         yield base | {"record": "reference", "name": name, "parent_id": opened[-1]["unit_id"] if opened else None, "start_byte": at, "start_line": line(at)}
-    for m in list(_IMPORT[language].finditer(text))[:32]:
+    for m in list(_IMPORT[language].finditer(text))[:32] if "import" in records else ():
         at = len(text[: m.start()].encode("utf-8", "replace"))
         yield base | {"record": "import", "signature": m[0].strip()[:1024], "start_byte": at, "start_line": line(at)}
 
 
-def parsed(files: DataFrame, max_bytes: int | None = None, max_units: int | None = None) -> DataFrame:
-    """The rows of all files in the five languages, in one narrow map over whole texts; repeated files count once.
+def parsed(files: DataFrame, max_bytes: int | None = None, max_units: int | None = None, records: tuple[str, ...] = EVERY) -> DataFrame:
+    """The rows, of the kinds asked for, of all files in the five languages, in one narrow map over whole texts; repeated files count once.
 
     ``record`` is unit, reference (a call, with its innermost unit), import or diagnostic. Files above ``max_bytes`` give a ``size-limit``
     diagnostic, unreadable ones ``unreadable``; others that fail give ``syntax-error`` with the line of the first fault.
     """
-    rows = files.select("path", "content").dropDuplicates(["path"])
+    rows = files.select("path", "content").filter(language_of(F.col("path")).isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,9 +300,12 @@ def parsed(files: DataFrame, max_bytes: int | None = None, max_units: int | None
                 if language is None:
                     continue
                 if text is None or max_bytes is not None and len(text.encode("utf-8", "replace")) > max_bytes:
-                    out.append({"record": "diagnostic", "path": path, "language": language, "kind": "unreadable" if text is None else "size-limit", "start_line": 1})
+                    if "diagnostic" in records:
+                        out.append({"record": "diagnostic", "path": path, "language": language, "kind": "unreadable" if text is None else "size-limit", "start_line": 1})
                     continue
-                out.extend(parse(path, text, max_units))
-            yield pa.RecordBatch.from_pylist(out, schema=FIELDS)
+                out.extend(parse(path, text, max_units, records))
+            columns = [pa.array([r.get(f.name) for r in out], f.type) for f in FIELDS]
+            yield pa.RecordBatch.from_arrays(columns, schema=FIELDS)
 
-    return rows.mapInArrow(run, ROWS)
+    # a repeated file gives the same rows again; its rows are less than its text
+    return rows.mapInArrow(run, ROWS).dropDuplicates(["record", "path", "kind", "name", "start_byte"])
