@@ -9,6 +9,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,7 @@ _IMPORT = {
     "python": re.compile(r"(?m)^[ \t]*(?:import|from)[ \t]+[^\n]+"), "javascript": re.compile(r"(?m)^[ \t]*(?:import\b[^;\n]*|export\b[^;\n]*\bfrom\b[^;\n]*)"), "rust": re.compile(r"(?m)^[ \t]*(?:pub\s+)?use\s+[^;]+;"), "perl": re.compile(r"(?m)^[ \t]*(?:use|require)\s+[^;\n]+;"),
 }
 _IMPORT["typescript"] = _IMPORT["javascript"]
+_OPENING = re.compile(r"[({\[]")
 _CALLS = re.compile(r"([A-Za-z_$][\w$]*)\s*!?\(")
 _WORDS = frozenset("if for while switch catch return function match fn sub elsif unless until foreach and or not my our qw print await typeof new in of super this constructor with assert del raise yield lambda except elif else".split())
 _BRANCH = re.compile(r"\b(?:if|elsif|unless|else if|for|foreach|while|until|case|catch|match)\b|\?(?![.?:])")
@@ -132,9 +134,8 @@ def _others(text: str, language: str) -> tuple[list[Unit], str]:
         for owner in [u for u in units if u.kind == "class"]:
             at = owner.body[0] + 1
             while m := _MEMBER.search(masked, at, owner.end - 1):
-                nested = next((b for b in range(at, m.start()) if masked[b] in "{(["), -1)
-                if nested >= 0:  # a field's value or a body ahead of it
-                    at = pairs[nested] + 1
+                if nested := _OPENING.search(masked, at, m.start()):  # a field's value or a body ahead of it
+                    at = pairs[nested.start()] + 1
                     continue
                 brace = _body_of(masked, pairs, m.end(), owner.end)
                 start = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -235,13 +236,12 @@ def parse(path: str, text: str, max_units: int | None = None, records: tuple[str
         return
     body = text.encode("utf-8", "replace")
     if language != "python" and not ascii_:
-        ends = [0]
-        for c in text:
-            ends.append(ends[-1] + len(c.encode("utf-8", "replace")))
+        code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        ends = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))]).tolist()
         for u in units:
             u.start, u.end, u.body = ends[u.start], ends[u.end], u.body and (ends[u.body[0]], ends[u.body[1]])
         calls = [(n, ends[at]) for n, at in calls]
-    breaks = [i for i, b in enumerate(body) if b == 10]
+    breaks = np.flatnonzero(np.frombuffer(body, np.uint8) == 10).tolist()
     line = lambda at: bisect_right(breaks, at - 1) + 1
     units.sort(key=lambda u: (u.start, -u.end))
     joint = "::" if language in ("rust", "perl") else "."
