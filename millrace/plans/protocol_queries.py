@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.assessment import assess
 from millrace.operators import accounting, replay, routing
+from millrace.sources import jsonl
 from millrace.sources.tables import table
 
 from .calibration_queries import RULED, _ruled
@@ -246,3 +247,18 @@ def capture_reservations(spark, d):
     rows = services.latest(table(spark, d, "budget_estimates"), ["request_id"], ["estimated_at", "ingested_at"]).filter("body_bytes > 0")
     tokens = F.greatest(F.lit(1024), F.floor(F.lit(28_000) / F.pow(F.lit(2), F.col("request_id") % 4)))
     return rows.groupBy("model", "scope").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("body_bytes") * 3).alias("bytes_with_retries"), F.sum(F.col("total_tokens") + F.ceil(F.col("total_tokens") * F.lit(0.25).cast("double"))).alias("reserved"), F.sum(tokens).cast("bigint").alias("round_tokens"), F.sum(F.least(F.lit(1_048_576), F.expr("body_bytes * 7 div 10"))).alias("round_bytes"))
+
+
+@REGISTRY.query(f"WITH {CASES} SELECT rule_id, count(*)::BIGINT AS records, bool_and(context_complete AND target_complete) AS complete, bit_xor(('0x' || left(sha256(case_id || chr(10) || question_wire || chr(10) || coalesce(answer.choice, '')), 15))::BIGINT) AS digest FROM cases GROUP BY rule_id")
+def capture_sidecar(spark, d):
+    rows = _once(_reduced(spark, d, "rule_id", "context_complete", "target_complete", F.concat_ws("\n", "case_id", "question_wire", F.coalesce("answer.choice", F.lit(""))).alias("line")))
+    return jsonl.sidecar(rows, F.col("line"), F.col("context_complete") & F.col("target_complete"), "rule_id")
+
+
+@REGISTRY.query(f"WITH {RULED}, p AS (SELECT case_id, rule_id, CASE WHEN case_id IN (SELECT case_id FROM adjudications) THEN 'cached' WHEN answer.confidence < 0.3 THEN 'missing' ELSE 'live' END AS source, status FROM replayed) SELECT source, status, count(*)::BIGINT AS n, count(*) FILTER (source = 'live')::BIGINT AS n_stored FROM p GROUP BY ALL")
+def predictions_by_source(spark, d):
+    """Answers from the cache, else from the judge, which are then stored; those of neither are missing."""
+    known = table(spark, d, "adjudications", "case_id").distinct().withColumn("hit", F.lit(True))
+    source = F.when(F.col("hit"), "cached").when(F.col("answer.confidence") < 0.3, "missing").otherwise("live")
+    rows = _ruled(spark, d).join(known, "case_id", "left").select(source.alias("source"), "status")
+    return rows.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == "live").alias("n_stored"))

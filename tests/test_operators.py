@@ -230,6 +230,14 @@ def test_jsonl_round_trip(spark, data, tmp_path):
     assert key(again) == key(cases)
 
 
+def test_faults_of_json_lines(spark, tmp_path):
+    schema = spark.createDataFrame([], "case_id string, n int").schema
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.json").write_text('{"case_id": "1", "n": 1}\n\n{"case_id": "2", "n": "many"}\n{"case_id": "3", "m": 1}\n{"case_id": "1"}\n[1]\nnull\n{"case_id": "4"}\n')
+    got = {(r.line_no, r.error) for r in jsonl.faults(spark, str(tmp_path / "x"), schema).collect()}
+    assert got == {(2, "empty"), (3, "invalid"), (4, "unknown_field"), (5, "duplicate"), (6, "invalid"), (7, "invalid")}
+
+
 def test_stream_equals_batch(spark, data):
     got = REGISTRY.queries["stream_summary"](spark, data)
     last = spark.read.parquet(f"{data}/events.parquet").agg(F.max("ts")).first()[0]
