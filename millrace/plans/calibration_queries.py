@@ -194,7 +194,7 @@ def threshold_candidates(spark, d):
     return search.candidates(_development(spark, d), rule_policies(spark), LIMIT).select("rule_id", "place", "warning_p", "warning_c", "warning_s", F.array_join("warning_levels", ",").alias("levels"), "truncated")
 
 
-@REGISTRY.query(f"WITH {SCORED} SELECT * FROM scored")
+@REGISTRY.query(f"WITH {SCORED} SELECT * REPLACE (place::INT AS place) FROM scored")
 def candidate_metrics(spark, d):
     rows, policies = _development(spark, d), rule_policies(spark)
     return search.metrics(rows, policies, search.candidates(rows, policies, LIMIT))
