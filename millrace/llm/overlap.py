@@ -160,7 +160,8 @@ def _short(raw: bytes) -> bytes:
 
 
 def rare_first(posts: DataFrame, owner: str, key: str, size: str, weight, least: float, bar: float) -> DataFrame:
-    """Of each owner's keys the rare ones, without which the rest weighs no more than ``least`` of its size; with ``df``, how many owners hold the key.
+    """Of each owner's keys the rare ones, without which the rest weighs no more than ``least`` of its size; with ``df``, how many owners hold the
+    key, and ``rest``, what it and the more common keys of the owner weigh.
 
     Keys that stand on one side only can't be shared and are dropped first. Those of at least ``bar`` owners are looked up by broadcast (their
     number is at most that of all posts over ``bar``), the others by a shuffle in which no key is hot. Keys are ordered from common to
@@ -171,7 +172,7 @@ def rare_first(posts: DataFrame, owner: str, key: str, size: str, weight, least:
     shared = posts.join(F.broadcast(known.filter(F.col("df") >= bar)), key).unionByName(posts.join(known.filter(F.col("df") < bar), key))
     down = Window.partitionBy(owner).orderBy(F.desc("df"), key)
     shared = shared.withColumn("rest", F.sum(weight).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return shared.filter(F.col("rest") > least * F.col(size) - 1e-3).drop("rest")
+    return shared.filter(F.col("rest") > least * F.col(size) - 1e-3)
 
 
 def evidence_pairs(rows: DataFrame, least: float = 0.5, salt: int = 4096) -> DataFrame:
@@ -188,9 +189,11 @@ def evidence_pairs(rows: DataFrame, least: float = 0.5, salt: int = 4096) -> Dat
     # chunks in a hundredth of all classes or more: at most 100 times the mean number of chunks of a class
     kept = keep(rare_first(posts, "evidence", "digest", "n", weight(F.col("digest")), least, classes.count() / 100))
     tasks = F.ceil(F.col("df") / salt).cast("int")
-    left = kept.filter("dev").select("digest", F.pmod(F.xxhash64("evidence"), tasks).cast("int").alias("task"), F.col("evidence").alias("a"), F.col("n").alias("na"))
-    right = kept.filter("eval").select("digest", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.col("evidence").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, ["digest", "task"]).filter(F.least("na", "nb") > least * F.greatest("na", "nb")).select("a", "b").distinct()
+    left = kept.filter("dev").select("digest", F.pmod(F.xxhash64("evidence"), tasks).cast("int").alias("task"), F.col("evidence").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    right = kept.filter("eval").select("digest", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.col("evidence").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    # the rarest chunk two classes share has all others they share after it on both sides, so what is left there must be enough
+    enough = F.least("ra", "rb") > least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-3
+    pairs = left.join(right, ["digest", "task"]).filter(enough & (F.least("na", "nb") > least * F.greatest("na", "nb"))).select("a", "b").distinct()
     sets = classes.select("evidence", "lines", "digests")
     both = pairs.join(sets.toDF("a", "la", "da"), "a").join(sets.toDF("b", "lb", "db"), "b")
     size = F.size("la") + F.size("lb")
